@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerleaf.llm.common import load
 from ledgerleaf.llm.op2_jaccard_join import jaccard_join
+from ledgerleaf.llm.op4_token_orc import op4_token_orc
+from ledgerleaf.llm.op6_decontamination import op6_decontamination
+from ledgerleaf.llm.op10_packing import op10_packing
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(load(spark, sf_dir, "documents"), width=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op2_jaccard_join, op4_token_orc, op6_decontamination, op10_packing)}
 ORACLES: dict[str, str] = {}
