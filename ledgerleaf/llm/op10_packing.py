@@ -4,11 +4,16 @@ Documents are encoded; every full SEQUENCE of a long document is a sequence of i
 the items of a cutting-stock problem. Their length histogram, which has at most SEQUENCE entries whatever
 the corpus, goes to the driver. A linear program over patterns covers it; its duals price new patterns with
 a knapsack by dynamic programming until none pays. Rounded-down patterns take documents by their rank
-within a length class; what rounding leaves, a few items a class, is filled in first-fit order.
+within a length. What rounding leaves, a number that depends on lengths and not on the corpus, is laid end
+to end and cut at every sequence.
+
+The program counts in units of UNIT tokens: longer rests are rounded up, shorter ones are bundled, so many
+of one length that no unit is wasted.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -21,118 +26,119 @@ from pyspark.sql.window import Window
 from ledgerleaf.llm import common as C
 from ledgerleaf.llm.tokens import encoder
 
-SEQUENCE, END_ID = 2048, 1
-#: Lengths up to EXACT are classes of their own; longer ones are rounded up to a multiple of STEP in the linear program.
-EXACT, STEP = 256, 8
+SEQUENCE, END_ID, UNIT, SHORT = 2048, 1, 8, 256
+
+
+def bundle_of(rest: int) -> int:
+    """How many rests of one length make an item of the program."""
+    if rest >= SHORT:
+        return 1
+    k = UNIT // math.gcd(rest, UNIT)
+    return k * max(1, 64 // (k * rest))
 
 
-def class_of(length: int, sequence: int = SEQUENCE) -> int:
-    return length if length <= EXACT else min(-(-length // STEP) * STEP, sequence)
+def kind_of(rest: int) -> int:
+    """Short rests are kinds of their own; longer ones share a kind with those of the same rounded length."""
+    return rest if rest < SHORT else SHORT + -(-rest // UNIT)
 
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The most valuable multiset of sizes within the capacity: (value, {index: count})."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes)
-    s, v = sizes[order], values[order]
+    """The most valuable multiset of ascending sizes within the capacity: (value, {index: count})."""
+    best, pick = np.zeros(capacity + 1), [-1] * (capacity + 1)
+    within = np.searchsorted(sizes, np.arange(capacity + 1), side="right").tolist()
     for c in range(1, capacity + 1):
-        k = int(np.searchsorted(s, c, side="right"))
-        best[c] = best[c - 1]
-        if k:
-            total = v[:k] + best[c - s[:k]]
+        if k := within[c]:
+            total = values[:k] + best[c - sizes[:k]]
             i = int(total.argmax())
-            if total[i] > best[c] + 1e-12:
-                best[c], pick[c] = total[i], order[i]
-    counts, c = {}, capacity
+            if total[i] > best[c - 1] + 1e-12:
+                best[c], pick[c] = total[i], i
+                continue
+        best[c] = best[c - 1]
+    counts: dict[int, int] = {}
+    c = capacity
     while c > 0:
-        if pick[c] < 0:
+        if (i := pick[c]) < 0:
             c -= 1
         else:
-            counts[int(pick[c])] = counts.get(int(pick[c]), 0) + 1
-            c -= int(sizes[pick[c]])
+            counts[i] = counts.get(i, 0) + 1
+            c -= int(sizes[i])
     return float(best[capacity]), counts
 
 
-def column_generation(sizes: list[int], demand: list[int], capacity: int, gap: float = 0.0005, rounds: int = 4000) -> list[tuple[dict[int, int], float]]:
-    """Patterns ({index: count}) and how often each is used in an optimum, within ``gap``, of the linear program."""
+def column_generation(sizes: list[int], demand: list[int], capacity: int, gap: float = 0.002, rounds: int = 1500) -> list[tuple[dict[int, int], float]]:
+    """Patterns ({index: count}) and how often each is used in the linear program, solved to within ``gap`` or for ``rounds`` steps.
+
+    A pattern worth 1 + gap or less at the duals proves that the program's value is within gap of the best.
+    """
     m = len(sizes)
     size, need = np.array(sizes), np.array(demand, float)
-    patterns = [{i: capacity // sizes[i]} for i in range(m)]
+    patterns: list[dict[int, int]] = [{i: capacity // sizes[i]} for i in range(m)]
     inverse = np.diag([1.0 / (capacity // s) for s in sizes])
     use = inverse @ need
-    cost = np.ones(m)
     for step in range(rounds):
-        if step % 200 == 199:  # against drift
+        if step % 500 == 499:  # against drift
             basis = np.zeros((m, m))
             for j, p in enumerate(patterns):
-                for i, n in p.items():
-                    basis[i, j] = n
+                basis[list(p), j] = list(p.values())
             inverse = np.linalg.inv(basis)
             use = np.maximum(inverse @ need, 0)
-        dual = cost @ inverse
-        value, pattern = knapsack(size, np.maximum(dual, 0), capacity)
+        value, pattern = knapsack(size, np.maximum(inverse.sum(0), 0), capacity)
         if value <= 1 + gap:
             break
-        column = np.zeros(m)
-        for i, n in pattern.items():
-            column[i] = n
-        direction = inverse @ column
-        ok = direction > 1e-9
-        if not ok.any():
-            break
-        ratio = np.full(m, np.inf)
-        ratio[ok] = use[ok] / direction[ok]
+        direction = inverse[:, list(pattern)] @ np.array(list(pattern.values()), float)
+        ratio = np.where(direction > 1e-9, use / np.maximum(direction, 1e-9), np.inf)
         out = int(ratio.argmin())
         theta = ratio[out]
+        if not np.isfinite(theta):
+            break
         use = np.maximum(use - theta * direction, 0)
         use[out] = theta
-        inverse[out] /= direction[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(direction[others], inverse[out])
+        row = inverse[out] / direction[out]
+        inverse -= np.outer(direction, row)
+        inverse[out] = row
         patterns[out] = pattern
     return list(zip(patterns, use.tolist(), strict=True))
 
 
-def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
-    """Rank ranges of each class, as (class, first rank, end rank, first sequence, slot), from the length histogram.
+def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int], int]:
+    """Ranges (kind, low, high, first sequence, slot), the items each kind has in them, and the number of sequences.
 
-    Rank r of a class, counted from 0 with the longest first, belongs to the range that holds it and goes to
-    sequence ``first sequence + r - first rank`` at ``slot``.
+    Item r of a kind, counted from 0, belongs to the range with low <= r < high and goes to sequence
+    ``first + r - low`` at ``slot``; rests beyond a kind's items are left for the end.
     """
-    demand: dict[int, int] = {}
-    for length, n in histogram.items():
-        c = class_of(length, sequence)
-        demand[c] = demand.get(c, 0) + n
-    sizes = sorted(demand)
+    count: dict[int, int] = {}
+    size_of: dict[int, int] = {}
+    for rest, n in histogram.items():
+        kind = kind_of(rest)
+        count[kind] = count.get(kind, 0) + n
+        size_of[kind] = -(-rest * bundle_of(rest) // UNIT)
+    bundle = {k: bundle_of(k) if k < SHORT else 1 for k in count}
+    items = {k: count[k] // bundle[k] for k in count}
+    by_size: dict[int, list[int]] = {}
+    for k in sorted(items):
+        if items[k]:
+            by_size.setdefault(size_of[k], []).append(k)
+    sizes = sorted(by_size)
+    taken = dict.fromkeys(items, 0)
     if not sizes:
-        return []
-    taken, out, sequences = dict.fromkeys(sizes, 0), [], 0
-    for pattern, use in sorted(column_generation(sizes, [demand[s] for s in sizes], sequence), key=lambda x: -x[1]):
-        n = int(use + 1e-6)
-        n = min([n, *((demand[sizes[i]] - taken[sizes[i]]) // k for i, k in pattern.items())])
-        if n <= 0:
-            continue
+        return [], taken, 0
+    demand = [sum(items[k] for k in by_size[s]) for s in sizes]
+    left, out, sequences = list(demand), [], 0
+    for pattern, use in sorted(column_generation(sizes, demand, sequence // UNIT), key=lambda x: -x[1]):
+        n = min([int(use + 1e-6), *(left[i] // k for i, k in pattern.items())])
         slot = 0
-        for i, k in sorted(pattern.items(), key=lambda x: -sizes[x[0]]):
+        for i, k in sorted(pattern.items(), reverse=True) if n > 0 else ():
+            left[i] -= n * k
             for _ in range(k):
-                out.append((sizes[i], taken[sizes[i]], taken[sizes[i]] + n, sequences, slot))
-                taken[sizes[i]] += n
+                first, still = sequences, n
+                for kind in by_size[sizes[i]]:
+                    if part := min(still, items[kind] - taken[kind]):
+                        out.append((kind, taken[kind], taken[kind] + part, first, slot))
+                        taken[kind] += part
+                        first, still = first + part, still - part
                 slot += 1
-        sequences += n
-    rest = [s for s in reversed(sizes) for _ in range(demand[s] - taken[s])]
-    bins: list[list[int]] = []
-    room: list[int] = []
-    for s in rest:
-        j = next((j for j, r in enumerate(room) if r >= s), None)
-        if j is None:
-            bins.append([])
-            room.append(sequence)
-            j = len(bins) - 1
-        out.append((s, taken[s], taken[s] + 1, sequences + j, len(bins[j])))
-        taken[s] += 1
-        bins[j].append(s)
-        room[j] -= s
-    return out
+        sequences += max(n, 0)
+    return out, taken, sequences
 
 
 def _encode(path: str, end_id: int, sequence: int):
@@ -148,29 +154,30 @@ def _encode(path: str, end_id: int, sequence: int):
                 ids = enc.encode(t) + end
                 n = len(ids) // 4
                 rest = n % sequence
-                c = class_of(rest, sequence) if rest else 0
-                for col, x in zip(cols, (row, n, rest, c, ranks.get(c, 0), full, ids), strict=True):
+                kind = kind_of(rest)
+                for col, x in zip(cols, (row, n, rest, kind, ranks.get(kind, 0), full, ids), strict=True):
                     col.append(x)
-                ranks[c] = ranks.get(c, 0) + 1
+                ranks[kind] = ranks.get(kind, 0) + 1
                 row += 1
                 full += n // sequence
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             arrays = [pa.array(x, k) for x, k in zip(cols, kinds, strict=False)]
             edge = np.concatenate([[0], np.cumsum([len(x) // 4 for x in cols[6]])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(edge, pa.array(np.frombuffer(b"".join(cols[6]), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(batch), pa.int32()), *arrays, ids], names=["doc_id", "part", "row", "doc_tokens", "rest", "class", "rank", "full", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(batch), pa.int32()), *arrays, ids], names=["doc_id", "part", "row", "doc_tokens", "rest", "kind", "rank", "full", "ids"])
 
     return run
 
 
-ENCODED = "doc_id long, part int, row long, doc_tokens long, rest int, class int, rank long, full long, ids array<int>"
+ENCODED = "doc_id long, part int, row long, doc_tokens long, rest int, kind int, rank long, full long, ids array<int>"
 
 
 def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Pieces: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     Whole texts are encoded and followed by the end id; a null or empty text is the end id alone. Each id lies
-    in exactly one piece. Long documents are cut after every ``sequence`` ids, nothing else is. Rows with null
+    in exactly one piece. Long documents are cut after every ``sequence`` ids; of the rests only those that the
+    patterns leave may be cut, at a sequence's end. Sequence ids are unique but not gapless. Rows with null
     or repeated doc_ids are packed like others. An empty table gives no pieces. Other columns do not matter.
     """
     spark = docs.sparkSession
@@ -179,27 +186,37 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     rows, _ = C.written(slim.mapInArrow(_encode(tokenizer, end_id, sequence), ENCODED), "encoded")
     # The histogram has at most SEQUENCE rows whatever the corpus, and so has the plan a bounded number of ranges.
     histogram = {r["rest"]: r["n"] for r in rows.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
-    ranges = plan(histogram, sequence)
-    table = spark.createDataFrame(ranges or [(0, 0, 0, 0, 0)], "class int, low long, high long, first long, slot int").where("high > low")
-    # Ranks run on from file to file: a row for each file and class carries how many came before.
-    counts = rows.groupBy("class", "part").agg(F.count("*").alias("n"), F.sum(F.expr(f"doc_tokens div {sequence}")).alias("f"))
-    before = counts.select("class", "part", (F.sum("n").over(Window.partitionBy("class").orderBy("part")) - F.col("n")).alias("ranked"))
+    ranges, taken, sequences = plan(histogram, sequence)
+    table = spark.createDataFrame(ranges or [(-1, 0, 0, 0, 0)], "kind int, low long, high long, first long, slot int")
+    kinds = spark.createDataFrame([(k, bundle_of(k) if k < SHORT else 1, n) for k, n in taken.items()] or [(-1, 1, 0)], "kind int, bundle int, items long")
+    # Ranks run on from file to file: a row for each file and kind carries how many came before.
+    counts = rows.groupBy("kind", "part").agg(F.count("*").alias("n"), F.sum(F.expr(f"doc_tokens div {sequence}")).alias("f"))
+    before = counts.select("kind", "part", (F.sum("n").over(Window.partitionBy("kind").orderBy("part")) - F.col("n")).alias("ranked"))
     fulls = counts.groupBy("part").agg(F.sum("f").alias("f")).select("part", (F.sum("f").over(Window.orderBy("part")) - F.col("f")).alias("fulls"))
-    items = rows.where("rest > 0").select("part", "row", "class", "rank", "rest").join(before, ["class", "part"]).withColumn("rank", F.col("rank") + F.col("ranked"))
-    placed = items.join(F.broadcast(table), "class").where("rank >= low and rank < high").select("part", "row", "rest", (F.col("first") + F.col("rank") - F.col("low")).alias("sequence_id"), "slot")
-    ahead = F.sum("rest").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    items = rows.where("rest > 0").select("part", "row", "kind", "rank", "rest").join(before, ["kind", "part"])
+    items = items.join(F.broadcast(kinds), "kind").select("part", "row", "kind", "rest", (F.col("rank") + F.col("ranked")).alias("rank"), "bundle", "items")
+    items = items.withColumn("item", F.expr("rank div bundle"))
+    placed = items.where("item < items").join(F.broadcast(table), "kind").where("item >= low and item < high")
+    placed = placed.select("part", "row", "rank", "rest", (F.col("first") + F.col("item") - F.col("low")).alias("sequence_id"), "slot")
+    ahead = F.sum("rest").over(Window.partitionBy("sequence_id").orderBy("slot", "rank").rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.select("part", "row", "sequence_id", F.coalesce(ahead, F.lit(0)).cast("long").alias("offset"))
-    base = max((r[3] + r[2] - r[1] for r in ranges), default=0)
-    whole = rows.join(fulls, "part").join(placed, ["part", "row"], "left")
-    piece = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.expr(f"(doc_tokens - 1) div {sequence}")),
-        lambda i: F.struct(
-            (i * sequence).alias("start"), F.least(F.lit(sequence), F.col("doc_tokens") - i * sequence).cast("long").alias("length"),
-            F.when((i + 1) * sequence <= F.col("doc_tokens"), base + F.col("fulls") + F.col("full") + i).otherwise(F.col("sequence_id")).alias("sequence_id"),
-            F.when((i + 1) * sequence <= F.col("doc_tokens"), F.lit(0)).otherwise(F.col("offset")).cast("long").alias("offset"),
-        ),
-    )
-    pieces = whole.select("doc_id", "doc_tokens", "ids", F.explode(piece).alias("p"))
+    # What the patterns leave: fewer than a pattern's items for each pattern, and a bundle for each kind.
+    over = items.where("item >= items").select("part", "row", F.sum("rest").over(Window.orderBy(F.desc("kind"), "rank", "part", "row").rowsBetween(Window.unboundedPreceding, -1)).alias("at"))
+    over = over.select("part", "row", F.coalesce("at", F.lit(0)).alias("at"))
+    over = over.select("part", "row", (sequences + F.expr(f"at div {sequence}")).alias("sequence_id"), (F.col("at") % sequence).alias("offset"))
+    n_over = sum(histogram.values()) - sum(n * (bundle_of(k) if k < SHORT else 1) for k, n in taken.items())
+    tokens_over = n_over * sequence  # an upper bound; ids of whole sequences follow
+    base = sequences + tokens_over // sequence + 1
+    whole = rows.join(fulls, "part").join(placed.unionByName(over), ["part", "row"], "left")
+    full = F.transform(
+        F.expr(f"sequence(0L, doc_tokens div {sequence})"),
+        lambda i: F.struct((i * sequence).alias("start"), F.lit(sequence).cast("long").alias("length"), (base + F.col("fulls") + F.col("full") + i).alias("sequence_id"), F.lit(0).cast("long").alias("offset")),
+    )
+    start, fit = F.col("doc_tokens") - F.col("rest"), F.least(F.col("rest").cast("long"), sequence - F.col("offset"))
+    first = F.struct(start.alias("start"), fit.alias("length"), F.col("sequence_id"), F.col("offset"))
+    second = F.struct((start + fit).alias("start"), (F.col("rest") - fit).alias("length"), (F.col("sequence_id") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    all_pieces = F.concat(F.slice(full, F.lit(1), F.expr(f"cast(doc_tokens div {sequence} as int)")), F.when(F.col("rest") > 0, F.array(first, second)).otherwise(F.array()))
+    pieces = whole.select("doc_id", "doc_tokens", "ids", F.explode(F.filter(all_pieces, lambda p: p["length"] > 0)).alias("p"))
     return pieces.select("doc_id", "p.start", "p.length", F.slice("ids", (F.col("p.start") + 1).cast("int"), F.col("p.length").cast("int")).alias("ids"), "doc_tokens", "p.sequence_id", "p.offset")
 
 
