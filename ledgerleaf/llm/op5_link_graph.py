@@ -1,7 +1,7 @@
 """Link-graph propagation: personalised PageRank from trusted hosts, reversed distrust from blocked ones.
 
 Trust runs along host edges from the hosts that an allow rule fits; distrust runs against them, from the
-hosts that a block rule fits to those that link to them. Both start with mass 1 shared by their seeds and
+hosts that a block rule fits as a whole, not only below some path, to those that link to them. Both start with mass 1 shared by their seeds and
 return to the seeds with probability 1 - DAMPING and from hosts without edges. A host is blocked when its
 distrust exceeds THRESHOLD times its trust plus a floor.
 """
@@ -72,8 +72,8 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     return now
 
 
-def _seeds(judged: DataFrame, verdict: str) -> DataFrame:
-    found = judged.where(f"host <> '' and judged.verdict = '{verdict}'").select("host").distinct()
+def _seeds(judged: DataFrame, verdict: str, whole: bool) -> DataFrame:
+    found = judged.where(f"host <> '' and judged.verdict = '{verdict}'" + " and judged.rule like '%/' and judged.rule not like '%/%/'" * whole).select("host").distinct()
     found, _ = C.written(found, "seeds")
     n = found.count()
     return found.withColumn("mass", F.lit(1.0 / n if n else 0.0))
@@ -91,9 +91,9 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     judged = judged.withColumn("judged", best_rule(F.col("host"), F.col("path"), rules))
     edges, _ = C.written(host_edges(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))), "host-edges")
-    trust = personalised_rank(edges, _seeds(judged, "allow"))
+    trust = personalised_rank(edges, _seeds(judged, "allow", whole=False))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(back, _seeds(judged, "block"))
+    distrust = personalised_rank(back, _seeds(judged, "block", whole=True))
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
     scores, _ = C.written(scores, "host-scores")
     zero = F.lit(0.0)

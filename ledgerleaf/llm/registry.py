@@ -10,6 +10,7 @@ from ledgerleaf.llm.op2_jaccard_join import jaccard_join
 from ledgerleaf.llm.op4_token_orc import op4_token_orc
 from ledgerleaf.llm.op5_link_graph import op5_link_graph
 from ledgerleaf.llm.op6_decontamination import op6_decontamination
+from ledgerleaf.llm.op7_repeats import op7_repeats
 from ledgerleaf.llm.op8_personal_data import op8_personal_data
 from ledgerleaf.llm.op9_sharding import op9_sharding
 from ledgerleaf.llm.op10_packing import op10_packing
@@ -21,7 +22,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_jaccard_join, op4_token_orc, op5_link_graph, op6_decontamination, op8_personal_data, op9_sharding, op10_packing)
+    for f in (op1_quality, op2_jaccard_join, op4_token_orc, op5_link_graph, op6_decontamination, op7_repeats, op8_personal_data, op9_sharding, op10_packing)
 }
 #: None of the queries has its rows through plain SQL on whole tables: each is tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
