@@ -1,6 +1,52 @@
-STAGES = []
+"""From raw documents to packed training sequences: five stages, each calling one training-data operator."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerleaf.llm.common import load, written
+from ledgerleaf.llm.op1_quality import kept_documents
+from ledgerleaf.llm.op2_jaccard_join import one_of_each
+from ledgerleaf.llm.op6_decontamination import without_spans
+from ledgerleaf.llm.op8_personal_data import redacted
+from ledgerleaf.llm.op10_packing import digest, pack
+
+#: The last stages' rows come from statistics, an automaton and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return kept_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose five-word shingle sets are linked by a Jaccard similarity of 0.8 or more."""
+    return one_of_each(docs, width=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words under benchmark windows; those at least half covered go."""
+    return without_spans(docs, load(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by the names of its kinds."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return digest(pack(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("packing", packing)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written and read again."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -220,6 +220,24 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     return out
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with its own columns: of each component, and of rows that repeat a doc_id, one row stays.
+
+    The smallest doc_id of a component stays. Rows without words, and rows with a null doc_id, all stay.
+    """
+    spark = docs.sparkSession
+    found, found_at = C.written(jaccard_join(docs, width, percent), "joined")
+    gone, _ = C.written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    again, _ = C.written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    C.dropped(spark, found_at)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return kept
+    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
 def _components(edges: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, str]:
     for x in links:
         edges = edges.unionByName(x)

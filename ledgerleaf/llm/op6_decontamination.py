@@ -190,6 +190,10 @@ def _scan(shared, clean: int | None):
                 keep = pa.array([r is not False for r in rows])
                 changed = [r if r is not False else None for r in rows]
                 out = batch.set_column(batch.schema.get_field_index("text"), batch.schema.field("text"), pa.array(changed, batch.schema.field("text").type))
+                if (i := batch.schema.get_field_index("n_chars")) >= 0:
+                    olds = zip(batch.column(i).to_pylist(), batch.column(batch.schema.get_field_index("text")).to_pylist(), changed, strict=True)
+                    sizes = [n if r == t or r is None else len(r) for n, t, r in olds]
+                    out = out.set_column(i, batch.schema.field(i), pa.array(sizes, batch.schema.field(i).type))
                 yield out.filter(keep)
 
     return run
@@ -213,7 +217,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = 50) -> DataFrame:
     """``docs`` with its own columns, hit spans cut out of the text; rows go whose hit words reach ``coverage`` percent.
 
-    Rows without a hit, null and empty texts included, stay as they are.
+    Rows without a hit, null and empty texts included, stay as they are; n_chars, where there is one, follows
+    a changed text.
     """
     spark = docs.sparkSession
     C.small_batches(spark)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerleaf.llm.common import load
 from ledgerleaf.llm.op1_quality import op1_quality
 from ledgerleaf.llm.op2_jaccard_join import jaccard_join
+from ledgerleaf.llm.op3_license_scan import op3_license_scan
 from ledgerleaf.llm.op4_token_orc import op4_token_orc
 from ledgerleaf.llm.op5_link_graph import op5_link_graph
 from ledgerleaf.llm.op6_decontamination import op6_decontamination
@@ -22,7 +23,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_jaccard_join, op4_token_orc, op5_link_graph, op6_decontamination, op7_repeats, op8_personal_data, op9_sharding, op10_packing)
+    for f in (op1_quality, op2_jaccard_join, op3_license_scan, op4_token_orc, op5_link_graph, op6_decontamination, op7_repeats, op8_personal_data, op9_sharding, op10_packing)
 }
 #: None of the queries has its rows through plain SQL on whole tables: each is tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
