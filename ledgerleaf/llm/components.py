@@ -25,11 +25,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour is tied to the smallest one
         large, large_at = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
         # small star: every smaller neighbour, and the node itself, is tied to the smallest one
-        least, least_at = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        # (a node has few smaller neighbours now, so their minimum needs no table of its own)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new, at = written(small, "edges")
         before, mark = mark, _mark(new)
-        dropped(spark, path, low_at, large_at, least_at)
+        dropped(spark, path, low_at, large_at)
         path, now = at, new
         if mark == before:
             break

@@ -11,9 +11,11 @@ Signatures of an empty subset say nothing. SPARE further partitions per set pay
 empty subset keeps them all, so no link is lost.
 
 Within the holders of one signature pairs are never all emitted. The smallest holder is checked against
-the others first; holders that are linked need no further check, and only signatures whose holders still
-lie in different components go on, with the next leaders, until none is left. A parity bitmap bounds the
-Hamming distance from below and spares most exact checks; it never drops a linked pair.
+the others first; holders that are linked need no further check. Signatures whose holders still lie in
+different components go on in passes: blocks of BLOCK holders are compared by their parity bitmaps, which
+bound the Hamming distance from below, and every holder takes the first of the others that may be near and
+lies in another component to the exact check; the next pass goes on behind that one, until no holder finds
+any. Each pass emits at most one pair for each holder, and no linked pair is passed over.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from ledgerleaf.llm.words import LOWER, WORD, mixed, shingles
 K2, N2 = 1, 3
 #: Ids and bitmaps broadcast for exact checks: at most so many rows (8 bytes each); beyond, Spark shuffles both sides.
 BROADCAST_IDS = 500_000
+#: Holders of one signature that are compared at once.
+BLOCK = 256
 
 
 def bands(percent: int, top: int = 1 << 40) -> list[tuple[int, int]]:
@@ -85,9 +89,9 @@ def signatures(features: np.ndarray, percent: int, band_list: list[tuple[int, in
 
 
 def bitmap(features: np.ndarray) -> bytes:
-    """Parities of feature counts in a power of two of cells near the set's size; differing bits bound the distance."""
-    cells = 64
-    while cells < len(features):
+    """Parities of feature counts in a power of two of cells, twice the set's size or more; differing bits bound the distance."""
+    cells = 128
+    while cells < 2 * len(features):
         cells *= 2
     counts = np.bincount((features >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells) & 1
     return np.packbits(counts.astype(np.uint8)).tobytes()
@@ -103,6 +107,11 @@ def far_apart(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) > (na + nb) * (100 - percent)
 
 
+def name_of(features: np.ndarray) -> int:
+    """A 64-bit name of the set: equal sets, and no others but by a chance of 2^-64 a pair, share it."""
+    return int(mixed(mixed(features ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+
+
 def _sets(width: int, percent: int):
     band_list = bands(percent)
 
@@ -112,13 +121,12 @@ def _sets(width: int, percent: int):
             for text in batch.column(1).cast(pa.binary()):
                 f = shingles(WORD.findall(text.as_py().translate(LOWER)) if text.is_valid else [], width)
                 n.append(len(f))
-                # two sums of independent mixes: a 128-bit name of the set
-                key.append(np.array([mixed(f).sum(dtype=np.uint64), mixed(f ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)]).tobytes() if len(f) else None)
+                key.append(name_of(f) if len(f) else None)
                 bits.append(bitmap(f) if len(f) else b"")
                 sigs.append(signatures(f, percent, band_list).view(np.int64))
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
             at = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(at, pa.array(flat))], names=["doc_id", "n_shingles", "set_key", "bits", "sigs"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(at, pa.array(flat))], names=["doc_id", "n_shingles", "sid", "bits", "sigs"])
 
     return run
 
@@ -126,8 +134,8 @@ def _sets(width: int, percent: int):
 def _features(width: int):
     def run(batches):
         for batch in batches:
-            out = [shingles(WORD.findall(t.as_py().translate(LOWER)), width).tobytes() for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "features"])
+            out = [shingles(WORD.findall(t.as_py().translate(LOWER)), width) for t in batch.column(0).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(f) for f in out], pa.int64()), pa.array([f.tobytes() for f in out], pa.binary())], names=["id", "features"])
 
     return run
 
@@ -156,68 +164,78 @@ def _linked(percent: int):
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, and n_copies of the same set.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, and n_copies, the rows that have the same set.
 
     Whole texts are lower-cased in A-Z and split at ASCII white space. A null or empty text, or one without
     words, has no shingles, links with nothing and is its own component; fewer words than ``width`` are one
-    shingle. A document's component is the smallest doc_id that links lead to, itself included. Rows with a
-    null doc_id give rows with a null component. Repeated rows stay repeated. Other columns do not matter.
-    An empty table gives no rows. A doc_id that occurs with several texts joins what they link with.
+    shingle. A document's component is the smallest doc_id that links lead to, itself included. A row with a
+    null doc_id has a null component and links with nothing. Repeated rows stay repeated; rows that repeat a
+    doc_id with other texts are judged each by its own text. Other columns do not matter. An empty table gives
+    no rows.
     """
     spark = docs.sparkSession
     C.small_batches(spark)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, set_key binary, bits binary, sigs array<long>"
-    sets, sets_at = C.written(slim.mapInArrow(_sets(width, percent), schema), "sets")
-    used = sets.where("doc_id is not null and set_key is not null")
-    # One representative, the smallest doc_id, stands for all copies of a set.
-    named, named_at = C.written(used.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "names")
-    copied = named.where("n_copies > 1")
-    copies, copies_at = C.written(used.select("set_key", "doc_id").join(copied, "set_key").where("doc_id <> rep").select("doc_id", "rep").distinct(), "copies")
-    # A row is its set's representative unless its id stands for something smaller.
-    reps = used.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    parts = max(C.partitions(spark), 1)
-    rows = reps.select(F.explode("sigs").alias("sig"), "doc_id").repartition(parts, "sig")
+    sets, sets_at = C.written(slim.mapInArrow(_sets(width, percent), "doc_id long, n_shingles long, sid long, bits binary, sigs array<long>"), "sets")
+    used = sets.where("doc_id is not null and sid is not null")
+    # All copies of a set are one node; their smallest doc_id stands for them.
+    named, named_at = C.written(used.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "names")
+    copied = named.where("n_copies > 1").select("sid", "rep")
+    reps = used.join(_bounded(copied), "sid", "left").where("rep is null or rep = doc_id")
+    rows = reps.select(F.explode("sigs").alias("sig"), F.col("sid").alias("doc")).repartition(C.partitions(spark), "sig")
     w = Window.partitionBy("sig")
     held = rows.select(
-        "sig", "doc_id", F.min("doc_id").over(w).alias("low"), F.max("doc_id").over(w).alias("high"),
-        F.sum(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1))).over(w).alias("members"),
-    ).where("low <> high")
-    # Signatures held by the same documents say the same: (low, high, members) names the holders.
-    held = held.select(F.xxhash64("low", "high", "members").alias("grp"), "doc_id", F.col("low").alias("leader")).distinct()
+        "doc", F.min("doc").over(w).alias("low"), F.max("doc").over(w).alias("high"), F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 40) - 1))).over(w).alias("members")
+    ).where("low <> high")
+    # Signatures held by the same sets say the same: (low, high, members) names the holders.
+    held = held.select(F.xxhash64("low", "high", "members").alias("grp"), "doc", F.col("low").alias("leader")).distinct()
     held, held_at = C.written(held, "held")
-    info = reps.select("doc_id", "n_shingles", "bits")
-    edges = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    paths = [sets_at, named_at, copies_at, held_at]
-    # First every member against one leader only, then what still lies apart.
-    first = held.where("doc_id <> leader").groupBy("doc_id").agg(F.min("leader").alias("leader"))
-    found, at = _check(spark, slim, info, first.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), width, percent)
-    links, paths = [found], [*paths, at]
-    comp, comp_at = _components(edges, links)
-    rest = _apart(held.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), comp)
-    found, at = _check(spark, slim, info, rest, width, percent)
-    links, paths = [*links, found], [*paths, at, comp_at]
-    comp, comp_at = (comp, comp_at) if found.isEmpty() else _components(edges, links)
-    # Signatures whose members, the leader aside, still lie in several components go on with the next leaders.
-    state = _open(held.where("doc_id <> leader").select("grp", "doc_id"), comp)
-    done, step = 0, 1
-    open_rows, open_at = C.written(state.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("doc_id"))), "open")
-    while not open_rows.where(F.col("rank") > done + 1).isEmpty():
-        lead = open_rows.where((F.col("rank") > done) & (F.col("rank") <= done + step)).select("grp", F.col("doc_id").alias("a"), F.col("rank").alias("ra"))
-        pairs = open_rows.join(lead, "grp").where("rank > ra").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        found, at = _check(spark, slim, info, _apart(pairs, comp), width, percent)
-        links, paths = [*links, found], [*paths, at, comp_at, open_at]
-        comp, comp_at = (comp, comp_at) if found.isEmpty() else _components(edges, links)
-        done, step = done + step, min(step * 4, 256)
-        open_rows, open_at = C.written(_open(open_rows.select("grp", "doc_id", "rank"), comp), "open")
-    out = (
-        sets.select("doc_id", "n_shingles", "set_key")
-        .join(named.where("n_copies > 1").select("set_key", "n_copies"), "set_key", "left")
-        .join(comp, F.col("doc_id") == F.col("node"), "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-    )
-    C.dropped(spark, open_at, *(p for p in paths if p not in (sets_at, named_at, comp_at)))
-    return out
+    info, info_at = C.written(reps.select(F.col("sid").alias("doc"), "n_shingles", "bits", "doc_id").join(_bounded(held.select("doc").distinct()), "doc"), "info")
+    check = lambda pairs: _check(slim, info, pairs, width, percent)
+    others = held.where("doc <> leader")
+    # First every member against one leader only, then against the leaders of its other signatures.
+    links, first_at = check(others.groupBy("doc").agg(F.min("leader").alias("leader")).select(F.col("leader").alias("a"), F.col("doc").alias("b")))
+    comp, comp_at = C.written(components(links), "components")
+    paths = [held_at, info_at, first_at]
+    found, at = check(_apart(others.select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), comp))
+    links, comp, comp_at, paths = _grown(links, found, at, comp, comp_at, paths)
+    # Signatures whose members, the leader aside, still lie in several components go on in passes over blocks.
+    left = _open(others.select("grp", "doc"), comp).withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("doc")))
+    left = left.withColumns({"last": F.max("rank").over(Window.partitionBy("grp")), "seen": F.lit(0)})
+    left, left_at = C.written(left.join(info.select("doc", "n_shingles", "bits"), "doc"), "open")
+    while not left.isEmpty():
+        ahead, ahead_at = C.written(_next(left, comp, percent), "next")
+        if ahead.isEmpty():
+            paths = [*paths, ahead_at]
+            break
+        found, at = check(ahead.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct())
+        links, comp, comp_at, paths = _grown(links, found, at, comp, comp_at, [*paths, left_at, ahead_at])
+        # Who found nobody is done; it stays for the others to find.
+        left = left.drop("seen").join(ahead.select("grp", "doc", F.col("other_rank").alias("seen")), ["grp", "doc"], "left")
+        left, left_at = C.written(left.withColumn("seen", F.coalesce("seen", "rank")), "open")
+    # Back from sets to documents: a component is called by its smallest doc_id.
+    linked = comp.join(named.select(F.col("sid").alias("node"), "rep", "n_copies"), "node", "left")
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    labels = linked.join(least, "component").select(F.col("node").alias("sid"), "component_id", "n_copies")
+    alone = named.where("n_copies > 1").join(comp.select(F.col("node").alias("sid")), "sid", "left_anti").select("sid", F.col("rep").alias("component_id"), "n_copies")
+    labels, _ = C.written(labels.unionByName(alone), "labels")
+    C.dropped(spark, named_at, left_at, comp_at, *paths)
+    out = sets.select("doc_id", "n_shingles", "sid").join(labels, "sid", "left")
+    named_by = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", named_by.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+
+
+def _bounded(small: DataFrame) -> DataFrame:
+    """Broadcast up to BROADCAST_IDS rows of a few numbers; beyond, Spark shuffles both sides."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+
+
+def _grown(links: DataFrame, found: DataFrame, at: str, comp: DataFrame, comp_at: str, paths: list[str]) -> tuple:
+    if found.isEmpty():
+        return links, comp, comp_at, [*paths, at]
+    links = links.unionByName(found)
+    new, new_at = C.written(components(links), "components")
+    return links, new, new_at, [*paths, at, comp_at]
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -238,47 +256,88 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
 
 
-def _components(edges: DataFrame, links: list[DataFrame]) -> tuple[DataFrame, str]:
-    for x in links:
-        edges = edges.unionByName(x)
-    return C.written(components(edges), "components")
-
-
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different components."""
     a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    joined, _ = C.written(pairs.join(a, "a", "left"), "apart")
-    return joined.join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The members of those groups that hold more than one component."""
-    c, _ = C.written(members.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "members")
-    several, _ = C.written(c.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("grp"), "several")
-    return c.drop("component").join(several, "grp")
-
-
-def _check(spark: SparkSession, docs: DataFrame, info: DataFrame, pairs: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
-    """The linked pairs (a, b) among candidates, by exact intersection of the feature sets."""
-    pairs, pairs_at = C.written(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs, pairs_at
-    one = pairs.join(info.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a"), F.col("n_shingles").alias("n_a")), "a")
-    one, one_at = C.written(one.where("n_a > 0"), "half")
-    both = one.join(info.select(F.col("doc_id").alias("b"), F.col("bits").alias("bits_b"), F.col("n_shingles").alias("n_b")), "b")
+    c = members.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = c.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("grp")
+    return members.join(several, "grp")
+
+
+def _next(left: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """(grp, doc, other, other_rank): for each member the first one, beyond those it has seen, that may be near and lies apart."""
+    now = left.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    blk, n = F.expr(f"(rank - 1) div {BLOCK}"), F.expr(f"(last - 1) div {BLOCK}")
+    # A block of members meets each block of others that come before it, and itself.
+    as_member = now.where("seen < rank - 1").select("*", blk.alias("hi"), F.explode(F.sequence(F.expr(f"seen div {BLOCK}"), blk)).alias("lo"), F.lit(True).alias("member"))
+    as_other = now.select("*", F.explode(F.sequence(blk, n)).alias("hi"), blk.alias("lo"), F.lit(False).alias("member"))
+    cols = ["grp", "lo", "hi", "member", "rank", "seen", "doc", "component", "n_shingles", "bits"]
+    both = as_member.select(*cols).unionByName(as_other.select(*cols)).repartition(C.partitions(left.sparkSession), "grp", "lo", "hi")
+    near = both.mapInArrow(_first_near(percent), "grp long, doc long, other long, other_rank int")
+    best = near.groupBy("grp", "doc").agg(F.min(F.struct("other_rank", "other")).alias("x"))
+    return best.select("grp", "doc", "x.other", "x.other_rank")
+
+
+def _first_near(percent: int):
+    def run(batches):
+        tables = [b for b in batches if len(b)]
+        if not tables:
+            return
+        t = pa.Table.from_batches(tables)
+        key = [t.column(c).to_numpy() for c in ("grp", "lo", "hi")]
+        member, rank, seen, doc, comp, size = (t.column(c).to_numpy() for c in ("member", "rank", "seen", "doc", "component", "n_shingles"))
+        bits = t.column("bits").to_pylist()
+        order = np.lexsort((rank, *key))
+        edge = np.flatnonzero(np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in key], axis=0), [True]]))
+        out = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            rows = order[a:b]
+            ms, os = rows[member[rows]], rows[~member[rows]]
+            if not len(ms) or not len(os):
+                continue
+            width = min(len(bits[i]) for i in rows)
+            x, y = (np.stack([_folded(bits[i], width) for i in side]) for side in (ms, os))
+            total = size[ms][:, None] + size[os][None]
+            ok = (rank[os][None] > seen[ms][:, None]) & (rank[os][None] < rank[ms][:, None]) & (comp[os][None] != comp[ms][:, None])
+            ok &= 100 * np.minimum(size[ms][:, None], size[os][None]) >= percent * np.maximum(size[ms][:, None], size[os][None])
+            apart = np.zeros(ok.shape, np.int64)
+            for w in range(x.shape[1]):
+                apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None])
+            ok &= apart * (100 + percent) <= total * (100 - percent)
+            for i in np.flatnonzero(ok.any(1)).tolist():
+                j = os[int(ok[i].argmax())]
+                out.append((int(key[0][ms[i]]), int(doc[ms[i]]), int(doc[j]), int(rank[j])))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int32() if i == 3 else pa.int64()) for i in range(4)], names=["grp", "doc", "other", "other_rank"])
+
+    return run
+
+
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 8 > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _check(docs: DataFrame, info: DataFrame, pairs: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
+    """The linked pairs (a, b) of sets among candidates, by exact intersection of the feature sets."""
+    one = pairs.join(info.select(F.col("doc").alias("a"), F.col("bits").alias("bits_a"), F.col("n_shingles").alias("n_a")), "a")
+    both = one.join(info.select(F.col("doc").alias("b"), F.col("bits").alias("bits_b"), F.col("n_shingles").alias("n_b")), "b")
     both = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     near, near_at = C.written(both.mapInArrow(_near(percent), "a long, b long"), "near")
     if near.isEmpty():
-        C.dropped(spark, one_at, near_at)
-        return pairs.limit(0), pairs_at
-    ends = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ends, ends_at = C.written(ends, "ends")
-    some = F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends
-    needed = docs.where("text is not null").join(some, "doc_id")
+        return near, near_at
+    ends = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    ids, ids_at = C.written(info.join(ends, "doc").select("doc_id").distinct(), "ends")
+    needed = docs.where("text is not null").join(_bounded(ids), "doc_id").select("text")
     feats, feats_at = C.written(needed.mapInArrow(_features(width), "id long, features binary"), "features", "lz4")
     left = near.join(feats.select(F.col("id").alias("a"), F.col("features").alias("fa")), "a")
-    left, left_at = C.written(left, "left", "lz4")
     right = left.join(feats.select(F.col("id").alias("b"), F.col("features").alias("fb")), "b")
     out, out_at = C.written(right.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
-    C.dropped(spark, pairs_at, one_at, near_at, ends_at, feats_at, left_at)
+    C.dropped(docs.sparkSession, near_at, ids_at, feats_at)
     return out, out_at

@@ -10,7 +10,7 @@ import xxhash
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words are runs of other bytes than ASCII white space; UTF-8 keeps this the same as on code points.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_LIMIT = 400_000
+_LIMIT = 300_000
 _cache: dict[bytes, int] = {}
 _digest = xxhash.xxh3_64_intdigest
 
