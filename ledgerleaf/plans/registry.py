@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from ledgerleaf.plans.base import ORACLES, QUERIES
+
+from ledgerleaf.plans import graph_queries, index_queries, metric_queries, ranking_queries, text_queries  # noqa: F401, I001  (each registers its queries)
+
+__all__ = ["ORACLES", "QUERIES"]
