@@ -168,8 +168,26 @@ def _passages(buckets: int):
     return run
 
 
-def _earlier(batches):
-    """All rows of a bucket: the passages that a smaller doc_id has too."""
+def _earlier(groups: int):
+    """All rows of a bucket: the passages that a smaller doc_id has too, packed into one row for each group of texts."""
+
+    def run(batches):
+        for rid, pos in _late(batches):
+            group = (rid.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+            order = np.lexsort((rid, group))
+            rid, pos, group = rid[order], pos[order], group[order]
+            at = np.searchsorted(group, np.arange(groups + 1))
+            rows = []
+            for g in np.flatnonzero(np.diff(at)).tolist():
+                s = slice(at[g], at[g + 1])
+                ids, times = np.unique(rid[s], return_counts=True)
+                rows.append((g, ids.tobytes(), times.astype("<i4").tobytes(), pos[s].astype("<i4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(4)], names=["grp", "rid", "times", "pos"])
+
+    return run
+
+
+def _late(batches):
     by_bucket: dict[int, list] = {}
     for t in batches:
         for row in zip(*(t.column(i).to_pylist() for i in range(6)), strict=True):
@@ -184,22 +202,35 @@ def _earlier(batches):
         first = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         least = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
         late = order[doc[order] > least]
-        late = late[np.argsort(rid[late], kind="stable")]
-        ids, at = np.unique(rid[late], return_index=True)
-        found = [np.sort(p).astype("<i4").tobytes() for p in np.split(pos[late], at[1:])] if len(ids) else []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["rid", "pos"])
+        if len(late):
+            yield rid[late], pos[late]
+
+
+def _removed(batches):
+    """All rows of a group of texts: the words under their late passages, as intervals by text."""
+    by_group: dict[int, list] = {}
+    for t in batches:
+        for row in zip(*(t.column(i).to_pylist() for i in range(4)), strict=True):
+            by_group.setdefault(row[0], []).append(row[1:])
+    for rows in by_group.values():
+        rid = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], "<i4")) for r in rows])
+        pos = np.concatenate([np.frombuffer(r[2], "<i4") for r in rows]).astype(np.int64)
+        order = np.lexsort((pos, rid))
+        rid, pos = rid[order], pos[order]
+        ids, at = np.unique(rid, return_index=True)
+        spans = [_merged(p, p + WINDOW).astype("<i4").tobytes() for p in np.split(pos, at[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.binary())], names=["rid", "spans"])
 
 
 def _cut(batches):
     for batch in batches:
         out = []
-        for t, parts in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
+        for t, packed in zip(batch.column(1).cast(pa.binary()), batch.column(2).to_pylist(), strict=True):
             words = WORD.findall(t.as_py()) if t.is_valid else []
             spans: list[list[int]] = []
             kept = words
-            if parts:
-                pos = np.sort(np.concatenate([np.frombuffer(p, "<i4") for p in parts])).astype(np.int64)
-                spans = _merged(pos, pos + WINDOW).tolist()
+            if packed:
+                spans = np.frombuffer(packed, "<i4").reshape(-1, 2).tolist()
                 kept, last = [], 0
                 for a, b in spans:
                     kept += words[last:a]
@@ -212,7 +243,7 @@ def _cut(batches):
 
 def _joined(texts: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     """Texts with their spans: broadcast while those are small, else both sides are shuffled."""
-    size = spans.agg(F.sum(F.lit(32) + F.length(F.col(spans.columns[1]) if spans.schema[1].dataType.typeName() == "binary" else F.array_join(F.transform(spans.columns[1], F.hex), "")))).first()[0] or 0
+    size = spans.agg(F.sum(F.length("spans") + 32)).first()[0] or 0
     return texts.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "rid", how)
 
 
@@ -239,12 +270,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     found = _joined(slim.select("rid", "doc", "text"), around, "inner").select("rid", "doc", "text", "spans")
     some = max(C.partitions(spark), buckets // 4)
     late = found.mapInArrow(_passages(some), "bucket int, h binary, pos binary, rid binary, doc binary, times binary")
-    late = late.repartition(some, "bucket").mapInArrow(_earlier, "rid long, pos binary")
-    late, late_at = C.written(late, "late")
+    late = late.repartition(some, "bucket").mapInArrow(_earlier(some), "grp int, rid binary, times binary, pos binary")
+    removed, _ = C.written(late.repartition(some, "grp").mapInArrow(_removed, "rid long, spans binary"), "removed")
     C.dropped(spark, hits_at, around_at)
-    removed, _ = C.written(late.groupBy("rid").agg(F.collect_list("pos").alias("parts")), "removed")
-    C.dropped(spark, late_at)
-    rows = _joined(slim.select("doc_id", "text", "rid"), removed, "left").select("doc_id", "text", "parts")
+    rows = _joined(slim.select("doc_id", "text", "rid"), removed, "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_words long, removed array<struct<start: long, end: long>>, kept string")
 
 
