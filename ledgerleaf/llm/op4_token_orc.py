@@ -30,8 +30,7 @@ def _encode(path: str, end_id: int):
     def run(batches):
         end, at = np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            enc = encoder(path)
-            blobs = [enc.encode(t) + end for t in batch.column(1).to_pylist()]
+            blobs = [ids + end for ids in encoder(path).encode_batch(batch.column(1).to_pylist())]
             sizes = np.array([len(b) // 4 for b in blobs], np.int64)
             edge = np.concatenate([[0], np.cumsum(sizes)])
             ids = pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
@@ -62,8 +61,8 @@ def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = N
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
-    # One row for each file: at most as many as there are partitions, so Spark broadcasts it as long as it is small.
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "ids")
+    # One row of two numbers for each file, and there are no more files than the writer had partitions: a proven bound.
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), "ids")
 
 
 def _digest(batches):

@@ -1,8 +1,9 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of white-space-delimited chunks.
+"""Token ids of whole texts by the tokenizers library, with a bounded cache of pre-tokens.
 
-Both vocabularies split a text before they merge: no piece holds a non-space character followed by white
-space. So a text may be cut before each run of spaces and newlines that follows another character, and each
-chunk encodes as it does in its text. Texts with any other white space are encoded whole.
+Both vocabularies cut a text into pre-tokens by a pattern and merge within each one alone. For texts of
+Latin-1 characters the patterns below are the same cut (one library drops white space and lower-cases, the
+other keeps a space before a word); each distinct pre-token then goes to the library once and is remembered.
+Any other text goes to the library whole. Tests hold the ids against the library's for random texts.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ import re
 
 import numpy as np
 
-_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_ODD = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-LIMIT = 700_000
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+_DROPS_SPACE = re.compile(f"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+_KEEPS_SPACE = re.compile(f"{_ENDINGS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_OTHER = re.compile("[^\\x00-\\xff]")
+#: Pre-tokens in a generation of the cache; two generations are kept, and what is still in use moves to the newer.
+LIMIT = 400_000
 _made: dict[str, "Encoder"] = {}
 
 
@@ -26,55 +30,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-        self.keeps_space = bool(self._ids("a a") != self._ids("a") + self._ids("a"))
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.keeps_space = self.whole("a a") != self.whole("a") * 2
+        self.pattern = _KEEPS_SPACE if self.keeps_space else _DROPS_SPACE
 
-    def _ids(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Chunks of letters, a stop or comma after them, are made of their parts; the rest goes to the library in one call."""
-        cache, parts, whole = self.cache, {}, []
+    def _learn(self, words: set[str]) -> None:
+        new, old = self.new, self.old
+        ask = []
         for w in words:
-            body = w.lstrip(" \n")
-            tail = body[-1:] if body[-1:] in (".", ",") else ""
-            if _PLAIN.fullmatch(stem := body[: len(body) - len(tail)]):
-                space = w[: len(w) - len(body)]
-                if not self.keeps_space:
-                    key = ["", stem.lower(), tail]
-                elif space[-1:] == " ":
-                    key = [space[:-1], " " + stem, tail]
-                else:
-                    key = [space, stem, tail]
-                if space in ("", " ", "\n") or not self.keeps_space:
-                    parts[w] = [k for k in key if k]
-                    continue
-            whole.append(w)
-        need = dict.fromkeys([*whole, *(k for ks in parts.values() for k in ks if k not in cache)])
-        need = [k for k in need if k not in cache]
-        for k, e in zip(need, self.tokenizer.encode_batch_fast(need, add_special_tokens=False), strict=True):
-            cache[k] = np.array(e.ids, "<u4").tobytes()
-        for w, ks in parts.items():
-            if len(ks) > 1 or ks[0] != w:
-                cache[w] = b"".join([cache[k] for k in ks])
+            if (ids := old.get(w)) is None:
+                ask.append(w)
+            else:
+                new[w] = ids
+        # Words of letters, one after the other, are cut as they are alone: one call for many.
+        space = "" if self.keeps_space else " "
+        plain = [w for w in ask if (w[0] == " " and w[1:].isalpha() if self.keeps_space else w.isalpha())]
+        for i in range(0, len(plain), 500):
+            part = plain[i : i + 500]
+            got = self.tokenizer.encode(space.join(part), add_special_tokens=False)
+            ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(ids)]]).tolist()
+            assert len(edge) == len(part) + 1
+            raw = ids.tobytes()
+            for w, a, b in zip(part, edge, edge[1:], strict=False):
+                new[w] = raw[4 * a : 4 * b]
+        rest = [w for w in ask if w not in new]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            new[w] = np.array(e.ids, "<u4").tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.new) > LIMIT:
+            self.old, self.new = self.new, {}
+        find, get = self.pattern.findall, self.new.get
+        cut: list[list[str] | None] = []
+        missing: set[str] = set()
+        for t in texts:
+            if _OTHER.search(t):
+                cut.append(None)
+                continue
+            words = find(t if self.keeps_space else t.lower())
+            cut.append(words)
+            missing.update(words)
+        missing -= self.new.keys()
+        if missing:
+            self._learn(missing)
+        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._ids(text)
-        chunks = _CHUNK.findall(text)
-        if not self.keeps_space:
-            chunks = text.replace("\n", " ").split(" ")
-            chunks = [c for c in chunks if c]
-        try:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            if len(self.cache) > LIMIT:
-                self.cache.clear()
-            self._learn([w for w in dict.fromkeys(chunks) if w not in self.cache])
-            return b"".join(map(self.cache.__getitem__, chunks))
+        return self.encode_batch([text])[0]
 
 
 def encoder(path: str) -> Encoder:
