@@ -149,9 +149,9 @@ def _encode(path: str, end_id: int, sequence: int):
         ranks: dict[int, int] = {}
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            enc, cols = encoder(path), ([], [], [], [], [], [], [])
-            for t in batch.column(1).to_pylist():
-                ids = enc.encode(t) + end
+            cols = ([], [], [], [], [], [], [])
+            for ids in encoder(path).encode_batch(batch.column(1).to_pylist()):
+                ids += end
                 n = len(ids) // 4
                 rest = n % sequence
                 kind = kind_of(rest)
@@ -207,7 +207,8 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     n_over = sum(histogram.values()) - sum(n * (bundle_of(k) if k < SHORT else 1) for k, n in taken.items())
     tokens_over = n_over * sequence  # an upper bound; ids of whole sequences follow
     base = sequences + tokens_over // sequence + 1
-    whole = rows.join(fulls, "part").join(placed.unionByName(over), ["part", "row"], "left")
+    # fulls has two numbers for each written file: a proven bound. The ids are shuffled once, to meet their places.
+    whole = rows.join(F.broadcast(fulls), "part").join(placed.unionByName(over), ["part", "row"], "left")
     full = F.transform(
         F.expr(f"sequence(0L, doc_tokens div {sequence})"),
         lambda i: F.struct((i * sequence).alias("start"), F.lit(sequence).cast("long").alias("length"), (base + F.col("fulls") + F.col("full") + i).alias("sequence_id"), F.lit(0).cast("long").alias("offset")),
