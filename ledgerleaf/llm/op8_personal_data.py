@@ -49,6 +49,7 @@ CUES = {
 AGAINST = r"(?i)(version|isbn|issn|doi|page|section|fig|order|invoice|serial|price|\bid\b|\bno\b|\bnr\b|[$€£#])\W{0,3}$"
 LABELERS = ("strict", "shape", "gazetteer", "context")
 THRESHOLD, BEFORE = 0.8, 24
+PRIOR_VOTES = 20.0
 
 
 def _found(df: DataFrame, text: Column, name: str, pattern: str, hint: str) -> DataFrame:
@@ -133,26 +134,30 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 def estimate(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 100) -> dict[tuple, float]:
     """Expectation-maximisation over (kind, votes, count): how likely each (kind, votes) is private.
 
-    Votes are taken as independent given the truth. A labeler starts as right in 0.8 of its votes; the
-    estimates are smoothed by one vote of each kind, so that unseen votes stay possible.
+    Votes are taken as independent given the truth, and a labeler that does not vote says nothing. It starts
+    as right in 0.8 of its votes, with the weight of PRIOR_VOTES, and is never taken to be worse than chance.
+    Whatever the strict patterns and their checks accept is private, and what they refuse is not.
     """
     prior = dict.fromkeys({k for k, _, _ in counts}, 0.5)
-    table = [{truth: {v: (0.8 if v == (1 if truth else -1) else 0.3 if v == 0 else 0.2) for v in (-1, 0, 1)} for truth in (0, 1)} for _ in LABELERS]
+    # table[i][truth]: how often labeler i votes for, when it votes
+    table = [[0.2, 0.8] for _ in LABELERS]
     posterior: dict[tuple, float] = {}
     for _ in range(rounds):
         for kind, votes, _n in counts:
-            yes, no = math.log(prior[kind]), math.log(1 - prior[kind])
+            odds = math.log(prior[kind] / (1 - prior[kind]))
             for t, v in zip(table, votes, strict=True):
-                yes, no = yes + math.log(t[1][v]), no + math.log(t[0][v])
-            posterior[kind, votes] = 1 / (1 + math.exp(max(-500, min(500, no - yes))))
+                if v:
+                    odds += math.log(t[1] / t[0]) if v > 0 else math.log((1 - t[1]) / (1 - t[0]))
+            posterior[kind, votes] = 1.0 if votes[0] > 0 else 0.0 if votes[0] < 0 else 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
         for kind in prior:
-            n = sum(c for k, _, c in counts if k == kind)
-            prior[kind] = (1 + sum(c * posterior[k, v] for k, v, c in counts if k == kind)) / (2 + n)
+            rows = [(n, posterior[k, v]) for k, v, n in counts if k == kind]
+            prior[kind] = (PRIOR_VOTES / 2 + sum(n * p for n, p in rows)) / (PRIOR_VOTES + sum(n for n, _ in rows))
         for i, t in enumerate(table):
             for truth in (0, 1):
-                seen = {v: 1.0 + sum(c * (posterior[k, vs] if truth else 1 - posterior[k, vs]) for k, vs, c in counts if vs[i] == v) for v in (-1, 0, 1)}
-                total = sum(seen.values())
-                t[truth] = {v: x / total for v, x in seen.items()}
+                cast = [(n * (posterior[k, v] if truth else 1 - posterior[k, v]), v[i] > 0) for k, v, n in counts if v[i]]
+                t[truth] = (PRIOR_VOTES * (0.8 if truth else 0.2) + sum(n for n, yes in cast if yes)) / (PRIOR_VOTES + sum(n for n, _ in cast))
+            if t[1] < t[0]:
+                t[0] = t[1] = (t[0] + t[1]) / 2
     return posterior
 
 
