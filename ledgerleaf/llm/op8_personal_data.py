@@ -127,7 +127,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.select(*keep, F.concat(*base).alias("pii_seen"), F.concat(*more).alias("pii_loose"))
     seen = F.col("pii_seen")
     base = F.filter(seen, lambda x: x["strict"] == 1)
-    apart = lambda x: ~F.exists(seen, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    # A candidate lies apart from every base span, and from what the strict check of its own kind has refused.
+    weighs = lambda b, x: (b["strict"] == 1) | (b["kind"] == x["kind"])
+    apart = lambda x: ~F.exists(seen, lambda b: weighs(b, x) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
     return out.select(*keep, base.alias("pii_base"), F.filter(F.col("pii_loose"), apart).alias("pii_more"), F.filter(seen, lambda x: x["strict"] == -1).alias("pii_refused"))
 
 
