@@ -6,12 +6,15 @@ import gc
 import itertools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _serial = itertools.count()
 _own: list[str] = []
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,8 +55,23 @@ def release(spark: SparkSession | None = None) -> None:
         spark.sparkContext._jvm.System.gc()
 
 
+def shipped(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once for each application: they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="ledgerleaf-src-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(at.resolve()))
+    _shipped.add(sc.applicationId)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bound what one Arrow batch of whole texts holds; Python workers stay within their memory."""
+    shipped(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

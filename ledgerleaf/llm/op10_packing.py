@@ -85,7 +85,8 @@ def column_generation(sizes: list[int], demand: list[int], capacity: int, gap: f
         value, pattern = knapsack(size, np.maximum(inverse.sum(0), 0), capacity)
         if value <= 1 + gap:
             break
-        direction = inverse[:, list(pattern)] @ np.array(list(pattern.values()), float)
+        # (a sum, not a matrix product: it is small, and threads of a BLAS would only get in each other's way)
+        direction = (inverse[:, list(pattern)] * np.array(list(pattern.values()), float)).sum(1)
         ratio = np.where(direction > 1e-9, use / np.maximum(direction, 1e-9), np.inf)
         out = int(ratio.argmin())
         theta = ratio[out]
