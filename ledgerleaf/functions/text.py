@@ -215,7 +215,9 @@ def normalize_citation(text: Column) -> Column:
 
 def bigrams(text: Column) -> Column:
     t = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: t.substr(i, F.lit(2)))))
+    chars = F.split(t, "")  # once a row: cutting each bigram from the text is quadratic in its length
+    n = F.length(t) - 1
+    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), F.greatest(n, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, b))))
 
 
 def dice(a: Column, b: Column) -> Column:

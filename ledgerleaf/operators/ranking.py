@@ -131,15 +131,18 @@ def rank_evidence(wide: DataFrame, k: int = 10, weights: dict[str, float] | None
 def dice_pairs(texts: DataFrame, key: str, band: Column, least: float = 0.95) -> DataFrame:
     """(a, b, similarity): pairs of one band whose character bigrams have a Dice coefficient of at least ``least``.
 
-    Only pairs that share one of their rarest bigrams, as many as any similar pair must share, are compared.
+    Only pairs that share one of their rarest bigrams, as many as any similar pair must share, are compared, and of
+    these only where the sizes and what follows the shared bigram leave room for enough others.
     """
     rows = texts.select(F.col(key).alias("id"), band.alias("band"), T.bigrams(F.col("text")).alias("grams"))
     df = rows.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
     ordered = rows.select("id", "band", F.explode("grams").alias("g")).join(df, "g").groupBy("id", "band").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     prefix = (F.size("o") - F.ceil(F.size("o") * least / (2 - least)) + 1).cast("int")
-    keys = ordered.select("id", "band", F.explode(F.slice("o.g", F.lit(1), F.greatest(F.lit(1), prefix))).alias("g"))
-    a, b = keys.withColumnRenamed("id", "a"), keys.withColumnRenamed("id", "b")
-    pairs = a.join(b, ["band", "g"]).where("a < b").select("a", "b").distinct()
+    keys = ordered.select("id", "band", F.size("o").alias("n"), F.posexplode(F.slice("o.g", F.lit(1), F.greatest(F.lit(1), prefix))).alias("i", "g"))
+    a, b = (keys.select("band", "g", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "i"))) for side in "ab")
+    # At the first shared bigram of a similar pair, all that they share is still to come on both sides.
+    room = 2.0 * F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) / (F.col("n_a") + F.col("n_b"))
+    pairs = a.join(b, ["band", "g"]).where((F.col("id_a") < F.col("id_b")) & (room >= least)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     left = pairs.join(rows.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(rows.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     return left.select("a", "b", T.dice(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= least)
 

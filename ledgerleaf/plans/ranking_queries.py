@@ -184,6 +184,12 @@ def dice_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.dice_pairs(short, "doc_id", F.expr("n_chars div 200")).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def dice_near_dups_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Near duplicates among all documents, of any length and across the bands of dice_near_dups."""
+    return ranking.dice_pairs(table(spark, sf, "documents"), "doc_id", F.lit(0)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def evidence_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     hits = _bm25(spark, sf, textbook=False)

@@ -143,6 +143,34 @@ def test_dedupe_keeps_the_best(spark):
     assert [r.duplicate_reason for r in got] == [None, "duplicate_path", "duplicate_text", "duplicate_node_id", None]
 
 
+def _brute_dice(texts):
+    def grams(t):
+        t = " ".join(t.lower().split())
+        return {t[i : i + 2] for i in range(len(t) - 1)}
+
+    g = {i: grams(t) for i, t in texts if t is not None}
+    score = {(a, b): 2.0 * len(g[a] & g[b]) / ((len(g[a]) + len(g[b])) or 1) for a in g for b in g if a < b}
+    return {k: round(v, 6) for k, v in score.items() if v >= 0.95}
+
+
+def test_near_dups_of_any_length_and_across_bands(spark, tmp_path):
+    from ledgerleaf.plans import registry
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
+    texts = []
+    for size in (10, 30, 60, 150, 400) * 6:
+        t = " ".join(word() for _ in range(size))
+        texts += [t, t[:-1], t + " " + word(), t.replace("a", "q", 3)]
+    edge = " ".join(word() for _ in range(80))[:399]
+    texts += [edge, edge + "zz", "", "a", None, "aa", "aaa"]
+    rows = [(i, t, len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.a, r.b): r.similarity for r in registry.QUERIES["dice_near_dups_all"](spark, str(tmp_path)).collect()}
+    want = _brute_dice([r[:2] for r in rows])
+    assert got == want and (120, 121) in got and any(min(rows[a][2], rows[b][2]) >= 600 for a, b in got)
+
+
 def test_top_k_prunes_per_task(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("node_id"), F.rand(1).alias("score"))
     assert "WindowGroupLimit" in ranking.top_k(df, 5)._jdf.queryExecution().executedPlan().toString()
