@@ -1,15 +1,15 @@
 """License scans by conditional compression.
 
-A block is a paragraph, cut at empty lines, or a line, of at most BLOCK_CHARS with overlap. Blocks that hold
-a cue word are candidates. Each is compressed alone and with every template as a zstandard raw dictionary;
-templates are ranked by the share of bytes that they save. Winners are confirmed by exact differences in
-wording: the words that the best-aligned stretch of the block adds to the template and misses from it.
+A block is a paragraph, cut at empty lines, or a part of it where it is long, with overlap. The blocks of paragraphs
+that hold a cue word are candidates. The stretch of it that is best aligned with a template is compressed alone and
+with the template as a zstandard raw dictionary: what is saved does not depend on the text around it. Templates that
+save enough are confirmed by exact differences in wording: the words that the stretch adds and misses.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,25 +32,51 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUE = r"(?i)licen[sc]e|permission is hereby|redistribution and use|creative commons|public domain|cc by|copyright|spdx"
+#: Between words of a cue there may be a line's end and a comment's marks.
+CUE = r"(?i)licen[sc]e|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|creative[\W_]+commons|public[\W_]+domain|cc[\W_]+by|copyright|spdx"
 BLOCK_CHARS, OVERLAP, LEAST_SAVING, LEAST_WORDS = 2000, 400, 0.25, 0.8
-_WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+_WORD = re.compile(r"(?ai)[a-z0-9]+(?:\.[a-z0-9]+)*")  # hyphens part words, as lines may end after one
 _CUE = re.compile(CUE)
+_EMPTY = re.compile(r"\n[^\S\n]*(?=\n)")
+
+
+def blocks(text: str, longest: int = 0) -> list[tuple[int, str]]:
+    """(start, block) of every candidate: paragraphs with a cue, cut so that a stretch of twice ``longest`` is in one block."""
+    overlap = max(OVERLAP, 2 * longest)
+    size = max(BLOCK_CHARS, 2 * overlap)
+    out, at = [], 0
+    for end in [*(m.start() for m in _EMPTY.finditer(text)), len(text)]:
+        if _CUE.search(text, at, end):
+            out += [(i, text[i : min(i + size, end)]) for i in range(at, max(at + 1, end - overlap), size - overlap)]
+        at = end
+    return out
 
 
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(start, block) of every candidate: lines with a cue, joined while they follow each other, cut with overlap."""
-    out, at, run, start = [], 0, [], 0
-    for line in [*text.split("\n"), ""]:
-        if _CUE.search(line):
-            start = start if run else at
-            run.append(line)
-        elif run:
-            joined = "\n".join(run)
-            out += [(start + i, joined[i : i + BLOCK_CHARS]) for i in range(0, max(1, len(joined) - OVERLAP), BLOCK_CHARS - OVERLAP)]
-            run = []
-        at += len(line) + 1
-    return out
+def aligned(have: list[str], want: list[str], price: float, miss: float) -> list[tuple[int, int]]:
+    """Local alignment: (place in ``have``, place in ``want``) of the words matched; a match counts 1, an added word ``-price``, a missing one ``-miss``."""
+    width = len(want) + 1
+    score, back, best = [0.0] * width, [], (0.0, -1, -1)
+    for i, h in enumerate(have):
+        row, steps = [0.0] * width, bytearray(width)
+        for j in range(1, width):
+            x, step = 0.0, 0
+            if h == want[j - 1]:
+                x, step = score[j - 1] + 1, 1
+            if score[j] - price > x:
+                x, step = score[j] - price, 2
+            if row[j - 1] - miss > x:
+                x, step = row[j - 1] - miss, 3
+            row[j], steps[j] = x, step
+            if step == 1 and x > best[0]:
+                best = (x, i, j)
+        score = row
+        back.append(steps)
+    out, (_, i, j) = [], best
+    while i >= 0 and j > 0 and (step := back[i][j]):
+        if step == 1:
+            out.append((i, j - 1))
+        i, j = i - (step < 3), j - (step != 2)
+    return out[::-1]
 
 
 class Scanner:
@@ -58,37 +84,57 @@ class Scanner:
         import zstandard as z
 
         self.words = {name: _WORD.findall(t.lower()) for name, t in templates.items()}
+        self.longest = max(map(len, templates.values()), default=0)
         self.plain = z.ZstdCompressor(level=level, write_content_size=False, write_checksum=False)
         # A raw-content dictionary: matches may reach back into the template's bytes.
         self.primed = {n: z.ZstdCompressor(level=level, write_content_size=False, write_checksum=False, dict_data=z.ZstdCompressionDict(t.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for n, t in templates.items()}
 
-    def ranked(self, block: str) -> list[tuple[str, float]]:
-        """Templates by how many of their bytes the block no longer needs, best first; ties by name."""
-        raw = block.lower().encode()
+    def saving(self, stretch: str, name: str) -> float:
+        """Share of the template's bytes that the stretch no longer needs."""
+        raw = " ".join(stretch.lower().split()).encode()
         alone = len(self.plain.compress(raw))
-        saved = [(name, (alone - len(c.compress(raw))) / max(1, min(alone, sum(map(len, self.words[name]))))) for name, c in self.primed.items()]
-        return sorted(saved, key=lambda x: (-x[1], x[0]))
-
-    def differences(self, block: str, name: str) -> tuple[float, list[str], list[str]]:
-        """Share of the template's words found in order, words added between the first and the last, and words missing."""
-        have, want = _WORD.findall(block.lower()), self.words[name]
-        match = [m for m in difflib.SequenceMatcher(None, have, want, autojunk=False).get_matching_blocks() if m.size]
-        if not match:
-            return 0.0, [], want
-        inside = {i for m in match for i in range(m.a, m.a + m.size)}
-        found = {i for m in match for i in range(m.b, m.b + m.size)}
-        added = [have[i] for i in range(match[0].a, match[-1].a + match[-1].size) if i not in inside]
-        return len(found) / len(want), added, [w for i, w in enumerate(want) if i not in found]
+        return (alone - len(self.primed[name].compress(raw))) / max(1, min(alone, sum(map(len, self.words[name]))))
+
+    def differences(self, have: list[str], name: str) -> tuple[int, int, list[str], list[str]] | None:
+        """The stretch of ``have`` (first and end) that the template fits best, words it adds and words it misses; None where none fits."""
+        want = self.words[name]
+        # No stretch can have more of the template's words than the block.
+        if sum((Counter(have) & Counter(want)).values()) < LEAST_WORDS * len(want):
+            return None
+        for price, miss in ((0.5, 0.5), (0.25, 0.0)):  # the closest stretch; else one with more between its parts
+            match = aligned(have, want, price, miss)
+            if match and len(match) >= LEAST_WORDS * len(want):
+                first, end = match[0][0], match[-1][0] + 1
+                inside, found = {i for i, _ in match}, {j for _, j in match}
+                added = [have[i] for i in range(first, end) if i not in inside]
+                if len(added) <= len(want):
+                    return first, end, added, [w for j, w in enumerate(want) if j not in found]
+        return None
+
+    def best(self, block: str) -> tuple | None:
+        """(start, end, license, saving, added, missing) of the template that fits the block best; ties by saving, then name."""
+        at = [m.span() for m in _WORD.finditer(block)]
+        have = [block[i:j].lower() for i, j in at]
+        found = []
+        for name, want in self.words.items():
+            if fit := self.differences(have, name):
+                start, end, added, missing = at[fit[0]][0], at[fit[1] - 1][1], *fit[2:]
+                if (saving := self.saving(block[start:end], name)) >= LEAST_SAVING:
+                    found.append((len(added) + 2 * len(missing) - len(want), -saving, name, start, end, added, missing))
+        if not found:
+            return None
+        _, saving, name, start, end, added, missing = min(found)
+        return start, end, name, -saving, added, missing
 
     def scan(self, text: str) -> list[dict]:
-        out = []
-        for start, block in blocks(text):
-            # The best by savings are confirmed in turn; the first whose wording stands wins the block.
-            for name, saving in self.ranked(block)[:4]:
-                share, added, missing = self.differences(block, name)
-                if saving >= LEAST_SAVING and share >= LEAST_WORDS and len(added) <= len(self.words[name]):
-                    out.append({"license": name, "start": start, "length": len(block), "saving": round(saving, 4), "exact": not added and not missing, "added": added, "missing": missing})
-                    break
+        out, done = [], 0
+        for start, block in blocks(text, self.longest):
+            # What the last block has given is not searched again in the overlap.
+            start, block = max(start, done), block[max(0, done - start) :]
+            if fit := self.best(block):
+                first, end, name, saving, added, missing = fit
+                out.append({"license": name, "start": start + first, "length": end - first, "saving": round(saving, 4), "exact": not added and not missing, "added": added, "missing": missing})
+                done = start + end
         return out
 
 

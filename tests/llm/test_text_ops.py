@@ -83,6 +83,19 @@ def test_licenses(spark):
     assert op3_license_scan.scan_licenses(empty(spark)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["MIT-text", "BSD-3-Clause", "GPL-2.0", "MIT"])
+def test_wrapped_licenses(spark, name):
+    import textwrap
+
+    notice = op3_license_scan.TEMPLATES[name]
+    texts = ["word " * 300 + "\n" + "\n".join(mark + x for x in textwrap.wrap(notice, width)) + "\n" + "other " * 300 for width in (25, 40, 72) for mark in ("", "# ", " * ")]
+    texts += ["x " * 990 + notice + " y" * 2000, "\n \n".join(("no license here", notice, "nothing"))]  # across a cut; by itself
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op3_license_scan.scan_licenses(docs).collect():
+        assert [(x.license, x.exact) for x in r.found] == [(name, True)]
+        assert texts[r.doc_id][r.found[0].start :][: r.found[0].length].split()[0] == notice.split()[0]
+
+
 def test_token_orc_round_trip(spark):
     path = C.fresh_path(spark, "test")
     op4_token_orc.write_token_orc(frame(spark), path, public_tokenizers.path("word_bpe_49k.json"))
