@@ -19,6 +19,7 @@ from ledgerleaf.llm import common as C
 
 #: Names and notices of common licenses.
 TEMPLATES = {
+    "All-rights-reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -33,7 +34,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 #: Between words of a cue there may be a line's end and a comment's marks.
-CUE = r"(?i)licen[sc]e|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|creative[\W_]+commons|public[\W_]+domain|cc[\W_]+by|copyright|spdx"
+CUE = r"(?i)licen[sc]e|all[\W_]+rights[\W_]+reserved|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|creative[\W_]+commons|public[\W_]+domain|cc[\W_]+by|copyright|spdx"
 BLOCK_CHARS, OVERLAP, LEAST_SAVING, LEAST_WORDS = 2000, 400, 0.25, 0.8
 _WORD = re.compile(r"(?ai)[a-z0-9]+(?:\.[a-z0-9]+)*")  # hyphens part words, as lines may end after one
 _CUE = re.compile(CUE)
@@ -127,15 +128,21 @@ class Scanner:
         return start, end, name, -saving, added, missing
 
     def scan(self, text: str) -> list[dict]:
+        """All stretches that are confirmed and do not overlap, by place: what stands before and after one is searched again."""
         out, done = [], 0
-        for start, block in blocks(text, self.longest):
-            # What the last block has given is not searched again in the overlap.
-            start, block = max(start, done), block[max(0, done - start) :]
-            if fit := self.best(block):
-                first, end, name, saving, added, missing = fit
-                out.append({"license": name, "start": start + first, "length": end - first, "saving": round(saving, 4), "exact": not added and not missing, "added": added, "missing": missing})
-                done = start + end
-        return out
+        found = blocks(text, self.longest)
+        for (start, block), (after, _) in zip(found, [*found[1:], (len(text), "")], strict=True):
+            # What the last block has given is not searched again in the overlap; what begins there is left to the next block.
+            todo = [(max(start, done), block[max(0, done - start) :])]
+            while todo:
+                start, block = todo.pop()
+                if fit := self.best(block):
+                    first, end, name, saving, added, missing = fit
+                    if start + first < after:
+                        out.append({"license": name, "start": start + first, "length": end - first, "saving": round(saving, 4), "exact": not added and not missing, "added": added, "missing": missing})
+                        done = max(done, start + end)
+                    todo += [(start, block[:first]), (start + end, block[end:])]
+        return sorted(out, key=lambda x: x["start"])
 
 
 FOUND = "array<struct<license: string, start: long, length: long, saving: double, exact: boolean, added: array<string>, missing: array<string>>>"

@@ -96,6 +96,16 @@ def test_wrapped_licenses(spark, name):
         assert texts[r.doc_id][r.found[0].start :][: r.found[0].length].split()[0] == notice.split()[0]
 
 
+def test_several_licenses_of_a_block(spark):
+    t = op3_license_scan.TEMPLATES
+    mixes = [["MIT", "Apache-2.0"], ["Apache-2.0", "MIT"], ["All-rights-reserved", "BSD-3-Clause"], ["MIT"] * 60, list(t), list(t)[::-1]]
+    texts = [sep.join(t[n] for n in names) for names in mixes for sep in (" ", "\n", " or, as you like, ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op3_license_scan.scan_licenses(docs).collect():
+        assert [x.license for x in r.found] == mixes[r.doc_id // 3], r.doc_id
+        assert all(x.exact and texts[r.doc_id][x.start : x.start + x.length] == t[x.license].rstrip(".:") for x in r.found)
+
+
 def test_token_orc_round_trip(spark):
     path = C.fresh_path(spark, "test")
     op4_token_orc.write_token_orc(frame(spark), path, public_tokenizers.path("word_bpe_49k.json"))
