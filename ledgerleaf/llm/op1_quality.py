@@ -32,7 +32,10 @@ VECTOR = {
     "x_upper": ("sqrt(n_upper / (word_chars + 50.0))", 0.12),
 }
 DIMS = list(VECTOR)
-CORE, STEPS, MIN_GROUP, TAIL = 0.75, 4, 200, 1e-6
+#: The tail and the least deviations go by what is lost of clean documents. On sf0.1, of those that pass the base rules,
+#: a tail of 0.01 rejects 2 of 3330 labelled clean, 293 of 301 labelled bad and 202 of 203 'w | w | w' ones; with half
+#: the deviations it rejects 70 clean and 297 bad ones, with a tenth 359 and 299.
+CORE, STEPS, MIN_GROUP, TAIL = 0.75, 4, 200, 0.01
 
 
 def _position_runs(sorted_windows: Column) -> Column:

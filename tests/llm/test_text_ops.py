@@ -70,6 +70,18 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert sum(got[i] for i in got if i not in bad) >= 0.99 * (len(got) - len(bad))
 
 
+def test_words_between_bars_go(spark):
+    import random
+
+    rng = random.Random(6)
+    words = lambda n: [rng.choice(["stone", "river", "lamp", "garden", "winter", "paper", "cloud", "market"]) + rng.choice(["", "s", "ed"]) for _ in range(n)]
+    docs = [(i, (" | " if i % 20 == 0 else " ").join(words(rng.randint(30, 300))), "en", "s0") for i in range(600)]
+    got = {r.doc_id: r.kept for r in op1_quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), ["doc_id"]).select("doc_id", "q.*").collect() if not r.base_failed}
+    bars = [k for i, k in got.items() if i % 20 == 0]
+    assert bars and not any(bars)
+    assert sum(k for i, k in got.items() if i % 20) >= 0.99 * (len(got) - len(bars))
+
+
 def test_quality_of_nothing(spark):
     assert op1_quality.kept_documents(empty(spark)).collect() == []
     assert op1_quality.kept_documents(frame(spark)).columns == frame(spark).columns
