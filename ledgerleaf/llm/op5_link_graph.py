@@ -8,6 +8,8 @@ distrust exceeds THRESHOLD times its trust plus a floor.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from ledgerleaf.llm import common as C
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING, STEPS, THRESHOLD, FLOOR = 0.85, 20, 2.0, 1e-9
+#: Verdicts compare distrust with THRESHOLD times trust plus FLOOR: together the errors of both stay a hundredth of FLOOR.
+TOLERANCE = FLOOR / 100 / (1 + THRESHOLD)
+SMALL = 100_000
 _LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:https?:)?//([^\"'\s>/?#]+)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,8 +50,27 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, score) after ``steps`` rounds from ``seeds`` (host, mass); edges are (src, dst, weight).
+def _limit(edges: list[tuple[str, str, float]], seeds: dict[str, float], damping: float, tolerance: float) -> list[tuple[str, float]]:
+    """The same rounds on the driver; edges are (src, dst, share)."""
+    import numpy as np
+
+    names = sorted({x for s, d, _ in edges for x in (s, d)} | set(seeds))
+    at = {x: i for i, x in enumerate(names)}
+    src, dst = (np.array([at[e[k]] for e in edges]) for k in (0, 1))
+    share = np.array([e[2] for e in edges])
+    seed = np.array([seeds.get(x, 0.0) for x in names])
+    now, change = seed, np.inf
+    while change * damping / (1 - damping) > tolerance:
+        moved = damping * np.bincount(dst, now[src] * share, len(names))
+        new = moved + seed * (1.0 - moved.sum())
+        now, change = new, np.abs(new - now).sum()
+    return [(x, v) for x, v in zip(names, now.tolist(), strict=True) if v]
+
+
+def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = STEPS, tolerance: float = TOLERANCE, small: int = SMALL) -> DataFrame:
+    """(host, score) from ``seeds`` (host, mass) after ``steps`` rounds; None goes on until all scores together are
+    within ``tolerance`` of their limit, on the driver where neither edges nor seeds are more than ``small``. Edges are
+    (src, dst, weight).
 
     A host's score goes out along its edges by weight. Hosts that nothing reaches have no row; mass at a host
     without edges returns to the seeds. The sum of scores stays 1. Lineage is cut by a written table.
@@ -57,7 +81,11 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     now, at = C.written(seeds.select("host", F.col("mass").alias("score")), "rank")
     if share.isEmpty():
         return now
-    for _ in range(steps):
+    if steps is None and seeds.count() <= small and share.count() <= small:
+        limit = _limit(sorted(map(tuple, share.collect())), {r.host: r.mass for r in seeds.collect()}, damping, tolerance)
+        C.dropped(spark, totals_at, share_at, at)
+        return spark.createDataFrame(limit, "host string, score double")
+    for _ in itertools.count() if steps is None else range(steps):
         moved = now.join(share, F.col("host") == F.col("src")).groupBy("dst").agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
         moved, moved_at = C.written(moved, "moved")
         arrived = moved.agg(F.sum("score")).first()[0] or 0.0
@@ -66,19 +94,30 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
         change = now.withColumnRenamed("score", "was").join(new, "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
         C.dropped(spark, at, moved_at)
         now, at = new, new_at
-        if change < 1e-7:
+        # Each round's change is at most ``damping`` times the last one's: what is still to come sums to less than this.
+        if change * damping / (1 - damping) <= tolerance:
             break
     C.dropped(spark, totals_at, share_at)
     return now
 
 
-def _seeds(judged: DataFrame, verdict: str, whole: bool) -> DataFrame:
-    found = judged.where(f"host <> '' and judged.verdict = '{verdict}'" + " and judged.rule like '%/' and judged.rule not like '%/%/'" * whole).select("host").distinct()
+def _seeds(found: DataFrame) -> DataFrame:
     found, _ = C.written(found, "seeds")
     n = found.count()
     return found.withColumn("mass", F.lit(1.0 / n if n else 0.0))
 
 
+def _trusted(judged: DataFrame) -> DataFrame:
+    """Hosts of pages that an allow rule fits."""
+    return judged.where("host <> '' and judged.verdict = 'allow'").select("host")
+
+
+def _whole(hosts: DataFrame, verdict: str, rules) -> DataFrame:
+    """Hosts that a rule without a path decides, whether a page of theirs is given or they are only linked to."""
+    judged = hosts.where("host <> ''").withColumn("judged", best_rule(F.col("host"), F.lit("/"), rules))
+    return judged.where(f"judged.verdict = '{verdict}' and judged.rule like '%/' and judged.rule not like '%/%/'").select("host")
+
+
 def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``pages``: page_id, host, path, rule, verdict, trust, distrust.
 
@@ -91,9 +130,10 @@ def judge_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
     judged = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     judged = judged.withColumn("judged", best_rule(F.col("host"), F.col("path"), rules))
     edges, _ = C.written(host_edges(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))), "host-edges")
-    trust = personalised_rank(edges, _seeds(judged, "allow", whole=False))
+    hosts = judged.select("host").unionByName(edges.select(F.explode(F.array("src", "dst")).alias("host"))).distinct()
+    trust = personalised_rank(edges, _seeds(_trusted(judged).unionByName(_whole(hosts, "allow", rules)).distinct()), steps=None)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    distrust = personalised_rank(back, _seeds(judged, "block", whole=True))
+    distrust = personalised_rank(back, _seeds(_whole(hosts, "block", rules)), steps=None)
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
     scores, _ = C.written(scores, "host-scores")
     zero = F.lit(0.0)

@@ -137,3 +137,34 @@ def test_rank_against_power_iteration(spark):
         x = y + seed * (1 - y.sum())
     got = {r.host: r.score for r in L.personalised_rank(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 1.0)], "host string, mass double")).collect()}
     assert all(abs(got.get(n, 0) - v) < 1e-9 for n, v in zip(names, x, strict=True))
+
+
+def _solved(edges, seeds):
+    """The limit, from the linear system: x = d M x + (1 - sum(d M x)) seed."""
+    names = sorted({x for s, d, _ in edges for x in (s, d)} | set(seeds))
+    at = {x: i for i, x in enumerate(names)}
+    move = np.zeros((len(names),) * 2)
+    for s, d, w in edges:
+        move[at[d], at[s]] += w
+    move = L.DAMPING * move / np.maximum(move.sum(0), 1e-12)
+    seed = np.array([(x in seeds) / len(seeds) for x in names])
+    x = np.linalg.solve(np.eye(len(names)) - move + np.outer(seed, move.sum(0)), seed)
+    return dict(zip(names, x.tolist(), strict=True))
+
+
+def test_far_and_uncrawled_hosts_against_the_linear_system(spark):
+    hosts = ["spam.net", *(f"h{i}.com" for i in range(1, 31))]
+    links = [(hosts[i], hosts[i - 1]) for i in range(1, 31)] + [("loop1.com", "loop2.com"), ("loop2.com", "loop1.com"), ("loop2.com", "spam.net")]
+    pages = spark.createDataFrame([page(i, f"http://{s}/x", f"http://{d}/") for i, (s, d) in enumerate(links)], "page_id long, url string, html string")
+    got = {r.host: r for r in L.judge_urls(pages).collect()}
+    want = _solved([(d, s, 1.0) for s, d in links], {"spam.net"})
+    assert "spam.net" not in got and set(got) == {s for s, _ in links}
+    assert all(abs(r.distrust - want[h]) < 1e-10 and r.verdict == "block" for h, r in got.items())
+
+
+@pytest.mark.parametrize("small", [0, 100])
+def test_rounds_go_on_to_the_limit(spark, small):
+    edges = [("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0), ("c", "a", 1.0), ("c", "d", 3.0)]
+    frames = spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 1.0)], "host string, mass double")
+    got = {r.host: r.score for r in L.personalised_rank(*frames, steps=None, tolerance=1e-2, small=small).collect()}
+    assert sum(abs(got[n] - v) for n, v in _solved(edges, {"a"}).items()) <= 1e-2
