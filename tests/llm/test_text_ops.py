@@ -225,6 +225,18 @@ def test_personal_data_adds_what_labelers_agree_on(spark):
     assert op8_personal_data.redacted(frame(spark)).columns == frame(spark).columns
 
 
+def test_personal_data_widely_written(spark):
+    long = "j" * 80
+    wide = ["joe [at] example.com", f"{long} (at) example [dot] org", "2001:db8::1", "378282246310005", "3782 822463 10005"]
+    texts = [f"{cue} {x} today" for cue, x in zip(("mail:", "so", "server", "amex", "then"), wide, strict=True)]
+    texts += ["at 12:30:45 std::vector :: x", "nothing 1234567890123"] + [f"mail joe{i}@mail.com from server 10.1.2.{i} card 4111 1111 1111 1111" for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in op8_personal_data.personal_data(docs).collect()}
+    for i, x in enumerate(wide):
+        assert [texts[i][s.start : s.end] for s in got[i].pii_added] == [x], texts[i]
+    assert not got[5].pii_added and not got[6].pii_added
+
+
 def test_sharding(spark):
     _, records = op9_sharding.external_shuffle(frame(spark), bucket_bytes=2000)
     got = records.collect()
