@@ -74,12 +74,13 @@ def test_words_between_bars_go(spark):
     import random
 
     rng = random.Random(6)
-    words = lambda n: [rng.choice(["stone", "river", "lamp", "garden", "winter", "paper", "cloud", "market"]) + rng.choice(["", "s", "ed"]) for _ in range(n)]
-    docs = [(i, (" | " if i % 20 == 0 else " ").join(words(rng.randint(30, 300))), "en", "s0") for i in range(600)]
-    got = {r.doc_id: r.kept for r in op1_quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), ["doc_id"]).select("doc_id", "q.*").collect() if not r.base_failed}
-    bars = [k for i, k in got.items() if i % 20 == 0]
-    assert bars and not any(bars)
-    assert sum(k for i, k in got.items() if i % 20) >= 0.99 * (len(got) - len(bars))
+    words = lambda n, size: ["".join(rng.choice("abcdefghijklmnop") for _ in range(max(1, size + rng.randint(-1, 1)))) for _ in range(n)]
+    docs = [(i, (" | " if i % 20 == 0 else " ").join(words(rng.randint(30, 300), rng.randint(3, 9))), "en", "s0") for i in range(600)]
+    got = {r.doc_id: r for r in op1_quality.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), ["doc_id"]).select("doc_id", "q.*").collect() if not r.base_failed}
+    bars = [r for i, r in got.items() if i % 20 == 0]
+    assert bars and not any(r.kept for r in bars)
+    assert any(r.distance <= op1_quality.chi_square_quantile(1e-6, 6) for r in bars)  # as far as a looser tail lets through
+    assert sum(r.kept for i, r in got.items() if i % 20) >= 0.99 * (len(got) - len(bars))
 
 
 def test_quality_of_nothing(spark):
