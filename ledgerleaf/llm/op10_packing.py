@@ -65,6 +65,21 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
+def inverted(basis: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan steps with row pivots. (No threads: a threaded library call can wait for ever beside a session's own.)"""
+    m = len(basis)
+    work = np.hstack([basis, np.eye(m)])
+    for j in range(m):
+        pivot = j + int(np.abs(work[j:, j]).argmax())
+        if pivot != j:
+            work[[j, pivot]] = work[[pivot, j]]
+        work[j] /= work[j, j]
+        factor = work[:, j].copy()
+        factor[j] = 0.0
+        work -= factor[:, None] * work[j]
+    return work[:, m:]
+
+
 def column_generation(sizes: list[int], demand: list[int], capacity: int, gap: float = 0.002, rounds: int = 1500) -> list[tuple[dict[int, int], float]]:
     """Patterns ({index: count}) and how often each is used in the linear program, solved to within ``gap`` or for ``rounds`` steps.
 
@@ -80,7 +95,7 @@ def column_generation(sizes: list[int], demand: list[int], capacity: int, gap: f
             basis = np.zeros((m, m))
             for j, p in enumerate(patterns):
                 basis[list(p), j] = list(p.values())
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
             use = np.maximum(inverse @ need, 0)
         value, pattern = knapsack(size, np.maximum(inverse.sum(0), 0), capacity)
         if value <= 1 + gap:
@@ -95,7 +110,7 @@ def column_generation(sizes: list[int], demand: list[int], capacity: int, gap: f
         use = np.maximum(use - theta * direction, 0)
         use[out] = theta
         row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
+        inverse -= direction[:, None] * row
         inverse[out] = row
         patterns[out] = pattern
     return list(zip(patterns, use.tolist(), strict=True))
@@ -149,37 +164,58 @@ def _encode(path: str, end_id: int, sequence: int):
         part, row, full = TaskContext.get().partitionId(), 0, 0
         ranks: dict[int, int] = {}
         end = np.array([end_id], "<u4").tobytes()
+        width = 2 if max(encoder(path).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
-            cols = ([], [], [], [], [], [], [])
-            for ids in encoder(path).encode_batch(batch.column(1).to_pylist()):
-                ids += end
-                n = len(ids) // 4
+            cols = ([], [], [], [], [], [])
+            found = encoder(path).encode_batch(batch.column(1).to_pylist())
+            for ids in found:
+                n = len(ids) // 4 + 1
                 rest = n % sequence
                 kind = kind_of(rest)
-                for col, x in zip(cols, (row, n, rest, kind, ranks.get(kind, 0), full, ids), strict=True):
+                for col, x in zip(cols, (row, n, rest, kind, ranks.get(kind, 0), full), strict=True):
                     col.append(x)
                 ranks[kind] = ranks.get(kind, 0) + 1
                 row += 1
                 full += n // sequence
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            arrays = [pa.array(x, k) for x, k in zip(cols, kinds, strict=False)]
-            edge = np.concatenate([[0], np.cumsum([len(x) // 4 for x in cols[6]])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(edge, pa.array(np.frombuffer(b"".join(cols[6]), "<i4")))
+            arrays = [pa.array(x, k) for x, k in zip(cols, kinds, strict=True)]
+            edge = np.concatenate([[0], np.cumsum(np.array(cols[1], np.int64) * width)]).astype("<i4")
+            data = np.frombuffer(end.join([*found, b""]), "<u4").astype(f"<u{width}")
+            ids = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(edge), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(batch), pa.int32()), *arrays, ids], names=["doc_id", "part", "row", "doc_tokens", "rest", "kind", "rank", "full", "ids"])
 
     return run
 
 
-ENCODED = "doc_id long, part int, row long, doc_tokens long, rest int, kind int, rank long, full long, ids array<int>"
+#: ``ids`` are little-endian unsigned integers of 2 bytes each, or of 4 where the vocabulary needs them.
+ENCODED = "doc_id long, part int, row long, doc_tokens long, rest int, kind int, rank long, full long, ids binary"
+
+
+def _unpacked(batches):
+    for batch in batches:
+        ids, edge = _flat(batch)
+        arrays = [*batch.columns[:3], pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(ids.astype(np.int32))), *batch.columns[4:]]
+        yield pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
 
 
-def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Pieces: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+def _flat(batch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch of pieces as unsigned 32-bit integers, and where each piece's begin and end."""
+    edge = np.concatenate([[0], np.cumsum(batch.column(2).to_numpy())]).astype(np.int64)
+    if pa.types.is_list(batch.schema.field(3).type):
+        return batch.column(3).flatten().to_numpy(zero_copy_only=False).astype("<u4"), edge
+    raw = b"".join(batch.column(3).to_pylist())
+    return np.frombuffer(raw, f"<u{len(raw) // max(1, int(edge[-1]))}" if raw else "<u4").astype("<u4"), edge
+
+
+def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, raw: bool = False) -> DataFrame:
+    """Pieces: doc_id, start, length, ids (array<int>; ``raw``: as in ENCODED), doc_tokens, sequence_id, offset.
 
     Whole texts are encoded and followed by the end id; a null or empty text is the end id alone. Each id lies
     in exactly one piece. Long documents are cut after every ``sequence`` ids; of the rests only those that the
     patterns leave may be cut, at a sequence's end. Sequence ids are unique but not gapless. Rows with null
-    or repeated doc_ids are packed like others. An empty table gives no pieces. Other columns do not matter.
+    or repeated doc_ids, and rows that repeat, are each packed by themselves; ties in length go by file and row.
+    A very long text is cut into as many sequences as it fills. An empty table gives no pieces. Other columns,
+    whatever their names, do not matter.
     """
     spark = docs.sparkSession
     C.small_batches(spark, 1000)
@@ -219,15 +255,20 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     second = F.struct((start + fit).alias("start"), (F.col("rest") - fit).alias("length"), (F.col("sequence_id") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     all_pieces = F.concat(F.slice(full, F.lit(1), F.expr(f"cast(doc_tokens div {sequence} as int)")), F.when(F.col("rest") > 0, F.array(first, second)).otherwise(F.array()))
     pieces = whole.select("doc_id", "doc_tokens", "ids", F.explode(F.filter(all_pieces, lambda p: p["length"] > 0)).alias("p"))
-    return pieces.select("doc_id", "p.start", "p.length", F.slice("ids", (F.col("p.start") + 1).cast("int"), F.col("p.length").cast("int")).alias("ids"), "doc_tokens", "p.sequence_id", "p.offset")
+    width = F.expr("length(ids) div doc_tokens")
+    ids = F.expr("substring(ids, cast(p.start * w + 1 as int), cast(p.length * w as int))")
+    pieces = pieces.withColumn("w", width).select("doc_id", "p.start", "p.length", ids.alias("ids"), "doc_tokens", "p.sequence_id", "p.offset")
+    return pieces if raw else pieces.mapInArrow(_unpacked, PIECES)
+
+
+PIECES = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 
 def _digest(batches):
     for batch in batches:
-        ids = batch.column(3)
-        raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False))).cast("B")
-        edge = ids.offsets.to_pylist()
-        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edge, edge[1:], strict=False)]
+        ids, edge = _flat(batch)
+        raw, at = memoryview(ids.view(np.uint8)), edge.tolist()
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64()), *batch.columns[4:]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
@@ -239,4 +280,4 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(C.load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+    return digest(pack(C.load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), raw=True))

@@ -3,7 +3,8 @@
 Both vocabularies cut a text into pre-tokens by a pattern and merge within each one alone. For texts of
 Latin-1 characters the patterns below are the same cut (one library drops white space and lower-cases, the
 other keeps a space before a word); each distinct pre-token then goes to the library once and is remembered.
-Any other text goes to the library whole. Tests hold the ids against the library's for random texts.
+The library's merges get thousands of them at once, in the byte alphabet of the vocabulary and one to a line,
+which spares its general pipeline. Any other text goes to the library whole. Tests hold the ids against the library's for random texts.
 """
 
 from __future__ import annotations
@@ -23,10 +24,21 @@ LIMIT = 400_000
 _made: dict[str, "Encoder"] = {}
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable characters of Latin-1 stand for their own bytes; the other bytes take characters from 256 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTES = byte_alphabet()
+_STOP = _BYTES[10]
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -34,10 +46,32 @@ class Encoder:
         self.old: dict[str, bytes] = {}
         self.keeps_space = self.whole("a a") != self.whole("a") * 2
         self.pattern = _KEEPS_SPACE if self.keeps_space else _DROPS_SPACE
+        #: The same merges behind a pipeline that only splits lines.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.stop = self.merges.encode(_STOP).ids
+        probe = ["a", "the", "über", "1"]
+        self.plain = len(self.stop) == 1 and self._merged(probe) == [self.whole(x) for x in probe]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _merged(self, tokens: list[str]) -> list[bytes]:
+        """The ids of each pre-token; none holds a line end, which stands between them."""
+        out: list[bytes] = []
+        for i in range(0, len(tokens), 1000):
+            part = tokens[i : i + 1000]
+            lines = f"\n{_STOP}\n".join([x.encode().decode("latin-1").translate(_BYTES) for x in part]) + f"\n{_STOP}"
+            ids = np.array(self.merges.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(ids == self.stop[0]).tolist()
+            if len(stops) != len(part):
+                raise RuntimeError("a pre-token has the line end's id")
+            raw, at = ids.tobytes(), 0
+            for z in stops:
+                out.append(raw[4 * at : 4 * z])
+                at = z + 1
+        return out
+
     def _learn(self, words: set[str]) -> None:
         new, old = self.new, self.old
         ask = []
@@ -46,18 +80,8 @@ class Encoder:
                 ask.append(w)
             else:
                 new[w] = ids
-        # Words of letters, one after the other, are cut as they are alone: one call for many.
-        space = "" if self.keeps_space else " "
-        plain = [w for w in ask if (w[0] == " " and w[1:].isalpha() if self.keeps_space else w.isalpha())]
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            got = self.tokenizer.encode(space.join(part), add_special_tokens=False)
-            ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(ids)]]).tolist()
-            assert len(edge) == len(part) + 1
-            raw = ids.tobytes()
-            for w, a, b in zip(part, edge, edge[1:], strict=False):
-                new[w] = raw[4 * a : 4 * b]
+        bare = [w for w in ask if "\n" not in w] if self.plain else []
+        new.update(zip(bare, self._merged(bare), strict=True))
         rest = [w for w in ask if w not in new]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             new[w] = np.array(e.ids, "<u4").tobytes()
