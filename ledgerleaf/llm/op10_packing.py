@@ -220,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     spark = docs.sparkSession
     C.small_batches(spark, 1000)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"))
-    rows, _ = C.written(slim.mapInArrow(_encode(tokenizer, end_id, sequence), ENCODED), "encoded")
+    rows, _ = C.written(slim.mapInArrow(_encode(tokenizer, end_id, sequence), ENCODED), "encoded", "lz4")
     # The histogram has at most SEQUENCE rows whatever the corpus, and so has the plan a bounded number of ranges.
     histogram = {r["rest"]: r["n"] for r in rows.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
     ranges, taken, sequences = plan(histogram, sequence)
