@@ -10,12 +10,18 @@ Signatures of an empty subset say nothing. SPARE further partitions per set pay
 ``n1`` partitions at least ``n1 - k // (K2 + 1)`` agree, and a set with that many partitions that have an
 empty subset keeps them all, so no link is lost.
 
-Within the holders of one signature pairs are never all emitted. The smallest holder is checked against
-the others first; holders that are linked need no further check. Signatures whose holders still lie in
-different components go on in passes: blocks of BLOCK holders are compared by their parity bitmaps, which
-bound the Hamming distance from below, and every holder takes the first of the others that may be near and
-lies in another component to the exact check; the next pass goes on behind that one, until no holder finds
-any. Each pass emits at most one pair for each holder, and no linked pair is passed over.
+One document of each distinct text takes part. Signatures travel once, packed by buckets, and only those with
+several holders become rows. Then:
+
+1. Every holder is checked against one leader, that of its groups which holds most signatures: near copies
+   lie nearer to a central text than to each other.
+2. Groups whose holders now lie in different components go on, all groups whose leaders share a component
+   together. There the holders outside that component meet all others, in blocks of BLOCK: first by parity
+   bitmaps, which bound the Hamming distance from below, then those that may be near by their features. A
+   block keeps its own components, so that it emits a linked pair only where two of them meet.
+
+Two sets that share a signature are so either in one component or compared; pairs within a component are not
+formed. No step has more rows than holders times blocks.
 """
 
 from __future__ import annotations
@@ -24,17 +30,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerleaf.llm import common as C
 from ledgerleaf.llm.components import components
 from ledgerleaf.llm.words import LOWER, WORD, mixed, shingles
 
 K2, N2 = 1, 3
-#: Ids and bitmaps broadcast for exact checks: at most so many rows (8 bytes each); beyond, Spark shuffles both sides.
+#: Ids broadcast for semi joins: at most so many rows of a few numbers; beyond, Spark shuffles both sides.
 BROADCAST_IDS = 500_000
-#: Holders of one signature that are compared at once.
-BLOCK = 256
+#: Holders that are compared at once, and members of a leader that one task checks.
+BLOCK, MEMBERS = 256, 2000
+#: Signatures that a task gathers before it packs them.
+PACK = 1 << 19
 
 
 def bands(percent: int, top: int = 1 << 40) -> list[tuple[int, int]]:
@@ -53,7 +60,10 @@ def distance(percent: int, high: int) -> int:
 
 
 def signatures(features: np.ndarray, percent: int, band_list: list[tuple[int, int]]) -> np.ndarray:
-    """The PartEnum signatures of one set, for its own band and for the next if a linked set can lie there."""
+    """The PartEnum signatures of one ascending set, for its own band and for the next if a linked set can lie there.
+
+    Features are uniform hashes, so the parts are equal ranges of their domain: each is a run of the set.
+    """
     size, out = len(features), []
     if not size:
         return np.empty(0, np.uint64)
@@ -70,22 +80,22 @@ def signatures(features: np.ndarray, percent: int, band_list: list[tuple[int, in
         needed = k // (K2 + 1)
         spare = 1 + needed // 12
         n1 = needed + spare
-        if n1 == 1:
-            spare = 1
-        slot = (features % np.uint64(n1 * N2)).astype(np.int64)
-        value = mixed(features ^ tag)
-        total, count = np.zeros(n1 * N2, np.uint64), np.bincount(slot, minlength=n1 * N2)
-        np.add.at(total, slot, value)
-        total, count = total.reshape(n1, N2), count.reshape(n1, N2)
+        parts = n1 * N2
+        slot = ((features >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        count = np.bincount(slot, minlength=parts)
+        edge = np.concatenate([[0], np.cumsum(count)])
+        run = np.concatenate([[np.uint64(0)], np.cumsum(mixed(features ^ tag), dtype=np.uint64)])
+        total = (run[edge[1:]] - run[edge[:-1]]).reshape(n1, N2)
+        count = count.reshape(n1, N2)
         kept_value = total.sum(1, dtype=np.uint64)[:, None] - total  # each subset leaves one part out
         kept_count = count.sum(1)[:, None] - count
-        place = np.arange(n1 * N2, dtype=np.uint64).reshape(n1, N2)
+        place = np.arange(parts, dtype=np.uint64).reshape(n1, N2)
         sig = mixed(kept_value ^ mixed(place + tag))
         empty = kept_count == 0
         if empty.any(1).sum() < spare:
             sig = sig[~empty]
         out.append(sig.ravel())
-    return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
+    return np.concatenate(out)
 
 
 def bitmap(features: np.ndarray) -> bytes:
@@ -97,145 +107,377 @@ def bitmap(features: np.ndarray) -> bytes:
     return np.packbits(counts.astype(np.uint8)).tobytes()
 
 
+def _folded(bits: bytes, width: int) -> np.ndarray:
+    """A finer bitmap folds onto a coarser one."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 8 > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def far_apart(a: bytes, b: bytes, na: int, nb: int, percent: int) -> bool:
     """True only if the bitmaps prove that the sets are not linked."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):  # a finer bitmap folds onto a coarser one
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) > (na + nb) * (100 - percent)
+    width = min(len(a), len(b))
+    apart = int(np.bitwise_count(_folded(a, width) ^ _folded(b, width)).sum())
+    return apart * (100 + percent) > (na + nb) * (100 - percent)
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Exact: both are ascending sets."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
+def _words(text) -> list[bytes]:
+    return WORD.findall(text.as_py().translate(LOWER)) if text.is_valid else []
 
 
-def name_of(features: np.ndarray) -> int:
-    """A 64-bit name of the set: equal sets, and no others but by a chance of 2^-64 a pair, share it."""
-    return int(mixed(mixed(features ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
+SCANNED = "bucket int, doc_id long, h1 long, h2 long, node long, n_shingles long, bits binary, blob binary"
+NAMES = ["bucket", "doc_id", "h1", "h2", "node", "n_shingles", "bits", "blob"]
 
 
-def _sets(width: int, percent: int):
+def _scan(width: int, percent: int, buckets: int):
+    """A row for each document, and packed signatures by bucket: (node, 32 bits of the signature) for each.
+
+    A node is numbered by task and row, which a repeated task does alike.
+    """
     band_list = bands(percent)
 
+    def packed(base: int, nodes: list[int], sigs: list[np.ndarray]):
+        if not nodes:
+            return None
+        flat = np.concatenate(sigs)
+        owner = np.repeat(np.array(nodes, np.int64) - base, [len(s) for s in sigs]).astype("<u4")
+        bucket = ((flat >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        short, owner = flat.astype("<u4")[order], owner[order]
+        found, at = np.unique(bucket[order], return_index=True)
+        head = np.array([base], "<i8").tobytes()
+        edge = [*at.tolist(), len(order)]
+        blobs = [head + short[a:z].tobytes() + owner[a:z].astype("<u2").tobytes() for a, z in zip(edge, edge[1:], strict=False)]
+        nulls = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *nulls, pa.array(blobs, pa.binary())], names=NAMES)
+
     def run(batches):
+        from pyspark import TaskContext
+
+        row = base = TaskContext.get().partitionId() << 33
+        nodes, sigs, held = [], [], 0
         for batch in batches:
-            ids, n, key, bits, sigs = batch.column(0), [], [], [], []
-            for text in batch.column(1).cast(pa.binary()):
-                f = shingles(WORD.findall(text.as_py().translate(LOWER)) if text.is_valid else [], width)
+            ids, n, bits, first = batch.column(0).to_pylist(), [], [], row
+            for i, text in zip(ids, batch.column(1).cast(pa.binary()), strict=True):
+                f = shingles(_words(text), width)
                 n.append(len(f))
-                key.append(name_of(f) if len(f) else None)
-                bits.append(bitmap(f) if len(f) else b"")
-                sigs.append(signatures(f, percent, band_list).view(np.int64))
-            flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
-            at = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(at, pa.array(flat))], names=["doc_id", "n_shingles", "sid", "bits", "sigs"])
+                bits.append(bitmap(f) if len(f) else None)
+                if i is not None and len(f):
+                    s = signatures(f, percent, band_list)
+                    nodes.append(row)
+                    sigs.append(s)
+                    held += len(s)
+                row += 1
+            size = len(ids)
+            own = np.arange(first, row)
+            spread = pa.array((own % buckets).astype(np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays([spread, batch.column(0), batch.column(2), batch.column(3), pa.array(own, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(size, pa.binary())], names=NAMES)
+            if held >= PACK or row - base >= 60_000:
+                if (out := packed(base, nodes, sigs)) is not None:
+                    yield out
+                nodes, sigs, held, base = [], [], 0, row
+        if (out := packed(base, nodes, sigs)) is not None:
+            yield out
 
     return run
 
 
+HELD = "doc_id long, h1 long, h2 long, node long, n_shingles long, bits binary, grp long"
+
+
+def _match(batches):
+    """Documents' rows pass; of the packed signatures those with several holders become rows (node, grp).
+
+    A group is named by a sum over its holders, so groups of the same holders are one.
+    """
+    short, node = [], []
+    for batch in batches:
+        blobs = batch.column(7)
+        docs = batch.filter(blobs.is_null())
+        if len(docs):
+            yield pa.RecordBatch.from_arrays([*docs.columns[1:7], pa.nulls(len(docs), pa.int64())], names=[*NAMES[1:7], "grp"])
+        for bucket, blob in zip(batch.column(0).to_pylist(), blobs.to_pylist(), strict=True):
+            if blob is not None:
+                n = (len(blob) - 8) // 6
+                base = int(np.frombuffer(blob, "<i8", 1)[0])
+                short.append(np.uint64(bucket << 32) | np.frombuffer(blob, "<u4", n, 8).astype(np.uint64))
+                node.append(base + np.frombuffer(blob, "<u2", n, 8 + 4 * n).astype(np.int64))
+    if not short:
+        return
+    short, node = np.concatenate(short), np.concatenate(node)
+    order = np.argsort(short, kind="stable")
+    short = short[order]
+    shared = np.zeros(len(short), bool)
+    same = short[1:] == short[:-1]
+    shared[1:] |= same
+    shared[:-1] |= same
+    short, node = short[shared], node[order][shared]
+    if not len(short):
+        return
+    order = np.lexsort((node, short))
+    short, node = short[order], node[order]
+    fresh = np.concatenate([[True], (short[1:] != short[:-1]) | (node[1:] != node[:-1])])
+    short, node = short[fresh], node[fresh]
+    start = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
+    count = np.diff(np.concatenate([start, [len(short)]]))
+    name = np.add.reduceat(mixed(node.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), start)
+    # of the groups in this bucket that have the same holders, one
+    several = np.flatnonzero(count > 1)
+    _, first = np.unique(name[several], return_index=True)
+    keep = np.zeros(len(start), bool)
+    keep[several[first]] = True
+    rows = np.repeat(keep, count)
+    node, name = node[rows], np.repeat(name, count)[rows].view(np.int64)
+    for i in range(0, len(node), 100_000):
+        part = node[i : i + 100_000]
+        nulls = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array(part), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(name[i : i + 100_000])], names=[*NAMES[1:7], "grp"])
+
+
 def _features(width: int):
     def run(batches):
         for batch in batches:
-            out = [shingles(WORD.findall(t.as_py().translate(LOWER)), width) for t in batch.column(0).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(f) for f in out], pa.int64()), pa.array([f.tobytes() for f in out], pa.binary())], names=["id", "features"])
+            out = [shingles(_words(t), width).tobytes() for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "features"])
 
     return run
 
 
-def _near(percent: int):
+def _grouped(batches, keys: int):
+    """Rows of sorted batches, key by key: (key, columns as lists)."""
+    now, held = None, []
+    for batch in batches:
+        cols = [c.to_pylist() for c in batch.columns]
+        for row in zip(*cols, strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield now, held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if held:
+        yield now, held
+
+
+def _led(percent: int, exact: bool):
+    """Of (leader, part) groups sorted so that the leader comes first: the members that may be, or are, linked with it."""
+
     def run(batches):
-        for t in batches:
-            cols = [t.column(n).to_pylist() for n in ("bits_a", "bits_b", "n_a", "n_b")]
-            keep = [not far_apart(*x, percent) for x in zip(*cols, strict=True)]
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a, b = [], []
+        for (leader, _), rows in _grouped(batches, 2):
+            _, _, size, load = rows[0]
+            mine = np.frombuffer(load, np.uint64) if exact else load
+            for is_member, node, n, other in rows:
+                if is_member and (linked(mine, np.frombuffer(other, np.uint64), percent) if exact else not far_apart(mine, other, size, n, percent)):
+                    a.append(leader)
+                    b.append(node)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _linked(percent: int):
+def _near_masks(rows: list[tuple], percent: int):
+    """(holders outside, all others, matrix of those that may be near); rows are (is_other, node, comp, n, bits, ...)."""
+    outs, others = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+    if not outs or not others:
+        return None
+    width = min(len(r[4]) for r in rows)
+    x, y = (np.stack([_folded(r[4], width) for r in side]) for side in (outs, others))
+    size = [np.array([r[3] for r in side], np.int64) for side in (outs, others)]
+    comp = [np.array([r[2] for r in side], np.int64) for side in (outs, others)]
+    ok = (comp[0][:, None] != comp[1][None]) & (100 * np.minimum(size[0][:, None], size[1][None]) >= percent * np.maximum(size[0][:, None], size[1][None]))
+    apart = np.zeros(ok.shape, np.int64)
+    for w in range(x.shape[1]):
+        apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None])
+    ok &= apart * (100 + percent) <= (size[0][:, None] + size[1][None]) * (100 - percent)
+    return outs, others, ok
+
+
+def _meet(percent: int):
+    """Of blocks: (key, node) that may be near to a set of another component."""
+
     def run(batches):
-        for t in batches:
-            keep = []
-            for x, y in zip(t.column("fa"), t.column("fb"), strict=True):
-                fa, fb = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                same = len(np.intersect1d(fa, fb, assume_unique=True))
-                keep.append(100 * same >= percent * (len(fa) + len(fb) - same))
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        key, node = [], []
+        for (k, _, _), rows in _grouped(batches, 3):
+            if (found := _near_masks(rows, percent)) is not None:
+                outs, others, ok = found
+                near = {outs[i][1] for i in np.flatnonzero(ok.any(1))} | {others[j][1] for j in np.flatnonzero(ok.any(0))}
+                key += [k] * len(near)
+                node += near
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
 
     return run
 
 
+def _join(percent: int):
+    """Of blocks: linked pairs that join components, as far as the block can tell."""
+
+    def run(batches):
+        a, b = [], []
+        for _, rows in _grouped(batches, 3):
+            if (found := _near_masks(rows, percent)) is None:
+                continue
+            outs, others, ok = found
+            root: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (up := root.get(x, x)) != x:
+                    root[x] = root.get(up, up)
+                    x = up
+                return x
+
+            sets = [[np.frombuffer(r[5], np.uint64) for r in side] for side in (outs, others)]
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                x, y = find(outs[i][2]), find(others[j][2])
+                if x != y and linked(sets[0][i], sets[1][j], percent):
+                    root[max(x, y)] = min(x, y)
+                    a.append(outs[i][1])
+                    b.append(others[j][1])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+class _Work:
+    """The tables of one join; ``drop`` deletes what nothing refers to any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+        out, path = C.written(df, tag, codec)
+        self.paths.append(path)
+        return out
+
+    def drop(self, *which: int) -> None:
+        C.dropped(self.spark, *self.paths)
+        self.paths = []
+
+
+def _bounded(small: DataFrame, rows: int | None = None) -> DataFrame:
+    """Broadcast up to BROADCAST_IDS rows of a few numbers; beyond, Spark shuffles both sides."""
+    return F.broadcast(small) if (small.count() if rows is None else rows) <= BROADCAST_IDS else small
+
+
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, and n_copies, the rows that have the same set.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, and n_copies, the rows that have the same text.
 
     Whole texts are lower-cased in A-Z and split at ASCII white space. A null or empty text, or one without
     words, has no shingles, links with nothing and is its own component; fewer words than ``width`` are one
     shingle. A document's component is the smallest doc_id that links lead to, itself included. A row with a
     null doc_id has a null component and links with nothing. Repeated rows stay repeated; rows that repeat a
-    doc_id with other texts are judged each by its own text. Other columns do not matter. An empty table gives
-    no rows.
+    doc_id with other texts are judged each by its own text. A very long text is one set like others; a task
+    holds at most 2 x BLOCK sets at a time. Other columns, whatever their names, do not matter. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
-    C.small_batches(spark)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets, sets_at = C.written(slim.mapInArrow(_sets(width, percent), "doc_id long, n_shingles long, sid long, bits binary, sigs array<long>"), "sets")
-    used = sets.where("doc_id is not null and sid is not null")
-    # All copies of a set are one node; their smallest doc_id stands for them.
-    named, named_at = C.written(used.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "names")
-    copied = named.where("n_copies > 1").select("sid", "rep")
-    reps = used.join(_bounded(copied), "sid", "left").where("rep is null or rep = doc_id")
-    rows = reps.select(F.explode("sigs").alias("sig"), F.col("sid").alias("doc")).repartition(C.partitions(spark), "sig")
-    w = Window.partitionBy("sig")
-    held = rows.select(
-        "doc", F.min("doc").over(w).alias("low"), F.max("doc").over(w).alias("high"), F.sum(F.xxhash64("doc").bitwiseAND(F.lit((1 << 40) - 1))).over(w).alias("members")
-    ).where("low <> high")
-    # Signatures held by the same sets say the same: (low, high, members) names the holders.
-    held = held.select(F.xxhash64("low", "high", "members").alias("grp"), "doc", F.col("low").alias("leader")).distinct()
-    held, held_at = C.written(held, "held")
-    info, info_at = C.written(reps.select(F.col("sid").alias("doc"), "n_shingles", "bits", "doc_id").join(_bounded(held.select("doc").distinct()), "doc"), "info")
-    check = lambda pairs: _check(slim, info, pairs, width, percent)
-    others = held.where("doc <> leader")
-    # First every member against one leader only, then against the leaders of its other signatures.
-    links, first_at = check(others.groupBy("doc").agg(F.min("leader").alias("leader")).select(F.col("leader").alias("a"), F.col("doc").alias("b")))
-    comp, comp_at = C.written(components(links), "components")
-    paths = [held_at, info_at, first_at]
-    found, at = check(_apart(others.select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), comp))
-    links, comp, comp_at, paths = _grown(links, found, at, comp, comp_at, paths)
-    # Signatures whose members, the leader aside, still lie in several components go on in passes over blocks.
-    left = _open(others.select("grp", "doc"), comp).withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy("doc")))
-    left = left.withColumns({"last": F.max("rank").over(Window.partitionBy("grp")), "seen": F.lit(0)})
-    left, left_at = C.written(left.join(info.select("doc", "n_shingles", "bits"), "doc"), "open")
-    while not left.isEmpty():
-        ahead, ahead_at = C.written(_next(left, comp, percent), "next")
-        if ahead.isEmpty():
-            paths = [*paths, ahead_at]
-            break
-        found, at = check(ahead.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct())
-        links, comp, comp_at, paths = _grown(links, found, at, comp, comp_at, [*paths, left_at, ahead_at])
-        # Who found nobody is done; it stays for the others to find.
-        left = left.drop("seen").join(ahead.select("grp", "doc", F.col("other_rank").alias("seen")), ["grp", "doc"], "left")
-        left, left_at = C.written(left.withColumn("seen", F.coalesce("seen", "rank")), "open")
-    # Back from sets to documents: a component is called by its smallest doc_id.
-    linked = comp.join(named.select(F.col("sid").alias("node"), "rep", "n_copies"), "node", "left")
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    labels = linked.join(least, "component").select(F.col("node").alias("sid"), "component_id", "n_copies")
-    alone = named.where("n_copies > 1").join(comp.select(F.col("node").alias("sid")), "sid", "left_anti").select("sid", F.col("rep").alias("component_id"), "n_copies")
-    labels, _ = C.written(labels.unionByName(alone), "labels")
-    C.dropped(spark, named_at, left_at, comp_at, *paths)
-    out = sets.select("doc_id", "n_shingles", "sid").join(labels, "sid", "left")
-    named_by = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", named_by.alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-
-
-def _bounded(small: DataFrame) -> DataFrame:
-    """Broadcast up to BROADCAST_IDS rows of a few numbers; beyond, Spark shuffles both sides."""
-    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
-
-
-def _grown(links: DataFrame, found: DataFrame, at: str, comp: DataFrame, comp_at: str, paths: list[str]) -> tuple:
-    if found.isEmpty():
-        return links, comp, comp_at, [*paths, at]
-    links = links.unionByName(found)
-    new, new_at = C.written(components(links), "components")
-    return links, new, new_at, [*paths, at, comp_at]
+    C.small_batches(spark, 1000)
+    work, parts = _Work(spark), C.partitions(spark)
+    text = F.col("text").cast("string")
+    # Two hashes together name a text: 128 bits.
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("again"), text).alias("h2"))
+    counts = slim.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("doc_id").alias("n_copies"), F.count("*").alias("n"))
+    copied, _ = C.written(counts.where("n > 1").drop("n"), "copied")
+    few = copied.count()
+    reps = slim.join(_bounded(copied, few), ["h1", "h2"], "left").where("rep is null or rep = doc_id").select("doc_id", "text", "h1", "h2")
+    scanned = reps.mapInArrow(_scan(width, percent, parts), SCANNED).repartition(parts, "bucket")
+    both = work.keep(scanned.mapInArrow(_match, HELD), "matched")
+    sets = both.where("grp is null").drop("grp")
+    held = work.keep(both.where("grp is not null").select("node", "grp").distinct(), "held")
+    degree = held.groupBy("node").agg(F.count("*").alias("degree"))
+    degree = work.keep(degree, "degrees")
+    n_held = degree.count()
+    if not n_held:
+        return _labelled(slim, sets, None, copied, few)
+    ranked = held.join(_bounded(degree, n_held), "node")
+    leaders = ranked.groupBy("grp").agg(F.max(F.struct("degree", "node")).alias("lead"))
+    leaders = work.keep(leaders, "leaders")
+    member = held.join(leaders, "grp").where("node <> lead.node").groupBy("node").agg(F.max("lead").alias("lead"))
+    member = work.keep(member.select("node", F.col("lead.node").alias("leader")), "members")
+    info = sets.select("node", "n_shingles", "bits")
+    near = work.keep(_check_led(member, info, "bits", percent, parts, exact=False), "near")
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    feats = work.keep(_features_of(reps, sets, ends, width), "features", "lz4")
+    first = work.keep(_check_led(near.select(F.col("b").alias("node"), F.col("a").alias("leader")), sets.select("node", "n_shingles").join(feats, "node"), "features", percent, parts, exact=True), "links")
+    comp = work.keep(components(first), "components")
+    # Groups that still hold several components, under the component of their leader.
+    named = comp.select("node", "component")
+    n_named = named.count()
+    placed = held.join(_bounded(named, n_named), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("grp")
+    keys = leaders.join(several, "grp").select("grp", F.col("lead.node").alias("node")).join(_bounded(named, n_named), "node", "left")
+    keys = keys.select("grp", F.coalesce("component", "node").alias("key"))
+    left = work.keep(placed.join(keys, "grp").select("key", "node", "component").distinct(), "open")
+    met = _blocks(left, info, [], parts).mapInArrow(_meet(percent), "key long, node long").distinct()
+    met = work.keep(met, "met")
+    if not met.isEmpty():
+        more = met.select("node").distinct().join(feats.select("node"), "node", "left_anti")
+        more = work.keep(_features_of(reps, sets, more, width), "features", "lz4")
+        loads = feats.select("node", "features").unionByName(more)
+        again = left.join(met, ["key", "node"], "left_semi")
+        second = _blocks(again, info.join(loads, "node"), ["features"], parts).mapInArrow(_join(percent), "a long, b long").distinct()
+        second = work.keep(second, "links")
+        if not second.isEmpty():
+            comp = work.keep(components(first.unionByName(second)), "components")
+    return _labelled(slim, sets, comp, copied, few, work)
+
+
+def _features_of(reps: DataFrame, sets: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, features) of the given nodes: their texts are read once more."""
+    ids = sets.join(_bounded(nodes), "node", "left_semi").select("node", "doc_id", "h1", "h2")
+    texts = reps.where("doc_id is not null").join(_bounded(ids), ["doc_id", "h1", "h2"]).select("node", "text")
+    return texts.mapInArrow(_features(width), "node long, features binary")
+
+
+def _check_led(member: DataFrame, info: DataFrame, load: str, percent: int, parts: int, exact: bool) -> DataFrame:
+    """(a, b): leaders and those of their members that pass; a leader with many members serves several tasks."""
+    split = member.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    spread = split.select("leader", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    lead = spread.join(info.withColumnRenamed("node", "leader"), "leader").select("leader", "part", F.lit(0).alias("is_member"), F.col("leader").alias("node"), "n_shingles", load)
+    mine = member.join(split, "leader").join(info, "node").select("leader", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("is_member"), "node", "n_shingles", load)
+    rows = lead.unionByName(mine).repartition(parts, "leader", "part").sortWithinPartitions("leader", "part", "is_member")
+    return rows.mapInArrow(_led(percent, exact), "a long, b long")
+
+
+def _blocks(left: DataFrame, info: DataFrame, more: list[str], parts: int) -> DataFrame:
+    """Blocks (key, x, y): holders outside the key's component in x, all holders in y. Rows lie block by block."""
+    out = F.col("component") != F.col("key")
+    size = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"), F.ceil(F.sum(out.cast("long")) / BLOCK).cast("int").alias("xs")).where("xs > 0")
+    rows = left.join(size, "key").join(info, "node")
+    spot = F.xxhash64("node")
+    cols = ["node", "component", "n_shingles", "bits", *more]
+    x, y = F.pmod(spot, F.col("xs")).cast("int"), F.pmod(spot, F.col("ys")).cast("int")
+    outs = rows.where(out).select("key", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(0).alias("is_other"), *cols)
+    others = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), y.alias("y"), F.lit(1).alias("is_other"), *cols)
+    return outs.unionByName(others).repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "is_other")
+
+
+def _labelled(slim: DataFrame, sets: DataFrame, comp: DataFrame | None, copied: DataFrame, few: int, work: "_Work | None" = None) -> DataFrame:
+    """Back from nodes to rows: a component is called by its smallest doc_id."""
+    if comp is None:
+        own = sets.select("h1", "h2", "n_shingles", F.col("doc_id").alias("label"), F.lit(False).alias("by_links"))
+    else:
+        named = comp.join(sets.select("node", "doc_id"), "node")
+        least = named.groupBy("component").agg(F.min("doc_id").alias("label"))
+        label = named.join(least, "component").select("node", "label")
+        own = sets.join(label, "node", "left").select("h1", "h2", "n_shingles", F.coalesce("label", "doc_id").alias("label"), F.col("label").isNotNull().alias("by_links"))
+    texts = own.groupBy("h1", "h2").agg(F.max("n_shingles").alias("n_shingles"), F.min("label").alias("label"))
+    labels, _ = C.written(texts, "labels")
+    if work is not None:
+        work.drop()
+    rows = slim.select("doc_id", "h1", "h2").join(labels, ["h1", "h2"], "left").join(_bounded(copied.drop("rep"), few), ["h1", "h2"], "left")
+    mine = F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), mine).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -248,96 +490,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     gone, _ = C.written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     again, _ = C.written(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     C.dropped(spark, found_at)
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(_bounded(gone), "doc_id", "left_anti").select(*docs.columns)
     if again.isEmpty():
         return kept
-    again = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    again = _bounded(again)
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-
-
-def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-
-
-def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """The members of those groups that hold more than one component."""
-    c = members.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    several = c.groupBy("grp").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("grp")
-    return members.join(several, "grp")
-
-
-def _next(left: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """(grp, doc, other, other_rank): for each member the first one, beyond those it has seen, that may be near and lies apart."""
-    now = left.join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    blk, n = F.expr(f"(rank - 1) div {BLOCK}"), F.expr(f"(last - 1) div {BLOCK}")
-    # A block of members meets each block of others that come before it, and itself.
-    as_member = now.where("seen < rank - 1").select("*", blk.alias("hi"), F.explode(F.sequence(F.expr(f"seen div {BLOCK}"), blk)).alias("lo"), F.lit(True).alias("member"))
-    as_other = now.select("*", F.explode(F.sequence(blk, n)).alias("hi"), blk.alias("lo"), F.lit(False).alias("member"))
-    cols = ["grp", "lo", "hi", "member", "rank", "seen", "doc", "component", "n_shingles", "bits"]
-    both = as_member.select(*cols).unionByName(as_other.select(*cols)).repartition(C.partitions(left.sparkSession), "grp", "lo", "hi")
-    near = both.mapInArrow(_first_near(percent), "grp long, doc long, other long, other_rank int")
-    best = near.groupBy("grp", "doc").agg(F.min(F.struct("other_rank", "other")).alias("x"))
-    return best.select("grp", "doc", "x.other", "x.other_rank")
-
-
-def _first_near(percent: int):
-    def run(batches):
-        tables = [b for b in batches if len(b)]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables)
-        key = [t.column(c).to_numpy() for c in ("grp", "lo", "hi")]
-        member, rank, seen, doc, comp, size = (t.column(c).to_numpy() for c in ("member", "rank", "seen", "doc", "component", "n_shingles"))
-        bits = t.column("bits").to_pylist()
-        order = np.lexsort((rank, *key))
-        edge = np.flatnonzero(np.concatenate([[True], np.any([k[order][1:] != k[order][:-1] for k in key], axis=0), [True]]))
-        out = []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            rows = order[a:b]
-            ms, os = rows[member[rows]], rows[~member[rows]]
-            if not len(ms) or not len(os):
-                continue
-            width = min(len(bits[i]) for i in rows)
-            x, y = (np.stack([_folded(bits[i], width) for i in side]) for side in (ms, os))
-            total = size[ms][:, None] + size[os][None]
-            ok = (rank[os][None] > seen[ms][:, None]) & (rank[os][None] < rank[ms][:, None]) & (comp[os][None] != comp[ms][:, None])
-            ok &= 100 * np.minimum(size[ms][:, None], size[os][None]) >= percent * np.maximum(size[ms][:, None], size[os][None])
-            apart = np.zeros(ok.shape, np.int64)
-            for w in range(x.shape[1]):
-                apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None])
-            ok &= apart * (100 + percent) <= total * (100 - percent)
-            for i in np.flatnonzero(ok.any(1)).tolist():
-                j = os[int(ok[i].argmax())]
-                out.append((int(key[0][ms[i]]), int(doc[ms[i]]), int(doc[j]), int(rank[j])))
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int32() if i == 3 else pa.int64()) for i in range(4)], names=["grp", "doc", "other", "other_rank"])
-
-    return run
-
-
-def _folded(bits: bytes, width: int) -> np.ndarray:
-    x = np.frombuffer(bits, np.uint64)
-    while len(x) * 8 > width:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
-
-
-def _check(docs: DataFrame, info: DataFrame, pairs: DataFrame, width: int, percent: int) -> tuple[DataFrame, str]:
-    """The linked pairs (a, b) of sets among candidates, by exact intersection of the feature sets."""
-    one = pairs.join(info.select(F.col("doc").alias("a"), F.col("bits").alias("bits_a"), F.col("n_shingles").alias("n_a")), "a")
-    both = one.join(info.select(F.col("doc").alias("b"), F.col("bits").alias("bits_b"), F.col("n_shingles").alias("n_b")), "b")
-    both = both.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    near, near_at = C.written(both.mapInArrow(_near(percent), "a long, b long"), "near")
-    if near.isEmpty():
-        return near, near_at
-    ends = near.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    ids, ids_at = C.written(info.join(ends, "doc").select("doc_id").distinct(), "ends")
-    needed = docs.where("text is not null").join(_bounded(ids), "doc_id").select("text")
-    feats, feats_at = C.written(needed.mapInArrow(_features(width), "id long, features binary"), "features", "lz4")
-    left = near.join(feats.select(F.col("id").alias("a"), F.col("features").alias("fa")), "a")
-    right = left.join(feats.select(F.col("id").alias("b"), F.col("features").alias("fb")), "b")
-    out, out_at = C.written(right.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
-    C.dropped(docs.sparkSession, near_at, ids_at, feats_at)
-    return out, out_at
