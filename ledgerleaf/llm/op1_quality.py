@@ -3,9 +3,11 @@
 Every document's counts become a vector of transformed statistics. For each language and source, for each
 language and for all together, concentration steps look for the three quarters of the distinct vectors whose
 covariance determinant is least: distances from the present centre, their quantile, then mean and covariance
-of the vectors within it. A document is judged by the finest of the three groups with enough vectors, and
-rejected when its squared Mahalanobis distance exceeds a chi-square quantile. All of it is DataFrame
-aggregation; nothing per document leaves the executors, and no step gathers a group.
+of the vectors within it. They begin at several deterministic estimates and go on until the determinant no
+longer falls; of the ends, the one with the least determinant counts. A document is judged by the finest of
+the three groups with enough vectors, and rejected when its squared Mahalanobis distance exceeds a chi-square
+quantile. All of it is DataFrame aggregation; nothing per document leaves the executors, and no step gathers a
+group.
 
 Five-word windows are compared by 64-bit hashes within a document.
 """
@@ -35,52 +37,59 @@ DIMS = list(VECTOR)
 #: The tail and the least deviations go by what is lost of clean documents. On sf0.1, of those that pass the base rules,
 #: a tail of 0.01 rejects 2 of 3330 labelled clean, 293 of 301 labelled bad and 202 of 203 'w | w | w' ones; with half
 #: the deviations it rejects 70 clean and 297 bad ones, with a tenth 359 and 299.
-CORE, STEPS, MIN_GROUP, TAIL = 0.75, 4, 200, 0.01
-
-
-def _position_runs(sorted_windows: Column) -> Column:
-    """Words covered by windows whose hash stands next to an equal one; windows are structs (h, i) sorted."""
-    n = F.size(sorted_windows)
-    same = F.filter(
-        F.transform(
-            sorted_windows,
-            lambda x, k: F.when(
-                ((k > 0) & (F.get(sorted_windows, k - 1)["h"] == x["h"])) | ((k < n - 1) & (F.get(sorted_windows, k + 1)["h"] == x["h"])), x["i"]
-            ),
-        ),
-        lambda i: i.isNotNull(),
+CORE, MIN_GROUP, TAIL = 0.75, 200, 0.01
+#: Concentration steps at most, and the fall of the determinant's logarithm that counts as one.
+STEPS, FALL = 40, 1e-3
+#: Groups are broadcast up to so many rows of some thirty numbers; beyond, Spark shuffles both sides.
+BROADCAST_GROUPS = 20_000
+
+
+def _windows(words: Column) -> Column:
+    """A hash for each five words in a row, put together from hashes of one, two and four."""
+    n = F.size(words)
+    pair = lambda a, b: F.xxhash64(a, b)
+    cut = lambda x, first, less: F.slice(x, F.lit(first), n - less)
+    one = F.transform(words, lambda w: F.xxhash64(w))
+    two = F.zip_with(cut(one, 1, 1), cut(one, 2, 1), pair)
+    four = F.zip_with(cut(two, 1, 3), cut(two, 3, 3), pair)
+    return F.zip_with(cut(four, 1, 4), cut(one, 5, 4), pair)
+
+
+def _covered(windows: Column) -> Column:
+    """Words covered by windows whose hash occurs again: of the windows in order of their hashes, those beside an equal one."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    n = F.size(windows)
+    beside = F.zip_with(
+        placed, F.concat(F.array(F.lit(None).cast("bigint")), F.slice(placed["h"], F.lit(1), n - 1)), lambda x, before: F.struct(x["h"].alias("h"), x["i"].alias("i"), before.alias("b"))
     )
-    return F.array_sort(same)
+    beside = F.zip_with(beside, F.concat(F.slice(placed["h"], F.lit(2), n - 1), F.array(F.lit(None).cast("bigint"))), lambda x, after: F.when((x["h"] == x["b"]) | (x["h"] == after), x["i"]))
+    at = F.sort_array(F.filter(beside, lambda i: i.isNotNull()))
+    start = F.struct(F.lit(0).alias("n"), F.lit(-9).alias("last"))
+    return F.aggregate(at, start, lambda s, i: F.struct((s["n"] + F.least(F.lit(5), i - s["last"])).alias("n"), i.alias("last")))["n"]
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one struct column ``q``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper (long)."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    q, a, b, c, d = (C.unused(docs, n) for n in ("q", "q_words", "q_windows", "q_repeated", "q_lines"))
-    words = F.filter(F.split(t, r"[ \t-\r]+"), lambda w: w != "")
-    out = docs.withColumn(a, words)
+    q, a, b, d = (C.unused(docs, n) for n in ("q", "q_words", "q_windows", "q_lines"))
+    bare = F.btrim(t, F.lit(WHITE))
+    out = docs.withColumn(a, F.when(bare != "", F.split(bare, r"[ \t-\r]+")).otherwise(F.array().cast("array<string>")))
     w = F.col(a)
-    windows = F.when(
-        F.size(w) >= 6,
-        F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.struct(F.xxhash64(F.slice(w, i, 5)).alias("h"), i.alias("i")))),
-    ).otherwise(F.array().cast("array<struct<h: bigint, i: int>>"))
-    out = out.withColumn(b, windows)
-    out = out.withColumn(c, _position_runs(F.col(b)))
-    r = F.col(c)
-    covered = F.aggregate(r, F.struct(F.lit(0).alias("n"), F.lit(-9).alias("last")), lambda s, i: F.struct((s["n"] + F.least(F.lit(5), i - s["last"])).alias("n"), i.alias("last")))["n"]
-    out = out.withColumn(d, F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0))
-    lines = F.col(d)
-    bare = F.translate(t, WHITE, "")
+    out = out.withColumn(b, F.when(F.size(w) >= 6, _windows(w)).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn(d, F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != ""))
+    windows, lines = F.col(b), F.col(d)
+    # Most documents repeat nothing: their windows are as many as their distinct windows, and are not sorted.
+    covered = F.when(F.size(F.array_distinct(windows)) < F.size(windows), _covered(windows)).otherwise(F.lit(0))
     return out.withColumn(
         q,
         F.struct(
-            F.size(w).cast("long").alias("n_words"), F.length(bare).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             covered.cast("long").alias("n_repeat_words"), F.size(lines).cast("long").alias("n_lines"),
-            (F.length(bare) - F.length(F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
+            F.regexp_count(t, F.lit("[A-Z]")).cast("long").alias("n_upper"),
         ),
-    ).drop(a, b, c, d)
+    ).drop(a, b, d)
 
 
 def chi_square_quantile(tail: float, dims: int) -> float:
@@ -117,8 +126,9 @@ def _with_factor(groups: DataFrame) -> DataFrame:
         floor = VECTOR[di][1] ** 2
         cols[f"l_{i}_{i}"] = F.sqrt(F.greatest(F.col(f"v_{i}_{i}") + floor - inner, F.lit(floor)))
         groups = groups.withColumns(cols)
-    keep = ["grp_level", "grp_lang", "grp_source", "size", *(f"m_{i}" for i in range(len(DIMS))), *(f"l_{i}_{j}" for i in range(len(DIMS)) for j in range(i + 1))]
-    return groups.select(*keep)
+    keep = [*KEYS, "start", "size", *(f"m_{i}" for i in range(len(DIMS))), *(f"l_{i}_{j}" for i in range(len(DIMS)) for j in range(i + 1))]
+    logdet = reduce(lambda x, y: x + y, [2 * F.log(F.col(f"l_{i}_{i}")) for i in range(len(DIMS))])
+    return groups.select(*keep, logdet.alias("logdet"))
 
 
 def _squared_distance(df: DataFrame, name: str) -> DataFrame:
@@ -133,35 +143,83 @@ def _squared_distance(df: DataFrame, name: str) -> DataFrame:
 KEYS = ["grp_level", "grp_lang", "grp_source"]
 
 
-def _moments(core: DataFrame) -> DataFrame:
-    aggs = [F.count("*").alias("size"), *(F.avg(d).alias(f"m_{i}") for i, d in enumerate(DIMS))]
-    aggs += [F.coalesce(F.covar_pop(DIMS[i], DIMS[j]), F.lit(0.0)).alias(f"v_{i}_{j}") for i in range(len(DIMS)) for j in range(i + 1)]
-    return _with_factor(core.groupBy(*KEYS).agg(*aggs))
+def _moments(near: DataFrame, centre: dict[str, Column]) -> DataFrame:
+    """Size, mean m_i and covariance v_i_j of each group and start, by sums of products around a centre."""
+    off = {i: (F.col(d) - centre[d]) for i, d in enumerate(DIMS)}
+    aggs = [F.count("*").alias("size"), *(F.sum(off[i]).alias(f"s_{i}") for i in off), *(F.first(centre[d]).alias(f"c_{i}") for i, d in enumerate(DIMS))]
+    aggs += [F.sum(off[i] * off[j]).alias(f"p_{i}_{j}") for i in off for j in range(i + 1)]
+    sums = near.groupBy(*KEYS, "start").agg(*aggs)
+    mean = [(F.col(f"c_{i}") + F.col(f"s_{i}") / F.col("size")).alias(f"m_{i}") for i in off]
+    cov = [(F.col(f"p_{i}_{j}") / F.col("size") - F.col(f"s_{i}") / F.col("size") * F.col(f"s_{j}") / F.col("size")).alias(f"v_{i}_{j}") for i in off for j in range(i + 1)]
+    return _with_factor(sums.select(*KEYS, "start", "size", *mean, *cov))
+
+
+def _small(groups: DataFrame) -> DataFrame:
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
+def _first_estimates(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """Three starts for each group, all of its coordinates put on their median and median deviation.
+
+    "diagonal": no correlation; "tanh": the correlation of hyperbolic tangents; "sign": that of directions.
+    """
+    n = len(DIMS)
+    spread = rows.join(_small(middle), KEYS).groupBy(*KEYS).agg(*(F.percentile_approx(F.abs(F.col(d) - F.col(f"m_{i}")), 0.5, 2000).alias(f"s_{i}") for i, d in enumerate(DIMS)))
+    scale = {i: F.sqrt(F.pow(F.col(f"s_{i}") * 1.4826, 2) + VECTOR[d][1] ** 2) for i, d in enumerate(DIMS)}
+    known, _ = C.written(middle.join(spread, KEYS).select(*middle.columns, *(x.alias(f"k_{i}") for i, x in scale.items())), "spreads")
+    z = rows.join(_small(known), KEYS).select(*KEYS, *((F.col(d) - F.col(f"m_{i}")).alias(f"y_{i}") for i, d in enumerate(DIMS)), *(f"k_{i}" for i in range(n)))
+    z = z.select(*KEYS, *((F.col(f"y_{i}") / F.col(f"k_{i}")).alias(f"z_{i}") for i in range(n)))
+    norm = F.sqrt(reduce(lambda x, y: x + y, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(n)]))
+    z = z.withColumns({"norm": norm, **{f"t_{i}": F.tanh(F.col(f"z_{i}")) for i in range(n)}})
+    z = z.withColumns({f"u_{i}": F.when(F.col("norm") > 0, F.col(f"z_{i}") / F.col("norm")).otherwise(0.0) for i in range(n)})
+    products = z.groupBy(*KEYS).agg(*(F.sum(F.col(f"{x}_{i}") * F.col(f"{x}_{j}")).alias(f"{x}_{i}_{j}") for x in "tu" for i in range(n) for j in range(i + 1)))
+    wide = known.join(products, KEYS)
+
+    def start(name: str, x: str | None) -> DataFrame:
+        r = lambda i, j: F.col(f"{x}_{i}_{j}") / F.sqrt(F.greatest(F.col(f"{x}_{i}_{i}") * F.col(f"{x}_{j}_{j}"), F.lit(1e-300)))
+        v = lambda i, j: (F.lit(1.0) if i == j else 0.98 * r(i, j) if x else F.lit(0.0)) * F.col(f"k_{i}") * F.col(f"k_{j}")
+        cols = [v(i, j).alias(f"v_{i}_{j}") for i in range(n) for j in range(i + 1)]
+        return wide.select(*KEYS, F.lit(name).alias("start"), "size", *(f"m_{i}" for i in range(n)), *cols)
+
+    return _with_factor(start("diagonal", None).unionByName(start("tanh", "t")).unionByName(start("sign", "u")))
 
 
 def fit(stats: DataFrame, core: float = CORE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
     """Centre and Cholesky factor for each language and source, each language ('' as source) and all.
 
     ``stats`` has q_lang, q_source and the vector. Distinct vectors count once in a group, so copies do not
-    shrink its scatter. Groups of fewer than ``min_group`` distinct vectors are left out.
+    shrink its scatter. Groups of fewer than ``min_group`` distinct vectors are left out. Each start of a group
+    goes on while its determinant falls; the least determinant of a group's starts is kept.
     """
+    spark = stats.sparkSession
     each = stats.select("q_lang", "q_source", *DIMS).distinct()
     level = F.explode(F.array(*(F.struct(F.lit(n).alias("grp_level"), lang.alias("grp_lang"), source.alias("grp_source")) for n, lang, source in ((0, F.lit(""), F.lit("")), (1, F.col("q_lang"), F.lit("")), (2, F.col("q_lang"), F.col("q_source"))))))
     rows = each.select(level.alias("g"), *DIMS).select("g.*", *DIMS)
-    rows, _ = C.written(rows, "vectors")
+    rows, rows_at = C.written(rows, "vectors")
     # The first centre and scale of each coordinate are its median and median absolute deviation.
     middle = rows.groupBy(*KEYS).agg(F.count("*").alias("size"), *(F.percentile_approx(d, 0.5, 2000).alias(f"m_{i}") for i, d in enumerate(DIMS))).where(F.col("size") >= min_group)
-    middle, _ = C.written(middle, "medians")
-    spread = rows.join(middle, KEYS).groupBy(*KEYS).agg(*(F.percentile_approx(F.abs(F.col(d) - F.col(f"m_{i}")), 0.5, 2000).alias(f"s_{i}") for i, d in enumerate(DIMS)))
-    zero = {f"v_{i}_{j}": F.lit(0.0) if i != j else F.pow(F.col(f"s_{i}") * 1.4826, 2) for i in range(len(DIMS)) for j in range(i + 1)}
-    groups, at = C.written(_with_factor(middle.join(spread, KEYS).withColumns(zero)), "groups")
-    for _ in range(steps):
-        near = _squared_distance(rows.join(groups, KEYS), "d2").select(*KEYS, *DIMS, "d2")
-        edge, edge_at = C.written(near.groupBy(*KEYS).agg(F.percentile_approx("d2", core, 2000).alias("edge")), "edges")
-        new, new_at = C.written(_moments(near.join(edge, KEYS).where("d2 <= edge")), "groups")
-        C.dropped(stats.sparkSession, at, edge_at)
-        groups, at = new, new_at
-    return groups
+    middle, middle_at = C.written(middle, "medians")
+    now, at = C.written(_first_estimates(rows, middle), "groups")
+    ends, paths = [], [rows_at, middle_at]
+    shape = [c for c in now.columns if c not in (*KEYS, "start")]
+    for step in range(steps):
+        near = _squared_distance(rows.join(_small(now), KEYS), "d2")
+        edge, edge_at = C.written(near.groupBy(*KEYS, "start").agg(F.percentile_approx("d2", core, 2000).alias("edge")), "edges")
+        inside = near.join(_small(edge), [*KEYS, "start"]).where("d2 <= edge")
+        new = _moments(inside, {d: F.col(f"m_{i}") for i, d in enumerate(DIMS)})
+        before = now.select(*KEYS, "start", F.col("logdet").alias("was"))
+        moved, moved_at = C.written(new.join(before, [*KEYS, "start"]).withColumn("falls", F.lit(step == 0) | (F.col("logdet") < F.col("was") - FALL)), "groups")
+        paths += [at, edge_at, moved_at]
+        last = step == steps - 1
+        ends.append(moved.select(*KEYS, *shape) if last else moved.where(~F.col("falls")).select(*KEYS, *shape))
+        now, at = moved.where("falls").drop("was", "falls"), moved_at
+        if last or now.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, ends)
+    best = found.groupBy(*KEYS).agg(F.min(F.struct("logdet", *(c for c in shape if c != "logdet"))).alias("x"))
+    out, _ = C.written(best.select(*KEYS, *(F.col(f"x.{c}").alias(c) for c in shape if c != "logdet")), "fit")
+    C.dropped(spark, *dict.fromkeys(paths))
+    return out
 
 
 def judge(docs: DataFrame, carry: list[str], tail: float = TAIL) -> DataFrame:
@@ -169,7 +227,8 @@ def judge(docs: DataFrame, carry: list[str], tail: float = TAIL) -> DataFrame:
 
     Null or empty texts, and texts without words, have counts of 0 and fail. Null languages or sources form a
     group of their own. Where no group has enough vectors nothing is rejected beyond the base rules. Rows that
-    repeat are each judged, alike. An empty table gives no rows.
+    repeat are each judged, alike. Vectors at equal distances are within the core together. A very long text is one
+    row as any other. ``carry`` may hold columns of any name, also those used here. An empty table gives no rows.
     """
     lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("\x00")) if c in docs.columns else F.lit("\x00") for c in ("lang", "source"))
     slim = docs.select(*carry, *([] if "text" in carry else ["text"]), lang.alias("q_lang_"), source.alias("q_source_"))
@@ -180,7 +239,7 @@ def judge(docs: DataFrame, carry: list[str], tail: float = TAIL) -> DataFrame:
     counted = counted.withColumns({d: F.expr(e) for d, (e, _) in VECTOR.items()})
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     counted, _ = C.written(counted.withColumn("base_failed", failed), "quality")
-    groups, _ = C.written(fit(counted.where("n_words > 0")), "fit")
+    groups = fit(counted.where("n_words > 0"))
     factor = _consistency(CORE, len(DIMS))
     cols = [c for c in groups.columns if c not in KEYS]
     shape = F.struct(*cols)
@@ -196,7 +255,7 @@ def judge(docs: DataFrame, carry: list[str], tail: float = TAIL) -> DataFrame:
     limit = chi_square_quantile(tail, len(DIMS))
     return joined.select(
         *(F.col(f"c{i}_").alias(c) for i, c in enumerate(carry)),
-        F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", distance.alias("distance"), (~F.col("base_failed") & (distance <= limit)).alias("kept")).alias(C.unused(docs, "q")),
+        F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (distance <= limit)).alias("kept"), distance.alias("distance")).alias(C.unused(docs, "q")),
     )
 
 
