@@ -44,15 +44,20 @@ STEPS, FALL = 40, 1e-3
 BROADCAST_GROUPS = 20_000
 
 
-def _windows(words: Column) -> Column:
-    """A hash for each five words in a row, put together from hashes of one, two and four."""
+def _windows(df: DataFrame, words: str, name: str) -> DataFrame:
+    """Adds ``name``: a hash for each five words in a row, put together from hashes of one, two and four.
+
+    Each step is a column of its own, since an expression that is used twice inside another would be evaluated twice.
+    """
+    one, two, four = (C.unused(df, f"{name}_{k}") for k in (1, 2, 4))
     n = F.size(words)
     pair = lambda a, b: F.xxhash64(a, b)
-    cut = lambda x, first, less: F.slice(x, F.lit(first), n - less)
-    one = F.transform(words, lambda w: F.xxhash64(w))
-    two = F.zip_with(cut(one, 1, 1), cut(one, 2, 1), pair)
-    four = F.zip_with(cut(two, 1, 3), cut(two, 3, 3), pair)
-    return F.zip_with(cut(four, 1, 4), cut(one, 5, 4), pair)
+    cut = lambda x, first, less: F.slice(F.col(x), F.lit(first), F.greatest(n - less, F.lit(0)))
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn(one, F.when(n >= 6, F.transform(words, lambda w: F.xxhash64(w))).otherwise(none))
+    df = df.withColumn(two, F.when(n >= 6, F.zip_with(cut(one, 1, 1), cut(one, 2, 1), pair)).otherwise(none))
+    df = df.withColumn(four, F.when(n >= 6, F.zip_with(cut(two, 1, 3), cut(two, 3, 3), pair)).otherwise(none))
+    return df.withColumn(name, F.when(n >= 6, F.zip_with(cut(four, 1, 4), cut(one, 5, 4), pair)).otherwise(none)).drop(one, two, four)
 
 
 def _covered(windows: Column) -> Column:
@@ -75,7 +80,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     bare = F.btrim(t, F.lit(WHITE))
     out = docs.withColumn(a, F.when(bare != "", F.split(bare, r"[ \t-\r]+")).otherwise(F.array().cast("array<string>")))
     w = F.col(a)
-    out = out.withColumn(b, F.when(F.size(w) >= 6, _windows(w)).otherwise(F.array().cast("array<bigint>")))
+    out = _windows(out, a, b)
     out = out.withColumn(d, F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != ""))
     windows, lines = F.col(b), F.col(d)
     # Most documents repeat nothing: their windows are as many as their distinct windows, and are not sorted.
@@ -192,6 +197,8 @@ def fit(stats: DataFrame, core: float = CORE, steps: int = STEPS, min_group: int
     goes on while its determinant falls; the least determinant of a group's starts is kept.
     """
     spark = stats.sparkSession
+    # A quantile's summary for each group and start is kept by hash, not by sorting all rows; a task's summaries hold its rows' numbers at most.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     each = stats.select("q_lang", "q_source", *DIMS).distinct()
     level = F.explode(F.array(*(F.struct(F.lit(n).alias("grp_level"), lang.alias("grp_lang"), source.alias("grp_source")) for n, lang, source in ((0, F.lit(""), F.lit("")), (1, F.col("q_lang"), F.lit("")), (2, F.col("q_lang"), F.col("q_source"))))))
     rows = each.select(level.alias("g"), *DIMS).select("g.*", *DIMS)
