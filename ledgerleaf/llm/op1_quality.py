@@ -189,6 +189,11 @@ def _first_estimates(rows: DataFrame, middle: DataFrame) -> DataFrame:
     return _with_factor(start("diagonal", None).unionByName(start("tanh", "t")).unionByName(start("sign", "u")))
 
 
+#: A quantile's summary for each group and start is kept by hash, not by sorting all rows (a task's summaries hold its
+#: rows' numbers at most), and code that is too long for the JVM's compiler is not joined into one method.
+FIT_CONF = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def fit(stats: DataFrame, core: float = CORE, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
     """Centre and Cholesky factor for each language and source, each language ('' as source) and all.
 
@@ -196,9 +201,19 @@ def fit(stats: DataFrame, core: float = CORE, steps: int = STEPS, min_group: int
     shrink its scatter. Groups of fewer than ``min_group`` distinct vectors are left out. Each start of a group
     goes on while its determinant falls; the least determinant of a group's starts is kept.
     """
+    conf = stats.sparkSession.conf
+    before = {k: conf.get(k) for k in FIT_CONF}
+    try:
+        for k, v in FIT_CONF.items():
+            conf.set(k, v)
+        return _fitted(stats, core, steps, min_group)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+
+
+def _fitted(stats: DataFrame, core: float, steps: int, min_group: int) -> DataFrame:
     spark = stats.sparkSession
-    # A quantile's summary for each group and start is kept by hash, not by sorting all rows; a task's summaries hold its rows' numbers at most.
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "4096")
     each = stats.select("q_lang", "q_source", *DIMS).distinct()
     level = F.explode(F.array(*(F.struct(F.lit(n).alias("grp_level"), lang.alias("grp_lang"), source.alias("grp_source")) for n, lang, source in ((0, F.lit(""), F.lit("")), (1, F.col("q_lang"), F.lit("")), (2, F.col("q_lang"), F.col("q_source"))))))
     rows = each.select(level.alias("g"), *DIMS).select("g.*", *DIMS)
