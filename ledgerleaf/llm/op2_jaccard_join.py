@@ -13,12 +13,13 @@ empty subset keeps them all, so no link is lost.
 One document of each distinct text takes part. Signatures travel once, packed by buckets, and only those with
 several holders become rows. Then:
 
-1. Every holder is checked against one leader, that of its groups which holds most signatures: near copies
-   lie nearer to a central text than to each other.
-2. Groups whose holders now lie in different components go on, all groups whose leaders share a component
-   together. There the holders outside that component meet all others, in blocks of BLOCK: first by parity
-   bitmaps, which bound the Hamming distance from below, then those that may be near by their features. A
-   block keeps its own components, so that it emits a linked pair only where two of them meet.
+1. Each group of holders is led by the one that shares most signatures: near copies lie nearer to a central
+   text than to each other. Every holder is checked against the leader that it shares most signatures with.
+2. Groups whose holders now lie in different components go on. The holders outside the leader's component meet
+   that component's holders, for all groups of the component together, and group by group they meet each
+   other; both in blocks of BLOCK, first by parity bitmaps, which bound the Hamming distance from below, then
+   those that may be near by their features. A block keeps its own components, so that it emits a linked pair
+   only where two of them meet.
 
 Two sets that share a signature are so either in one component or compared; pairs within a component are not
 formed. No step has more rows than holders times blocks.
@@ -193,7 +194,8 @@ def _scan(width: int, percent: int, buckets: int):
     return run
 
 
-HELD = "doc_id long, h1 long, h2 long, node long, n_shingles long, bits binary, grp long"
+HELD = "doc_id long, h1 long, h2 long, node long, n_shingles long, bits binary, grp long, sigs long"
+HELD_NAMES = [*NAMES[1:7], "grp", "sigs"]
 
 
 def _match(batches):
@@ -206,7 +208,7 @@ def _match(batches):
         blobs = batch.column(7)
         docs = batch.filter(blobs.is_null())
         if len(docs):
-            yield pa.RecordBatch.from_arrays([*docs.columns[1:7], pa.nulls(len(docs), pa.int64())], names=[*NAMES[1:7], "grp"])
+            yield pa.RecordBatch.from_arrays([*docs.columns[1:7], *[pa.nulls(len(docs), pa.int64())] * 2], names=HELD_NAMES)
         for bucket, blob in zip(batch.column(0).to_pylist(), blobs.to_pylist(), strict=True):
             if blob is not None:
                 n = (len(blob) - 8) // 6
@@ -232,17 +234,18 @@ def _match(batches):
     start = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
     count = np.diff(np.concatenate([start, [len(short)]]))
     name = np.add.reduceat(mixed(node.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), start)
-    # of the groups in this bucket that have the same holders, one
+    # of the groups in this bucket that have the same holders, one, with the number of its signatures
     several = np.flatnonzero(count > 1)
-    _, first = np.unique(name[several], return_index=True)
-    keep = np.zeros(len(start), bool)
-    keep[several[first]] = True
-    rows = np.repeat(keep, count)
-    node, name = node[rows], np.repeat(name, count)[rows].view(np.int64)
+    _, first, times = np.unique(name[several], return_index=True, return_counts=True)
+    sigs = np.zeros(len(start), np.int64)
+    sigs[several[first]] = times
+    rows = np.repeat(sigs > 0, count)
+    node, name, sigs = node[rows], np.repeat(name, count)[rows].view(np.int64), np.repeat(sigs, count)[rows]
     for i in range(0, len(node), 100_000):
-        part = node[i : i + 100_000]
-        nulls = [pa.nulls(len(part), t) for t in (pa.int64(), pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*nulls, pa.array(part), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(name[i : i + 100_000])], names=[*NAMES[1:7], "grp"])
+        z = slice(i, i + 100_000)
+        n = len(node[z])
+        nulls = [pa.nulls(n, pa.int64())] * 3
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array(node[z]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(name[z]), pa.array(sigs[z])], names=HELD_NAMES)
 
 
 def _features(width: int):
@@ -287,8 +290,8 @@ def _led(percent: int, exact: bool):
 
 
 def _near_masks(rows: list[tuple], percent: int):
-    """(holders outside, all others, matrix of those that may be near); rows are (is_other, node, comp, n, bits, ...)."""
-    outs, others = [r for r in rows if not r[0]], [r for r in rows if r[0]]
+    """(outside, others, matrix of those that may be near); rows are (side, node, comp, n, bits, ...), side 0: outside, 1: other, 2: both."""
+    outs, others = [r for r in rows if r[0] != 1], [r for r in rows if r[0]]
     if not outs or not others:
         return None
     width = min(len(r[4]) for r in rows)
@@ -296,25 +299,25 @@ def _near_masks(rows: list[tuple], percent: int):
     size = [np.array([r[3] for r in side], np.int64) for side in (outs, others)]
     comp = [np.array([r[2] for r in side], np.int64) for side in (outs, others)]
     ok = (comp[0][:, None] != comp[1][None]) & (100 * np.minimum(size[0][:, None], size[1][None]) >= percent * np.maximum(size[0][:, None], size[1][None]))
-    apart = np.zeros(ok.shape, np.int64)
-    for w in range(x.shape[1]):
-        apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None])
-    ok &= apart * (100 + percent) <= (size[0][:, None] + size[1][None]) * (100 - percent)
+    if ok.any():
+        apart = np.zeros(ok.shape, np.int64)
+        for w in range(x.shape[1]):
+            apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None])
+        ok &= apart * (100 + percent) <= (size[0][:, None] + size[1][None]) * (100 - percent)
     return outs, others, ok
 
 
 def _meet(percent: int):
-    """Of blocks: (key, node) that may be near to a set of another component."""
+    """Of blocks: (kind, key, node) that may be near to a set of another component."""
 
     def run(batches):
-        key, node = [], []
-        for (k, _, _), rows in _grouped(batches, 3):
+        out = []
+        for (kind, key, _, _), rows in _grouped(batches, 4):
             if (found := _near_masks(rows, percent)) is not None:
                 outs, others, ok = found
                 near = {outs[i][1] for i in np.flatnonzero(ok.any(1))} | {others[j][1] for j in np.flatnonzero(ok.any(0))}
-                key += [k] * len(near)
-                node += near
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
+                out += [(kind, key, n) for n in near]
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["kind", "key", "node"])
 
     return run
 
@@ -324,7 +327,7 @@ def _join(percent: int):
 
     def run(batches):
         a, b = [], []
-        for _, rows in _grouped(batches, 3):
+        for _, rows in _grouped(batches, 4):
             if (found := _near_masks(rows, percent)) is None:
                 continue
             outs, others, ok = found
@@ -336,10 +339,9 @@ def _join(percent: int):
                     x = up
                 return x
 
-            sets = [[np.frombuffer(r[5], np.uint64) for r in side] for side in (outs, others)]
             for i, j in zip(*np.nonzero(ok), strict=True):
                 x, y = find(outs[i][2]), find(others[j][2])
-                if x != y and linked(sets[0][i], sets[1][j], percent):
+                if x != y and linked(np.frombuffer(outs[i][5], np.uint64), np.frombuffer(others[j][5], np.uint64), percent):
                     root[max(x, y)] = min(x, y)
                     a.append(outs[i][1])
                     b.append(others[j][1])
@@ -392,9 +394,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     reps = slim.join(_bounded(copied, few), ["h1", "h2"], "left").where("rep is null or rep = doc_id").select("doc_id", "text", "h1", "h2")
     scanned = reps.mapInArrow(_scan(width, percent, parts), SCANNED).repartition(parts, "bucket")
     both = work.keep(scanned.mapInArrow(_match, HELD), "matched")
-    sets = both.where("grp is null").drop("grp")
-    held = work.keep(both.where("grp is not null").select("node", "grp").distinct(), "held")
-    degree = held.groupBy("node").agg(F.count("*").alias("degree"))
+    sets = both.where("grp is null").drop("grp", "sigs")
+    held = work.keep(both.where("grp is not null").groupBy("grp", "node").agg(F.sum("sigs").alias("sigs")), "held")
+    degree = held.groupBy("node").agg(F.sum("sigs").alias("degree"))
     degree = work.keep(degree, "degrees")
     n_held = degree.count()
     if not n_held:
@@ -402,29 +404,22 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     ranked = held.join(_bounded(degree, n_held), "node")
     leaders = ranked.groupBy("grp").agg(F.max(F.struct("degree", "node")).alias("lead"))
     leaders = work.keep(leaders, "leaders")
-    member = held.join(leaders, "grp").where("node <> lead.node").groupBy("node").agg(F.max("lead").alias("lead"))
-    member = work.keep(member.select("node", F.col("lead.node").alias("leader")), "members")
+    member = held.join(leaders, "grp").where("node <> lead.node").groupBy("node", "lead").agg(F.sum("sigs").alias("sigs"))
+    member = member.groupBy("node").agg(F.max(F.struct("sigs", "lead")).alias("x"))
+    member = work.keep(member.select("node", F.col("x.lead.node").alias("leader")), "members")
     info = sets.select("node", "n_shingles", "bits")
     near = work.keep(_check_led(member, info, "bits", percent, parts, exact=False), "near")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     feats = work.keep(_features_of(reps, sets, ends, width), "features", "lz4")
     first = work.keep(_check_led(near.select(F.col("b").alias("node"), F.col("a").alias("leader")), sets.select("node", "n_shingles").join(feats, "node"), "features", percent, parts, exact=True), "links")
     comp = work.keep(components(first), "components")
-    # Groups that still hold several components, under the component of their leader.
-    named = comp.select("node", "component")
-    n_named = named.count()
-    placed = held.join(_bounded(named, n_named), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("grp")
-    keys = leaders.join(several, "grp").select("grp", F.col("lead.node").alias("node")).join(_bounded(named, n_named), "node", "left")
-    keys = keys.select("grp", F.coalesce("component", "node").alias("key"))
-    left = work.keep(placed.join(keys, "grp").select("key", "node", "component").distinct(), "open")
-    met = _blocks(left, info, [], parts).mapInArrow(_meet(percent), "key long, node long").distinct()
-    met = work.keep(met, "met")
+    left = work.keep(_open(held, leaders, comp), "open")
+    met = work.keep(_blocks(left, info, [], parts).mapInArrow(_meet(percent), "kind int, key long, node long").distinct(), "met")
     if not met.isEmpty():
         more = met.select("node").distinct().join(feats.select("node"), "node", "left_anti")
         more = work.keep(_features_of(reps, sets, more, width), "features", "lz4")
         loads = feats.select("node", "features").unionByName(more)
-        again = left.join(met, ["key", "node"], "left_semi")
+        again = left.join(met, ["kind", "key", "node"], "left_semi")
         second = _blocks(again, info.join(loads, "node"), ["features"], parts).mapInArrow(_join(percent), "a long, b long").distinct()
         second = work.keep(second, "links")
         if not second.isEmpty():
@@ -449,17 +444,42 @@ def _check_led(member: DataFrame, info: DataFrame, load: str, percent: int, part
     return rows.mapInArrow(_led(percent, exact), "a long, b long")
 
 
+def _open(held: DataFrame, leaders: DataFrame, comp: DataFrame) -> DataFrame:
+    """(kind, key, node, component, side) of groups that hold several components.
+
+    Kind 0: under the leader's component, its own holders (side 1) and those outside (side 0), of all groups with such a
+    leader. Kind 1: under the group, those outside (side 2), where they are of several components.
+    """
+    named = comp.select("node", "component")
+    small = _bounded(named)
+    placed = held.select("grp", "node").join(small, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keys = leaders.select("grp", F.col("lead.node").alias("node")).join(small, "node", "left").select("grp", F.coalesce("component", "node").alias("key"))
+    rows = placed.join(keys, "grp")
+    outside = F.when(F.col("component") != F.col("key"), F.col("component"))
+    several = rows.groupBy("grp").agg(F.min(outside).alias("low"), F.max(outside).alias("high")).where("low is not null")
+    rows = rows.join(several, "grp")
+    first = rows.select(F.lit(0).alias("kind"), "key", "node", "component", F.when(F.col("component") == F.col("key"), 1).otherwise(0).alias("side")).distinct()
+    second = rows.where("low <> high and component <> key").select(F.lit(1).alias("kind"), F.col("grp").alias("key"), "node", "component", F.lit(2).alias("side"))
+    return first.unionByName(second)
+
+
 def _blocks(left: DataFrame, info: DataFrame, more: list[str], parts: int) -> DataFrame:
-    """Blocks (key, x, y): holders outside the key's component in x, all holders in y. Rows lie block by block."""
-    out = F.col("component") != F.col("key")
-    size = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"), F.ceil(F.sum(out.cast("long")) / BLOCK).cast("int").alias("xs")).where("xs > 0")
-    rows = left.join(size, "key").join(info, "node")
-    spot = F.xxhash64("node")
-    cols = ["node", "component", "n_shingles", "bits", *more]
-    x, y = F.pmod(spot, F.col("xs")).cast("int"), F.pmod(spot, F.col("ys")).cast("int")
-    outs = rows.where(out).select("key", x.alias("x"), F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(0).alias("is_other"), *cols)
-    others = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"), y.alias("y"), F.lit(1).alias("is_other"), *cols)
-    return outs.unionByName(others).repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y", "is_other")
+    """Blocks (kind, key, x, y): sides 0 and 2 dealt out to x, sides 1 and 2 to y. Rows lie block by block.
+
+    A single block of side 2 has its rows once.
+    """
+    each = lambda side: F.ceil(F.sum(F.when(F.col("side") != side, 1).otherwise(0)) / BLOCK).cast("int")
+    size = left.groupBy("kind", "key").agg(each(1).alias("xs"), each(0).alias("ys")).where("xs > 0 and ys > 0")
+    rows = left.join(size, ["kind", "key"]).join(info, "node")
+    x, y = (F.pmod(F.xxhash64("node"), F.col(n)).cast("int") for n in ("xs", "ys"))
+    place = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.alias("side"))
+    outs = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda i: place(x, i, F.lit(0)))
+    others = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda i: place(i, y, F.lit(1)))
+    single = F.array(place(F.lit(0), F.lit(0), F.lit(2)))
+    spots = F.when(F.col("side") == 0, outs).when(F.col("side") == 1, others).when((F.col("xs") == 1) & (F.col("ys") == 1), single).otherwise(F.concat(outs, others))
+    dealt = rows.select("kind", "key", F.explode(spots).alias("p"), "node", "component", "n_shingles", "bits", *more)
+    dealt = dealt.select("kind", "key", "p.x", "p.y", "p.side", "node", "component", "n_shingles", "bits", *more)
+    return dealt.repartition(parts, "kind", "key", "x", "y").sortWithinPartitions("kind", "key", "x", "y")
 
 
 def _labelled(slim: DataFrame, sets: DataFrame, comp: DataFrame | None, copied: DataFrame, few: int, work: "_Work | None" = None) -> DataFrame:
