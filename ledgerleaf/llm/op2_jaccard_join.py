@@ -18,8 +18,8 @@ several holders become rows. Then:
 2. Groups whose holders now lie in different components go on. The holders outside the leader's component meet
    that component's holders, for all groups of the component together, and group by group they meet each
    other; both in blocks of BLOCK, first by parity bitmaps, which bound the Hamming distance from below, then
-   those that may be near by their features. A block keeps its own components, so that it emits a linked pair
-   only where two of them meet.
+   those that may be near, over any number of steps, by their features. A block keeps its own components, so that
+   it emits a linked pair only where two of them meet.
 
 Two sets that share a signature are so either in one component or compared; pairs within a component are not
 formed. No step has more rows than holders times blocks.
@@ -308,20 +308,42 @@ def _near_masks(rows: list[tuple], percent: int):
 
 
 def _meet(percent: int):
-    """Of blocks: (kind, key, node) that may be near to a set of another component."""
+    """Of blocks: pairs (a, b) that span what may be near to a set of another component, by way of others or not."""
 
     def run(batches):
-        out = []
-        for (kind, key, _, _), rows in _grouped(batches, 4):
+        a, b = [], []
+        for _, rows in _grouped(batches, 4):
             if (found := _near_masks(rows, percent)) is not None:
                 outs, others, ok = found
-                near = {outs[i][1] for i in np.flatnonzero(ok.any(1))} | {others[j][1] for j in np.flatnonzero(ok.any(0))}
-                out += [(kind, key, n) for n in near]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["kind", "key", "node"])
+                find, join = _forest()
+                for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+                    x, y = outs[i][1], others[j][1]
+                    if find(x) != find(y):
+                        join(x, y)
+                        a.append(x)
+                        b.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _forest():
+    """Union-find: (find, join)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    def join(x: int, y: int) -> None:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+
+    return find, join
+
+
 def _join(percent: int):
     """Of blocks: linked pairs that join components, as far as the block can tell."""
 
@@ -331,18 +353,11 @@ def _join(percent: int):
             if (found := _near_masks(rows, percent)) is None:
                 continue
             outs, others, ok = found
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (up := root.get(x, x)) != x:
-                    root[x] = root.get(up, up)
-                    x = up
-                return x
-
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                x, y = find(outs[i][2]), find(others[j][2])
-                if x != y and linked(np.frombuffer(outs[i][5], np.uint64), np.frombuffer(others[j][5], np.uint64), percent):
-                    root[max(x, y)] = min(x, y)
+            find, join = _forest()
+            for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
+                x, y = outs[i][2], others[j][2]
+                if find(x) != find(y) and linked(np.frombuffer(outs[i][5], np.uint64), np.frombuffer(others[j][5], np.uint64), percent):
+                    join(x, y)
                     a.append(outs[i][1])
                     b.append(others[j][1])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -394,6 +409,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     reps = slim.join(_bounded(copied, few), ["h1", "h2"], "left").where("rep is null or rep = doc_id").select("doc_id", "text", "h1", "h2")
     scanned = reps.mapInArrow(_scan(width, percent, parts), SCANNED).repartition(parts, "bucket")
     both = work.keep(scanned.mapInArrow(_match, HELD), "matched")
+    C.release(spark)
     sets = both.where("grp is null").drop("grp", "sigs")
     held = work.keep(both.where("grp is not null").groupBy("grp", "node").agg(F.sum("sigs").alias("sigs")), "held")
     degree = held.groupBy("node").agg(F.sum("sigs").alias("degree"))
@@ -413,15 +429,23 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     feats = work.keep(_features_of(reps, sets, ends, width), "features", "lz4")
     first = work.keep(_check_led(near.select(F.col("b").alias("node"), F.col("a").alias("leader")), sets.select("node", "n_shingles").join(feats, "node"), "features", percent, parts, exact=True), "links")
     comp = work.keep(components(first), "components")
-    left = work.keep(_open(held, leaders, comp), "open")
-    met = work.keep(_blocks(left, info, [], parts).mapInArrow(_meet(percent), "kind int, key long, node long").distinct(), "met")
+    n_named = comp.count()
+    left = work.keep(_open(held, leaders, comp, n_named), "open")
+    met = work.keep(_blocks(left, info, [], parts).mapInArrow(_meet(percent), "a long, b long").distinct(), "met")
+    C.release(spark)
     if not met.isEmpty():
-        more = met.select("node").distinct().join(feats.select("node"), "node", "left_anti")
+        # What may be near, over any number of steps, is compared together, so that each set's features travel once for each block.
+        family = work.keep(components(met), "families")
+        n_family = family.count()
+        more = family.select("node").join(feats.select("node"), "node", "left_anti")
         more = work.keep(_features_of(reps, sets, more, width), "features", "lz4")
         loads = feats.select("node", "features").unionByName(more)
-        again = left.join(met, ["kind", "key", "node"], "left_semi")
-        second = _blocks(again, info.join(loads, "node"), ["features"], parts).mapInArrow(_join(percent), "a long, b long").distinct()
+        again = family.select(F.lit(2).alias("kind"), F.col("component").alias("key"), "node").join(_bounded(comp.select("node", "component"), n_named), "node", "left")
+        again = again.select("kind", "key", "node", F.coalesce("component", "node").alias("component"), F.lit(2).alias("side"))
+        near_info = info.join(_bounded(family.select("node"), n_family), "node", "left_semi")
+        second = _blocks(again, near_info.join(loads, "node"), ["features"], parts).mapInArrow(_join(percent), "a long, b long").distinct()
         second = work.keep(second, "links")
+        C.release(spark)
         if not second.isEmpty():
             comp = work.keep(components(first.unionByName(second)), "components")
     return _labelled(slim, sets, comp, copied, few, work)
@@ -444,14 +468,14 @@ def _check_led(member: DataFrame, info: DataFrame, load: str, percent: int, part
     return rows.mapInArrow(_led(percent, exact), "a long, b long")
 
 
-def _open(held: DataFrame, leaders: DataFrame, comp: DataFrame) -> DataFrame:
+def _open(held: DataFrame, leaders: DataFrame, comp: DataFrame, n_named: int) -> DataFrame:
     """(kind, key, node, component, side) of groups that hold several components.
 
     Kind 0: under the leader's component, its own holders (side 1) and those outside (side 0), of all groups with such a
     leader. Kind 1: under the group, those outside (side 2), where they are of several components.
     """
     named = comp.select("node", "component")
-    small = _bounded(named)
+    small = _bounded(named, n_named)
     placed = held.select("grp", "node").join(small, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keys = leaders.select("grp", F.col("lead.node").alias("node")).join(small, "node", "left").select("grp", F.coalesce("component", "node").alias("key"))
     rows = placed.join(keys, "grp")
