@@ -294,16 +294,22 @@ def _near_masks(rows: list[tuple], percent: int):
     outs, others = [r for r in rows if r[0] != 1], [r for r in rows if r[0]]
     if not outs or not others:
         return None
-    width = min(len(r[4]) for r in rows)
-    x, y = (np.stack([_folded(r[4], width) for r in side]) for side in (outs, others))
     size = [np.array([r[3] for r in side], np.int64) for side in (outs, others)]
     comp = [np.array([r[2] for r in side], np.int64) for side in (outs, others)]
+    width = [np.array([len(r[4]) for r in side]) for side in (outs, others)]
     ok = (comp[0][:, None] != comp[1][None]) & (100 * np.minimum(size[0][:, None], size[1][None]) >= percent * np.maximum(size[0][:, None], size[1][None]))
-    if ok.any():
-        apart = np.zeros(ok.shape, np.int64)
-        for w in range(x.shape[1]):
-            apart += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None])
-        ok &= apart * (100 + percent) <= (size[0][:, None] + size[1][None]) * (100 - percent)
+    # Bitmaps of the same width, or of two, at a time: a fold to the narrowest of a block would say little of large sets.
+    for w in np.unique(width[0]).tolist():
+        for v in np.unique(width[1]).tolist():
+            i, j = np.flatnonzero(width[0] == w), np.flatnonzero(width[1] == v)
+            spot = np.ix_(i, j)
+            if not ok[spot].any():
+                continue
+            x, y = (np.stack([_folded(side[k][4], min(w, v)) for k in at.tolist()]) for side, at in ((outs, i), (others, j)))
+            apart = np.zeros((len(i), len(j)), np.int64)
+            for c in range(x.shape[1]):
+                apart += np.bitwise_count(x[:, c][:, None] ^ y[:, c][None])
+            ok[spot] &= apart * (100 + percent) <= (size[0][i][:, None] + size[1][j][None]) * (100 - percent)
     return outs, others, ok
 
 
