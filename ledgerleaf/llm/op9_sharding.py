@@ -1,9 +1,11 @@
 """Two-pass external shuffle, in DataFrame operations only.
 
 Pass one scatters whole records into buckets by seeded hashes; there are so many buckets that each fits in
-memory. Pass two gathers each bucket, runs Spark's ``shuffle`` on it (an inside-out Fisher-Yates with the
-given seed over the bucket in a fixed order) and writes it. Shards are sets of buckets, so a shard's slots
-follow from the buckets' counts.
+memory. Pass two gathers each bucket, puts it in the order of one seeded draw for each record and writes it.
+(The built-in ``shuffle``, a Fisher-Yates, takes its draws from a generator that runs on from bucket to bucket of
+a task, so a repeated task would write another order. Sorting by draws gives each order of the records the same
+chance, as Fisher-Yates does, and depends on the seed and the records alone.) Shards are sets of buckets, so a
+shard's slots follow from the buckets' counts.
 
 The law is ``key``: rendezvous hashing of doc_id over the shards. Whatever other rows there are, a document
 keeps its shard, and a further shard takes rows only into itself.
@@ -20,6 +22,8 @@ from ledgerleaf.llm import common as C
 SHARDS, SEED = 8, 20240601
 #: UTF-8 bytes of text that a bucket holds on average.
 BUCKET_BYTES = 4 << 20
+#: Buckets up to which their counts, one row of three numbers each, are broadcast; beyond, Spark shuffles both sides.
+BROADCAST_BUCKETS = 500_000
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -33,8 +37,9 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
 
     The records are doc_id, text, size (UTF-8 bytes of the text, null: none, plus 1), shard, bucket, place (in
     the bucket) and slot (in the shard, gapless from 0). Null doc_ids share one shard. Rows that repeat doc_id
-    share its shard; equal texts under several doc_ids are spread like any others. An empty table gives no
-    records. Other columns are not carried.
+    share its shard; equal texts under several doc_ids are spread like any others. Rows that repeat as a whole lie
+    in one bucket, in any order among themselves. A very long text is a record as any other. An empty table gives no
+    records. Other columns, whatever their names, are not carried.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -44,17 +49,18 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bu
     buckets = max(1, -(-total // (bucket_bytes * shards)), -(-C.partitions(spark) // shards))
     # Rows of one doc_id are scattered by their text as well: a doc_id that repeats does not fill one bucket.
     bucket = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(buckets)).cast("int")
-    scattered = slim.select(shard_of(F.col("doc_id"), shards, seed).alias("shard"), bucket.alias("bucket"), "doc_id", "text", "size")
-    gathered = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("doc_id", "size", "text"))).alias("records"))
-    shuffled = gathered.select("shard", "bucket", F.posexplode(F.shuffle("records", F.lit(seed))).alias("place", "r"))
+    draw = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
+    scattered = slim.select(shard_of(F.col("doc_id"), shards, seed).alias("shard"), bucket.alias("bucket"), draw.alias("draw"), "doc_id", "size", "text")
+    gathered = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("draw", "doc_id", "size", "text"))).alias("records"))
+    shuffled = gathered.select("shard", "bucket", F.posexplode("records").alias("place", "r"))
     path = C.fresh_path(spark, "shards")
     shuffled.select("shard", "bucket", "place", "r.doc_id", "r.text", "r.size").write.option("compression", "zstd").parquet(path)
     schema = "shard int, bucket int, place int, doc_id long, text string, size long"
     records = spark.read.schema(schema).parquet(path)
     counts = records.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    # One row for each bucket.
-    return path, records.join(before, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("place")).drop("before")
+    small = F.broadcast(before) if shards * buckets <= BROADCAST_BUCKETS else before
+    return path, records.join(small, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("place")).drop("before")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
