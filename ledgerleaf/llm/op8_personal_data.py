@@ -50,6 +50,8 @@ AGAINST = r"(?i)(version|isbn|issn|doi|page|section|fig|order|invoice|serial|pri
 LABELERS = ("strict", "shape", "gazetteer", "context")
 THRESHOLD, BEFORE = 0.8, 24
 PRIOR_VOTES = 20.0
+#: Matches of a text that are placed before their spans are put to the others.
+RUN = 64
 
 
 def _found(df: DataFrame, text: Column, name: str, pattern: str, hint: str) -> DataFrame:
@@ -60,12 +62,17 @@ def _found(df: DataFrame, text: Column, name: str, pattern: str, hint: str) -> D
     hits = F.col(f"{name}_h")
     df = df.withColumn(f"{name}_p", F.when(F.size(hits) > 0, F.split(text, pattern, -1)).otherwise(none))
     both = F.zip_with(hits, F.slice(F.col(f"{name}_p"), F.lit(1), F.size(hits)), lambda v, p: F.struct(v.alias("v"), F.length(p).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, value: string>>").alias("out"))
+    none_yet = F.array().cast("array<struct<start: int, end: int, value: string>>")
     step = lambda s, x: F.struct(
         (s["at"] + x["gap"] + F.length(x["v"])).alias("at"),
         F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + F.length(x["v"])).alias("end"), x["v"].alias("value")))).alias("out"),
     )
-    spans = F.when(F.size(hits) > 0, F.aggregate(both, start, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start: int, end: int, value: string>>"))
+    # Runs of RUN matches: within one the spans so far are copied at each match, beyond it only once a run.
+    runs = F.transform(F.sequence(F.lit(0), F.expr("0") + ((F.size(hits) - 1) / RUN).cast("int")), lambda i: F.slice(both, i * RUN + 1, F.lit(RUN)))
+    inner = lambda s, run: F.aggregate(run, F.struct(s["at"].alias("at"), none_yet.alias("out")), step)
+    outer = lambda s, r: F.struct(r["at"].alias("at"), F.concat(s["out"], F.array(r["out"])).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start: int, end: int, value: string>>>").alias("out"))
+    spans = F.when(F.size(hits) > 0, F.flatten(F.aggregate(runs, start, lambda s, run: outer(s, inner(s, run)), lambda s: s["out"]))).otherwise(none_yet)
     return df.withColumn(name, spans).drop(f"{name}_h", f"{name}_p")
 
 
@@ -120,9 +127,9 @@ def _judged(text: Column, kind: str, strict: bool):
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with pii_base and pii_more: arrays of structs (kind, start, end, and the four votes), by kind and start."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs
+    """pii_row, the columns of ``docs`` as a struct, and pii_base, pii_more, pii_refused: arrays of structs (kind, start, end, and the four votes), by kind and start."""
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("pii_row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("pii_text"))
+    t = F.col("pii_text")
     for kind in KINDS:
         out = _found(out, t, f"pii_b_{kind}", BASE[kind], HINT[kind])
         out = _found(out, t, f"pii_l_{kind}", LOOSE[kind], LOOSE_HINT[kind])
@@ -130,7 +137,7 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     for kind in KINDS:
         base.append(F.transform(F.col(f"pii_b_{kind}"), _judged(t, kind, strict=True)))
         more.append(F.transform(F.col(f"pii_l_{kind}"), _judged(t, kind, strict=False)))
-    keep = [F.col(c) for c in docs.columns]
+    keep = [F.col("pii_row")]
     out = out.select(*keep, F.concat(*base).alias("pii_seen"), F.concat(*more).alias("pii_loose"))
     seen = F.col("pii_seen")
     base = F.filter(seen, lambda x: x["strict"] == 1)
@@ -199,6 +206,8 @@ def score(x: Column, weight: dict) -> Column:
 def personal_data(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with pii_base and pii_added, arrays of structs (kind, start, end) by kind as listed, then start.
 
+    Where ``docs`` has columns of these names, in any case, the new ones have a line after theirs.
+
     Offsets count code points, the end is exclusive. Null and empty texts have no spans. Each row is judged by
     itself, so repeated rows get the same spans. A table without candidates, or without rows, adds none.
     """
@@ -209,7 +218,8 @@ def personal_data(docs: DataFrame, text: str = "text", threshold: float = THRESH
     weight = train(rows, estimate(rows)) if rows else {}
     wanted = F.filter(F.col("pii_more"), lambda x: ((x["context"] == 1) | (x["gazetteer"] == 1)) & (score(x, weight) >= threshold))
     bare = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return seen.select(*(F.col(c) for c in docs.columns), bare(F.col("pii_base")).alias("pii_base"), bare(wanted).alias("pii_added"))
+    names = [C.unused(docs, n) for n in ("pii_base", "pii_added")]
+    return seen.select(*(F.col("pii_row")[c].alias(c) for c in docs.columns), bare(F.col("pii_base")).alias(names[0]), bare(wanted).alias(names[1]))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -218,18 +228,25 @@ def redacted(docs: DataFrame) -> DataFrame:
     Spans of several kinds that overlap are replaced as one, by the first one's kind.
     """
     found = personal_data(docs)
-    spans = F.array_sort(F.transform(F.concat("pii_base", "pii_added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    t = F.col("text").cast("string")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(
-        F.struct(x["end"].alias("at"), F.concat(s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))
-    )
-    text = F.when(F.size(spans) == 0, t).otherwise(F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t)))))
-    out = found.withColumn("pii_text", text)
-    new = {"text": F.col("pii_text").cast(docs.schema["text"].dataType)}
+    base, added = (F.col(c) for c in found.columns[-2:])
+    spans = F.array_sort(F.transform(F.concat(base, added), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    row = found.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("pii_row"), F.col("text").cast("string").alias("pii_text"), spans.alias("pii_spans"))
+    t, spans, n = F.col("pii_text"), F.col("pii_spans"), F.size("pii_spans")
+    # The farthest end of the spans so far, by running maxima: a span may lie inside an earlier one.
+    top = lambda s, x: F.greatest(s, x["end"])
+    runs = F.transform(F.sequence(F.lit(0), ((n - 1) / RUN).cast("int")), lambda i: F.slice(spans, i * RUN + 1, F.lit(RUN)))
+    far = F.transform(runs, lambda run: F.array_max(F.transform(run, lambda x: x["end"])))
+    upto = lambda k: F.aggregate(F.slice(far, F.lit(1), k), F.lit(0), lambda s, e: F.greatest(s, e))
+    ends = F.flatten(F.transform(runs, lambda run, k: F.transform(run, lambda x, i: F.aggregate(F.slice(run, F.lit(1), i + 1), upto(k), top))))
+    before = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), n - 1))
+    piece = lambda x, at: F.when(x["start"] < at, F.lit("")).otherwise(F.concat(F.substring(t, at + 1, x["start"] - at), F.lit("["), F.upper(x["kind"]), F.lit("]")))
+    tail = F.substring(t, F.element_at(ends, -1) + 1, F.length(t))
+    text = F.when(n == 0, t).otherwise(F.concat(F.array_join(F.zip_with(spans, before, piece), ""), tail))
+    out = row.select("pii_row", n.alias("pii_n"), text.alias("pii_new"))
+    new = {"text": F.col("pii_new").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.size(F.concat("pii_base", "pii_added")) > 0, F.length("pii_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("pii_n") > 0, F.length("pii_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("pii_row")["n_chars"])
+    return out.select(*((new[c] if c in new else F.col("pii_row")[c]).alias(c) for c in docs.columns))
 
 
 def joined(spans: Column) -> Column:
