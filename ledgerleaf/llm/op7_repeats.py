@@ -3,13 +3,14 @@
 Each document's non-overlapping blocks of BLOCK words are the reference index; every rolling window of BLOCK
 words of every document probes it. Any passage of WINDOW words holds a whole block wherever it starts, so
 every repeat leaves at least one hit on either side. Hits are extended to maximal exact repeats by looking
-up the passages around them, each by its 64-bit hash, with the smallest doc_id that has it: a passage that
-has a smaller one is removed, and runs of such passages are the maximal repeats.
+up the passages around them, each by two 64-bit hashes, with the smallest doc_id that has it: a passage that
+has a smaller one is removed, and runs of such passages are the maximal repeats. Of a passage that a chunk of
+documents has several times only the one of the smallest doc_id is looked up: the others are late already.
 
 Probes travel packed: one row for each chunk of documents and bucket of hashes, with 32 bits of each hash
 beside the bucket's, so that a window costs about seven bytes of shuffle. A false hit costs a lookup and
-changes nothing. Buckets hold a bounded number of windows; a passage that very many documents share adds at
-most one window for each of them to a bucket.
+changes nothing. Buckets hold a bounded number of windows, and a task works on one bucket at a time; a passage
+that very many documents share adds at most one window for each of them to a bucket.
 """
 
 from __future__ import annotations
@@ -26,24 +27,24 @@ BLOCK, WINDOW = 25, 50
 #: Windows that a bucket holds on average, and bytes of spans up to which they are broadcast to the texts.
 BUCKET_WINDOWS, BROADCAST_BYTES = 3_000_000, 32 << 20
 LAST = (1 << 63) - 1
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE, _SECOND = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _BASE, np.uint64)
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.multiply.accumulate(out, dtype=np.uint64)
 
 
-def rolling(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words: sum of h[i + j] * BASE^j, mixed, by prefix sums modulo 2^64."""
+def rolling(h: np.ndarray, width: int, base: np.uint64 = _BASE) -> np.ndarray:
+    """Hashes of all runs of ``width`` words: sum of h[i + j] * base^j, mixed, by prefix sums modulo 2^64."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
     back = np.full(n, inverse, np.uint64)
     back[:1] = 1
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h)), dtype=np.uint64)])
+    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h), base), dtype=np.uint64)])
     return mixed((prefix[width:] - prefix[:n]) * np.multiply.accumulate(back, dtype=np.uint64))
 
 
@@ -64,6 +65,7 @@ def _valid(edge: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray
 
 def _probes(buckets: int):
     def run(batches):
+        C.at_work("op7")
         for batch in batches:
             _, h, edge = _read(batch, 1)
             rid = batch.column(0).to_numpy()
@@ -88,16 +90,28 @@ def _probes(buckets: int):
     return run
 
 
+def _by_first(batches):
+    """Rows of batches sorted by their first column, a value of it at a time."""
+    now, held = None, []
+    for t in batches:
+        for first, *row in zip(*(c.to_pylist() for c in t.columns), strict=True):
+            if first != now and held:
+                yield held
+                held = []
+            now = first
+            held.append(row)
+    if held:
+        yield held
+
+
 def _answer(batches):
     """All rows of a bucket: which windows meet a block that is not just their own."""
-    by_bucket: dict[int, list] = {}
-    for t in batches:
-        for b, chunk, kind, x, y, z in zip(*(t.column(i).to_pylist() for i in range(6)), strict=True):
-            if kind:
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=["chunk", "kind", "a", "b"])
-            else:
-                by_bucket.setdefault(b, []).append((chunk, x, y, z))
-    for rows in by_bucket.values():
+    for both in _by_first(batches):
+        named = [r for r in both if r[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in named], pa.int64()), pa.array([1] * len(named), pa.int32()), pa.array([r[2] for r in named], pa.binary()), pa.array([r[3] for r in named], pa.binary())], names=["chunk", "kind", "a", "b"])
+        rows = [(chunk, x, y, z) for chunk, kind, x, y, z in both if not kind]
+        if not rows:
+            continue
         keys = [np.frombuffer(x, "<u4") for _, x, _, _ in rows]
         own = [np.unpackbits(np.frombuffer(z, np.uint8), count=len(k)).astype(bool) for (_, _, _, z), k in zip(rows, keys, strict=True)]
         blocks, times = np.unique(np.concatenate([k[o] for k, o in zip(keys, own, strict=True)]), return_counts=True)
@@ -139,8 +153,24 @@ def _per_text(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(spans, pa.binary())], names=["rid", "spans"])
 
 
+def _later(key: np.ndarray, again: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which passages a smaller doc has among these; passages are the same if both their hashes are."""
+    order = np.argsort(key, kind="stable")
+    k, a = key[order], again[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])
+    if (~new[1:] & (a[1:] != a[:-1])).any():  # two passages share the first hash
+        order = np.lexsort((again, key))
+        k, a = key[order], again[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] != a[:-1])])
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    late = np.zeros(len(key), bool)
+    late[order] = doc[order] > least
+    return late
+
+
 def _passages(buckets: int):
     def run(batches):
+        C.at_work("op7")
         for batch in batches:
             _, h, edge = _read(batch, 2)
             r = rolling(h, WINDOW)
@@ -154,15 +184,21 @@ def _passages(buckets: int):
             if not pos or not len(r):
                 continue
             pos, owner = np.concatenate(pos), np.concatenate(owner)
-            key = r[np.minimum(edge[owner] + pos, len(r) - 1)]
+            at = np.minimum(edge[owner] + pos, len(r) - 1)
+            key, again = r[at], rolling(h, WINDOW, _SECOND)[at]
+            late = _later(key, again, doc[owner])
+            rows = []
+            if late.any():  # decided here: they only pass through the bucket
+                who, times = np.unique(owner[late], return_counts=True)
+                rows.append((int(key[0] % np.uint64(buckets)), b"", pos[late].astype("<i4").tobytes(), rid[who].tobytes(), b"", times.astype("<i4").tobytes()))
+                key, again, pos, owner = key[~late], again[~late], pos[~late], owner[~late]
             bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
             order = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
             for b in np.flatnonzero(np.diff(at)).tolist():
                 s = order[at[b] : at[b + 1]]
                 who, times = np.unique(owner[s], return_counts=True)
-                rows.append((b, key[s].tobytes(), pos[s].astype("<i4").tobytes(), rid[who].tobytes(), doc[who].tobytes(), times.astype("<i4").tobytes()))
+                rows.append((b, key[s].tobytes() + again[s].tobytes(), pos[s].astype("<i4").tobytes(), rid[who].tobytes(), doc[who].tobytes(), times.astype("<i4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if i == 0 else pa.binary()) for i in range(6)], names=["bucket", "h", "pos", "rid", "doc", "times"])
 
     return run
@@ -188,31 +224,27 @@ def _earlier(groups: int):
 
 
 def _late(batches):
-    by_bucket: dict[int, list] = {}
-    for t in batches:
-        for row in zip(*(t.column(i).to_pylist() for i in range(6)), strict=True):
-            by_bucket.setdefault(row[0], []).append(row[1:])
-    for rows in by_bucket.values():
+    for both in _by_first(batches):
+        for r in both:
+            if not r[0]:
+                yield np.repeat(np.frombuffer(r[2], np.int64), np.frombuffer(r[4], "<i4")), np.frombuffer(r[1], "<i4")
+        rows = [r for r in both if r[0]]
+        if not rows:
+            continue
         times = [np.frombuffer(r[4], "<i4") for r in rows]
-        h = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
+        hashes = [np.frombuffer(r[0], np.uint64).reshape(2, -1) for r in rows]
+        h, again = np.concatenate([x[0] for x in hashes]), np.concatenate([x[1] for x in hashes])
         doc = np.concatenate([np.repeat(np.frombuffer(r[3], np.int64), n) for r, n in zip(rows, times, strict=True)])
         rid = np.concatenate([np.repeat(np.frombuffer(r[2], np.int64), n) for r, n in zip(rows, times, strict=True)])
         pos = np.concatenate([np.frombuffer(r[1], "<i4") for r in rows])
-        order = np.lexsort((doc, h))
-        first = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-        least = doc[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-        late = order[doc[order] > least]
+        late = np.flatnonzero(_later(h, again, doc))
         if len(late):
             yield rid[late], pos[late]
 
 
 def _removed(batches):
     """All rows of a group of texts: the words under their late passages, as intervals by text."""
-    by_group: dict[int, list] = {}
-    for t in batches:
-        for row in zip(*(t.column(i).to_pylist() for i in range(4)), strict=True):
-            by_group.setdefault(row[0], []).append(row[1:])
-    for rows in by_group.values():
+    for rows in _by_first(batches):
         rid = np.concatenate([np.repeat(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], "<i4")) for r in rows])
         pos = np.concatenate([np.frombuffer(r[2], "<i4") for r in rows]).astype(np.int64)
         order = np.lexsort((pos, rid))
@@ -253,8 +285,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A word goes when a WINDOW-word passage over it also starts in a document with a smaller doc_id; passages
     are compared on the input, words unchanged. Repeats within one document stay. Null and empty texts have no
     words. A null doc_id counts as larger than any other, and equal to itself. Rows that repeat a doc_id do not
-    remove each other's words. Texts shorter than a passage stay whole. An empty table gives no rows; other
-    columns do not matter.
+    remove each other's words. Texts shorter than a passage stay whole; a very long one is cut like any other. An
+    empty table gives no rows; other columns, whatever their names, do not matter.
     """
     spark = docs.sparkSession
     C.small_batches(spark, 1000)
@@ -263,15 +295,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     chars = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(C.partitions(spark), -(-chars // (6 * BUCKET_WINDOWS)))
     probes = slim.select("rid", "text").mapInArrow(_probes(buckets), "bucket int, chunk long, kind int, a binary, b binary, c binary")
-    hits, hits_at = C.written(probes.repartition(buckets, "bucket").mapInArrow(_answer, "chunk long, kind int, a binary, b binary"), "hits")
+    hits, hits_at = C.written(probes.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, "chunk long, kind int, a binary, b binary"), "hits")
     C.release(spark)
     chunks = hits.groupBy("chunk").agg(F.collect_list(F.struct("kind", "a", "b")).alias("parts"))
     around, around_at = C.written(chunks.mapInArrow(_per_text, "rid long, spans binary").dropDuplicates(["rid"]), "around")
     found = _joined(slim.select("rid", "doc", "text"), around, "inner").select("rid", "doc", "text", "spans")
     some = max(C.partitions(spark), buckets // 4)
     late = found.mapInArrow(_passages(some), "bucket int, h binary, pos binary, rid binary, doc binary, times binary")
-    late = late.repartition(some, "bucket").mapInArrow(_earlier(some), "grp int, rid binary, times binary, pos binary")
-    removed, _ = C.written(late.repartition(some, "grp").mapInArrow(_removed, "rid long, spans binary"), "removed")
+    late = late.repartition(some, "bucket").sortWithinPartitions("bucket").mapInArrow(_earlier(some), "grp int, rid binary, times binary, pos binary")
+    removed, _ = C.written(late.repartition(some, "grp").sortWithinPartitions("grp").mapInArrow(_removed, "rid long, spans binary"), "removed")
     C.dropped(spark, hits_at, around_at)
     rows = _joined(slim.select("doc_id", "text", "rid"), removed, "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_cut, "doc_id long, n_words long, removed array<struct<start: long, end: long>>, kept string")
