@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import itertools
 import tempfile
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 _serial = itertools.count()
 _own: list[str] = []
 _shipped: set[str] = set()
+#: In a Python worker: the operator that ran last, and what empties the caches that operators keep there.
+_at_work: list[str] = []
+forgets: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -75,6 +80,19 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def at_work(operator: str) -> None:
+    """In a Python worker, which Spark uses again: another operator's caches go, and their memory back to the system."""
+    if _at_work == [operator]:
+        return
+    if _at_work:
+        for forget in forgets:
+            forget()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    _at_work[:] = [operator]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -159,6 +159,7 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> tuple[list[tupl
 
 def _encode(path: str, end_id: int, sequence: int):
     def run(batches):
+        C.at_work("op10")
         from pyspark import TaskContext
 
         part, row, full = TaskContext.get().partitionId(), 0, 0

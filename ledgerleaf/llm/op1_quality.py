@@ -290,4 +290,5 @@ def kept_documents(docs: DataFrame) -> DataFrame:
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.load(spark, sf_dir, "documents")
-    return judge(docs, ["doc_id"]).select("doc_id", "q.*")
+    judged = judge(docs, ["doc_id"])
+    return judged.select("doc_id", f"{judged.columns[-1]}.*")

@@ -164,6 +164,7 @@ def _scan(width: int, percent: int, buckets: int):
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), *nulls, pa.array(blobs, pa.binary())], names=NAMES)
 
     def run(batches):
+        C.at_work("op2")
         from pyspark import TaskContext
 
         row = base = TaskContext.get().partitionId() << 33
@@ -250,6 +251,7 @@ def _match(batches):
 
 def _features(width: int):
     def run(batches):
+        C.at_work("op2")
         for batch in batches:
             out = [shingles(_words(t), width).tobytes() for t in batch.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "features"])

@@ -28,6 +28,7 @@ OPTIONS = {
 
 def _encode(path: str, end_id: int):
     def run(batches):
+        C.at_work("op4")
         end, at = np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             blobs = [ids + end for ids in encoder(path).encode_batch(batch.column(1).to_pylist())]
@@ -42,22 +43,23 @@ def _encode(path: str, end_id: int):
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Encode whole texts and write doc_id, start_in_part, part and ids under ``path`` in ascending doc_id order.
+    """Encode whole texts and write doc_id, start_in_part, part, ids and n_tokens under ``path`` in ascending doc_id order.
 
     A null text is empty and gives the end id alone; an empty table gives files without rows. Rows with a
-    null doc_id sort first. Rows that repeat a doc_id are all written, side by side. Other columns are not.
+    null doc_id sort first. Rows that repeat a doc_id are all written, side by side, in no given order. A very long text
+    is one row. Other columns, whatever their names, are not written.
     """
     C.small_batches(docs.sparkSession, 1000)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"))
     parts = max(C.partitions(docs.sparkSession), docs.sparkSession.sparkContext.defaultParallelism)
     ranged = slim.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id")
-    ranged.mapInArrow(_encode(tokenizer, end_id), "doc_id long, start_in_part long, part int, ids array<int>").write.options(**OPTIONS).orc(path)
+    ranged.mapInArrow(_encode(tokenizer, end_id), "doc_id long, start_in_part long, part int, ids array<int>").withColumn("n_tokens", F.size("ids").cast("long")).write.options(**OPTIONS).orc(path)
 
 
 def read_token_orc(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start (ids of all documents before it) and ids; a filter on doc_ids reaches stripes and Bloom filters."""
-    rows = spark.read.schema("doc_id long, start_in_part long, part int, ids array<int>").orc(path)
-    totals = rows.groupBy("part").agg(F.max(F.col("start_in_part") + F.size("ids")).alias("n"))
+    rows = spark.read.schema("doc_id long, start_in_part long, part int, ids array<int>, n_tokens long").orc(path)
+    totals = rows.groupBy("part").agg(F.max(F.col("start_in_part") + F.col("n_tokens")).alias("n"))
     before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))

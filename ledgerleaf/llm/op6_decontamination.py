@@ -1,8 +1,8 @@
 """Benchmark decontamination with a generalised suffix automaton over the words of the test items.
 
-The automaton is built once on the driver from the normalised items, whose number of words is checked
-against MAX_ITEM_WORDS (the benchmark is a given, bounded set; a larger one is split into several automata,
-each streamed in turn), and broadcast. Training tokens stream past it; the longest match that ends at each
+The automaton is built once on the driver from the normalised items and broadcast. One has at most
+MAX_ITEM_WORDS words: a benchmark of more gives several automata, each built, broadcast and streamed in turn
+and then forgotten, so that neither driver nor executors ever hold two. Training tokens stream past it; the longest match that ends at each
 token is tracked, and where it reaches a window's length the words under the window are hit.
 """
 
@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +136,9 @@ class Index:
                     found |= items
 
 
-def indexes(benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_ITEM_WORDS) -> list[Index]:
-    """Automata over all items, as many as their words need."""
-    parts, part, words = [], [], 0
+def indexes(benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_ITEM_WORDS) -> Iterator[Index]:
+    """Automata over all items, as many as their words need, one at a time."""
+    part, words = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).distinct().orderBy("i", "t").toLocalIterator():
         if row.t is None or row.i is None:
             continue
@@ -145,25 +146,67 @@ def indexes(benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_ITEM_WO
         if not found:
             continue
         if part and words + len(found) > limit:
-            parts, part, words = [*parts, Index(part, window)], [], 0
+            yield Index(part, window)
+            part, words = [], 0
         part.append((row.i, found))
         words += len(found)
-    return [*parts, Index(part, window)] if part else parts
+    yield Index(part, window)
 
 
-def _scan(shared, clean: int | None):
+def _find(shared):
+    """(h1, h2, words, items) of the texts that have a hit: intervals of word numbers, and names."""
+
+    def run(batches):
+        C.at_work("op6")
+        for batch in batches:
+            rows = []
+            for h1, h2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                hit, found = shared.value.hits(TOKEN.findall(text.as_py().translate(LOWER)) if text.is_valid else [])
+                if hit.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                    rows.append((h1, h2, edge.tolist(), sorted(shared.value.names[k] for k in found)))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["h1", "h2", "words", "items"])
+
+    return run
+
+
+def _text_hashes() -> list:
+    """128 bits that name a text."""
+    return [F.xxhash64(F.col("text").cast("string")).alias("h1"), F.xxhash64(F.lit("again"), F.col("text").cast("string")).alias("h2")]
+
+
+def _hits(docs: DataFrame, parts: Iterator[Index]) -> DataFrame:
+    """(h1, h2, edges, items): what every automaton has found, a row for each text with a hit; automata take turns."""
+    spark, out = docs.sparkSession, None
+    slim = docs.select(*_text_hashes(), F.col("text").cast("string").alias("text"))
+    for index in parts:
+        shared = spark.sparkContext.broadcast(index)
+        one, _ = C.written(slim.mapInArrow(_find(shared), "h1 long, h2 long, words array<long>, items array<string>").dropDuplicates(["h1", "h2"]), "found")
+        shared.destroy()
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("h1", "h2").agg(F.flatten(F.collect_list("words")).alias("edges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("names"))
+
+
+def _scan(shared, clean: int | None, known: tuple[int, int] | None = None):
+    """With one automaton the texts stream past it; with several, ``known`` are the columns of their edges and names."""
+
     def run(batches):
+        C.at_work("op6")
         for batch in batches:
             rows = []
-            for text in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()):
+            given = zip(batch.column(known[0]).to_pylist(), batch.column(known[1]).to_pylist(), strict=True) if known else repeat((None, None))
+            for text, (edges, found) in zip(batch.column(batch.schema.get_field_index("text")).cast(pa.binary()), given, strict=False):
                 raw = text.as_py() if text.is_valid else b""
                 low = raw.translate(LOWER)
                 words = TOKEN.findall(low)
-                hit, names = np.zeros(len(words), bool), set()
-                for index in shared.value:
-                    h, f = index.hits(words)
-                    hit |= h
-                    names |= {index.names[k] for k in f}
+                if known:
+                    hit, names = np.zeros(len(words), bool), set(found or [])
+                    for a, b in zip((edges or [])[::2], (edges or [])[1::2], strict=True):
+                        hit[a:b] = True
+                else:
+                    hit, f = shared.value.hits(words)
+                    names = {shared.value.names[k] for k in f}
                 spans = []
                 if hit.any():
                     ends = [(m.start(), m.end()) for m in TOKEN.finditer(low)]
@@ -194,36 +237,49 @@ def _scan(shared, clean: int | None):
                     olds = zip(batch.column(i).to_pylist(), batch.column(batch.schema.get_field_index("text")).to_pylist(), changed, strict=True)
                     sizes = [n if r == t or r is None else len(r) for n, t, r in olds]
                     out = out.set_column(i, batch.schema.field(i), pa.array(sizes, batch.schema.field(i).type))
-                yield out.filter(keep)
+                out = out.filter(keep)
+                yield out.select([n for i, n in enumerate(out.schema.names) if i not in known]) if known else out
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _streamed(slim: DataFrame, benchmark: DataFrame, window: int, limit: int, clean: int | None, schema) -> DataFrame:
+    spark = slim.sparkSession
+    parts = indexes(benchmark, window, limit)
+    first = next(parts)
+    second = next(parts, None)
+    if second is None:
+        return slim.mapInArrow(_scan(spark.sparkContext.broadcast(first), clean), schema)
+    hits, _ = C.written(_hits(slim, chain([first, second], parts)), "hits")
+    names = [C.unused(slim, n) for n in ("h1", "h2", "edges", "names")]
+    hits = hits.toDF(*names)
+    hashed = slim.select("*", *(h.alias(n) for h, n in zip(_text_hashes(), names[:2], strict=True)))
+    joined = hashed.join(hits, names[:2], "left").select(*slim.columns, *names[2:])
+    return joined.mapInArrow(_scan(None, clean, (len(slim.columns), len(slim.columns) + 1)), schema)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_ITEM_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, items (ids, sorted as strings) and spans (code points, end exclusive).
 
     Texts are lower-cased in A-Z; words are runs of digits, letters and non-ASCII characters. A window is
     ``window`` consecutive words of an item, or a whole shorter item. Null and empty texts have no words and
-    no hits; items without words have no windows. Repeated rows each give their row; equal item_ids count
-    once; an empty benchmark hits nothing. Other columns do not matter.
+    no hits; items without words, and items whose item_id is null, have no windows. Repeated rows each give their
+    row; equal item_ids count once; an empty benchmark hits nothing. A very long text streams as any other. Other
+    columns, whatever their names, do not matter. ``limit`` is the number of item words in an automaton.
     """
-    spark = docs.sparkSession
-    C.small_batches(spark)
-    shared = spark.sparkContext.broadcast(indexes(benchmark, window))
+    C.small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_scan(shared, None), "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    return _streamed(slim, benchmark, window, limit, None, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = 50) -> DataFrame:
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: int = 50, limit: int = MAX_ITEM_WORDS) -> DataFrame:
     """``docs`` with its own columns, hit spans cut out of the text; rows go whose hit words reach ``coverage`` percent.
 
     Rows without a hit, null and empty texts included, stay as they are; n_chars, where there is one, follows
     a changed text.
     """
-    spark = docs.sparkSession
-    C.small_batches(spark)
-    shared = spark.sparkContext.broadcast(indexes(benchmark, window))
-    return docs.mapInArrow(_scan(shared, coverage), docs.schema)
+    C.small_batches(docs.sparkSession)
+    return _streamed(docs, benchmark, window, limit, coverage, docs.schema)
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from ledgerleaf.llm.common import forgets
+
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", "\\t-\\r \\x85\\xa0"
 _ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
 _DROPS_SPACE = re.compile(f"{_ENDINGS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
@@ -22,6 +24,7 @@ _OTHER = re.compile("[^\\x00-\\xff]")
 #: Pre-tokens in a generation of the cache; two generations are kept, and what is still in use moves to the newer.
 LIMIT = 400_000
 _made: dict[str, "Encoder"] = {}
+forgets.append(_made.clear)
 
 
 def byte_alphabet() -> dict[int, str]:

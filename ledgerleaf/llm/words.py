@@ -7,11 +7,14 @@ import re
 import numpy as np
 import xxhash
 
+from ledgerleaf.llm.common import forgets
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words are runs of other bytes than ASCII white space; UTF-8 keeps this the same as on code points.
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LIMIT = 300_000
 _cache: dict[bytes, int] = {}
+forgets.append(_cache.clear)
 _digest = xxhash.xxh3_64_intdigest
 
 
