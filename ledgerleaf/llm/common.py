@@ -87,12 +87,17 @@ def at_work(operator: str) -> None:
     if _at_work:
         for forget in forgets:
             forget()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        rested()
     _at_work[:] = [operator]
 
 
+def rested() -> None:
+    """At a task's end in a Python worker, which may stay idle: what is free goes back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -184,6 +184,7 @@ def _encode(path: str, end_id: int, sequence: int):
             data = np.frombuffer(end.join([*found, b""]), "<u4").astype(f"<u{width}")
             ids = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(edge), pa.py_buffer(data)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([part] * len(batch), pa.int32()), *arrays, ids], names=["doc_id", "part", "row", "doc_tokens", "rest", "kind", "rank", "full", "ids"])
+        C.rested()
 
     return run
 
@@ -219,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     whatever their names, do not matter.
     """
     spark = docs.sparkSession
-    C.small_batches(spark, 1000)
+    C.small_batches(spark, 500)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"))
     rows, _ = C.written(slim.mapInArrow(_encode(tokenizer, end_id, sequence), ENCODED), "encoded", "lz4")
     # The histogram has at most SEQUENCE rows whatever the corpus, and so has the plan a bounded number of ranges.

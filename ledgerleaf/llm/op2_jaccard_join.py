@@ -191,6 +191,7 @@ def _scan(width: int, percent: int, buckets: int):
                 nodes, sigs, held, base = [], [], 0, row
         if (out := packed(base, nodes, sigs)) is not None:
             yield out
+        C.rested()
 
     return run
 

@@ -38,6 +38,7 @@ def _encode(path: str, end_id: int):
             part = batch.column(2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at + edge[:-1], pa.int64()), part, ids], names=["doc_id", "start_in_part", "part", "ids"])
             at += int(edge[-1])
+        C.rested()
 
     return run
 
@@ -49,7 +50,7 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
     null doc_id sort first. Rows that repeat a doc_id are all written, side by side, in no given order. A very long text
     is one row. Other columns, whatever their names, are not written.
     """
-    C.small_batches(docs.sparkSession, 1000)
+    C.small_batches(docs.sparkSession, 500)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"))
     parts = max(C.partitions(docs.sparkSession), docs.sparkSession.sparkContext.defaultParallelism)
     ranged = slim.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id")

@@ -103,7 +103,8 @@ class Encoder:
             words = find(t if self.keeps_space else t.lower())
             cut.append(words)
             missing.update(words)
-        missing -= self.new.keys()
+        new = self.new
+        missing = {w for w in missing if w not in new}
         if missing:
             self._learn(missing)
         return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
