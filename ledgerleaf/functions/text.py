@@ -124,12 +124,15 @@ def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 3), F.lit("..."))).otherwise(text)
 
 
+# Fixed value: what is stripped from the ends of a token of a text that is not ASCII.
+OUTER = " \t.,;:!?()[]{}<>\"'‘’“”–—-"
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case tokens: runs of letters and digits of an ASCII text; of any other, white-space parts without outer punctuation."""
     low = F.lower(text)
     ascii_tokens = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), 0)
-    strip = r"^[\s.,;:!?()\[\]{}\"'।॥]+|[\s.,;:!?()\[\]{}\"'।॥]+$"
-    other = F.filter(F.transform(F.split(low, r"\s+"), lambda t: F.regexp_replace(t, strip, "")), lambda t: t != "")
+    other = F.filter(F.transform(F.split(low, r"(?U)\s+"), lambda t: F.btrim(t, F.lit(OUTER))), lambda t: t != "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), other).otherwise(ascii_tokens)
 
 
@@ -138,11 +141,53 @@ def keywords(text: Column) -> Column:
     return F.array_distinct(F.filter(tokenize(text), lambda t: ~F.array_contains(stop, t)))
 
 
-SECTION_REF = r"(?i)\b(section|rule|article|order)s?\s+(\d+[a-z]*)"
+# Citation formats by type, in their order; the act clause is common to all provisions.
+_ACT = r"(?:\s+(?:of|under)\s+((?:the\s+)?[A-Z][\w\s,]*))?"
+_NUMBER = r"(\d+[A-Za-z]*(?:\s*[-–]\s*\d*[A-Za-z]*)?)"
+PROVISIONS = (
+    ("section", r"(?iU)(?:Sections?|Sec\.?|S\.)\s+" + _NUMBER + _ACT),
+    ("rule", r"(?iU)Rules?\s+" + _NUMBER + _ACT),
+    ("article", r"(?iU)Articles?\s+(\d+[A-Za-z]*)" + _ACT),
+    ("order", r"(?iU)Orders?\s+([IVXLC]+)\s+Rules?\s+(\d+[A-Za-z]*)" + _ACT),
+)
+#: Any of them, for tests of presence.
+SECTION_REF = r"(?iU)(?:Sections?|Sec\.?|S\.|Rules?|Articles?)\s+\d|Orders?\s+[IVXLC]+\s+Rules?\s+\d"
+
+
+def provisions(text: Column) -> Column:
+    """Array of structs (citation_type, raw_text, ref_number, act_name) of all cited provisions, by type and place, each raw text of a type once."""
+    out = []
+    for kind, pattern in PROVISIONS:
+        n = 3 if kind == "order" else 2
+        found = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), i).alias(f"g{i}") for i in range(n + 1)))
+        out.append(F.transform(found, _provision(kind, n)))
+    return F.array_distinct(F.concat(*out))
+
+
+def _provision(kind: str, act: int):
+    number = lambda x: F.concat(F.lit("Order "), x["g1"], F.lit(" Rule "), x["g2"]) if kind == "order" else x["g1"]
+    return lambda x: F.struct(F.lit(kind).alias("citation_type"), F.trim(x["g0"]).alias("raw_text"), number(x).alias("ref_number"), F.trim(F.coalesce(x[f"g{act}"], F.lit(""))).alias("act_name"))
 
 
 def section_refs(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(SECTION_REF), 0), lambda r: F.regexp_replace(F.lower(r), r"^([a-z]+?)s?\s+", "$1 "))
+    """``section 12``, ``rule 3`` and so on, one for each provision cited."""
+    return F.transform(provisions(text), _reference)
+
+
+def _reference(cite: Column) -> Column:
+    return F.trim(F.concat(cite["citation_type"], F.lit(" "), cite["ref_number"]))
+
+
+def parsed_query(text: Column) -> Column:
+    """struct(section_refs, section_numbers, citation_texts, keywords, is_empty) of a question; numbers are the first parts of references."""
+    raw = F.trim(F.coalesce(text, F.lit("")))
+    cites, words = provisions(raw), keywords(raw)
+    refs = F.transform(cites, _reference)
+    numbers = F.filter(F.transform(cites, lambda c: F.get(F.split(F.trim(c["ref_number"]), r"\s+"), F.lit(0))), lambda n: n != "")
+    return F.struct(
+        refs.alias("section_refs"), numbers.alias("section_numbers"), F.transform(cites, lambda c: c["raw_text"]).alias("citation_texts"),
+        words.alias("keywords"), ((F.size(words) == 0) & (F.size(cites) == 0)).alias("is_empty"),
+    )
 
 
 def _has(raw: Column, markers) -> Column:
@@ -214,10 +259,11 @@ def normalize_citation(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    t = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+    """Distinct character pairs, white space collapsed; a text too short for one stands for itself, so that only an equal one is similar."""
+    t = F.regexp_replace(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r")), r"\s+", " ")
     chars = F.split(t, "")  # once a row: cutting each bigram from the text is quadratic in its length
     n = F.length(t) - 1
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), F.greatest(n, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, b))))
+    return F.when(F.length(t) < 2, F.array(F.concat(F.lit("\x00"), t))).otherwise(F.array_distinct(F.zip_with(F.slice(chars, F.lit(1), F.greatest(n, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(n, F.lit(0))), lambda a, b: F.concat(a, b))))
 
 
 def dice(a: Column, b: Column) -> Column:

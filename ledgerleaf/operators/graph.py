@@ -6,17 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerleaf.functions.text import provisions
 from ledgerleaf.session import settled
 
-# Citation formats by type, in their order, with the groups of the number and of the act, court or year.
-CITATIONS = (
-    ("section", r"(?i)(?:Sections?|Sec\.?|S\.)\s+(\d+[A-Za-z]*)"),
-    ("rule", r"(?i)Rules?\s+(\d+[A-Za-z]*)"),
-    ("article", r"(?i)Articles?\s+(\d+[A-Za-z]*)"),
-    ("order", r"(?i)Orders?\s+([IVXLC]+)\s+Rules?\s+\d+[A-Za-z]*"),
-    ("case", r"AIR\s+(\d{4})\s+[A-Z]{2,10}\s+\d+"),
-    ("case", r"\((\d{4})\)\s+\d+\s+(?:SCC|SCR|AIR|Cri)\s+\d+"),
-    ("case", r"(\d{4})\s+(?:SCC|SCR|AIR|Cri)\s*\(\w+\)\s+\d+"),
+# Formats of cases, with the year and the court as groups.
+CASES = (
+    r"AIR\s+(\d{4})\s+([A-Z]{2,10})\s+\d+",
+    r"\((\d{4})\)\s+\d+\s+(SCC|SCR|AIR|Cri)\s+\d+",
+    r"(\d{4})\s+(SCC|SCR|AIR|Cri)\s*\(\w+\)\s+\d+",
 )
 CITING = ("CITES", "REFERENCES")
 # Label of a node type.
@@ -28,18 +25,27 @@ LABELS = {
 
 
 def citations(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, citation_type, raw_text, ref_number, position): every citation, once for each type and raw text, by pattern and place."""
-    each = []
-    for kind, pattern in CITATIONS:
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("raw"), F.regexp_extract_all(text, F.lit(pattern), 1).alias("num"))
-        each.append(F.transform(pairs, _citing(kind)))
-    found = docs.select(key, F.posexplode(F.concat(*each)).alias("position", "c")).select(key, "c.*", "position")
-    first = Window.partitionBy(key, "citation_type", "raw_text").orderBy("position")
-    return found.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    """(key, citation_type, raw_text, ref_number, act_name, court, year, start, end, position): every citation, once for each type and raw text.
+
+    They go by format and place. ``start`` and ``end`` are code points of the raw text's first occurrence.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    none = F.lit("").alias("act_name")
+    each = [F.transform(provisions(t), lambda c: F.struct(c["citation_type"].alias("citation_type"), c["raw_text"].alias("raw_text"), c["ref_number"].alias("ref_number"), c["act_name"].alias("act_name"), F.lit("").alias("court"), F.lit("").alias("year")))]
+    for pattern in CASES:
+        found = F.arrays_zip(*(F.regexp_extract_all(t, F.lit(pattern), i).alias(f"g{i}") for i in range(3)))
+        each.append(F.transform(found, lambda x: F.struct(F.lit("case").alias("citation_type"), F.trim(x["g0"]).alias("raw_text"), F.lit("").alias("ref_number"), none, x["g2"].alias("court"), x["g1"].alias("year"))))
+    rows = docs.select(key, t.alias("t_"), F.posexplode(F.array_distinct(F.concat(*each))).alias("position", "c"))
+    start = F.expr("instr(t_, c.raw_text)") - 1
+    return rows.select(key, "c.*", start.alias("start"), (start + F.length("c.raw_text")).alias("end"), "position")
 
 
-def _citing(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("citation_type"), x["raw"].alias("raw_text"), x["num"].alias("ref_number"))
+def courts(cites: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Court nodes (node_id, label, title) and the DECIDED_BY edges of cases to them."""
+    case = F.concat(F.lit("case_"), F.substring(F.regexp_replace(F.lower("raw_text"), r"[^a-z0-9]+", "_"), 1, 50))
+    court = F.concat(F.lit("court_"), F.lower("court"))
+    rows = cites.where("court <> ''").select(case.alias("src"), court.alias("dst"), "court")
+    return rows.select(F.col("dst").alias("node_id"), F.lit("Court").alias("label"), F.col("court").alias("title")).distinct(), rows.select("src", "dst", F.lit("DECIDED_BY").alias("rel_type")).distinct()
 
 
 def label_of(node_type: Column) -> Column:
@@ -117,8 +123,10 @@ UP, DOWN, LEAST = 0.6, 0.4, 1e-4
 def propagate(seeds: DataFrame, closure: DataFrame, doc: str) -> DataFrame:
     """(doc, node, strength): seeds 1, ancestors UP^k, descendants DOWN^k, summed over seeds and capped at 1; weaker than LEAST stops."""
     own = seeds.select(doc, "node", F.lit(1.0).alias("s"))
-    up = seeds.join(closure, [doc, "node"]).select(doc, F.col("ancestor").alias("node"), F.pow(F.lit(UP), F.col("distance")).alias("s"))
-    down = seeds.withColumnRenamed("node", "ancestor").join(closure, [doc, "ancestor"]).select(doc, "node", F.pow(F.lit(DOWN), F.col("distance")).alias("s"))
+    # A closure without ``doc`` serves all of them: seeds meet only their own rows of it.
+    on = [doc] if doc in closure.columns else []
+    up = seeds.join(closure, [*on, "node"]).select(doc, F.col("ancestor").alias("node"), F.pow(F.lit(UP), F.col("distance")).alias("s"))
+    down = seeds.withColumnRenamed("node", "ancestor").join(closure, [*on, "ancestor"]).select(doc, "node", F.pow(F.lit(DOWN), F.col("distance")).alias("s"))
     return own.unionByName(up).unionByName(down).where(F.col("s") > LEAST).groupBy(doc, "node").agg(F.least(F.lit(1.0), F.sum("s")).alias("strength"))
 
 

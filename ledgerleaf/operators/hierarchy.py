@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Roman numerals from I to XXX.
+ROMAN = r"(?:X{0,2}(?:IX|IV|VI{0,3}|I{1,3})|X{1,3})"
 # Line patterns in order of priority: type, level, pattern, group of the number, group of the title.
 LINES = (
     ("schedule", 1, r"(?i)^(?:SCHEDULE|SCHEDULE\s+\d+|[A-Z]\.\s*SCHEDULE)$", 0, 0),
-    ("appendix", 2, r"(?i)^(?:APPENDIX|APPENDIX\s+[A-Z]|APPENDIX\s+\d+)$", 0, 0),
-    ("part", 3, r"(?i)^PART\s+(?:[IVX]+|[A-Z]|\d+)$", 0, 0),
-    ("chapter", 4, r"(?i)^CHAPTER\s+(?:[IVX]+|\d+)\s*[-–—]?\s*(.*)$", 1, 0),
-    ("section", 5, r"(?i)^(?:Section|Sec\.?|S\.)\s+(\d+[A-Za-z]*)\s*(.*)$", 1, 2),
+    ("appendix", 1, r"(?i)^(?:APPENDIX|APPENDIX\s+[A-Z]|APPENDIX\s+\d+)$", 0, 0),
+    ("part", 3, rf"(?i)^PART\s+(?:{ROMAN}|[A-Z]|\d+)$", 0, 0),
+    ("chapter", 4, rf"(?i)^CHAPTER\s+(?:{ROMAN}|\d+)\s*[-–—]?\s*(.*)$", 1, 0),
+    ("section", 5, r"(?i)^(?:Section|Sec\.?|S\.)\s+(\d+[A-Za-z]*(?:\s*[-–]\s*[A-Z])?)\s*(.*)$", 1, 2),
     ("section", 5, r"^(\d+[A-Za-z]*)\.\s+(.*)$", 1, 2),
     ("sub_section", 6, r"^\((\d+)\)\s*(.*)$", 1, 2),
     ("sub_clause", 8, r"(?i)^\(([ivxlcdm]+)\)\s*(.*)$", 1, 2),

@@ -152,8 +152,8 @@ def dedupe_evidence(ranked: DataFrame, least: float = 0.95) -> DataFrame:
     import pandas as pd
 
     def grams(t: str) -> set[str]:
-        t = " ".join(t.lower().split())
-        return {t[i : i + 2] for i in range(len(t) - 1)}
+        t = " ".join(t.split())
+        return {t[i : i + 2] for i in range(len(t) - 1)} if len(t) > 1 else {"\0" + t}
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rank", "node_id"])

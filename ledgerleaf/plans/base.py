@@ -23,9 +23,9 @@ def query(sql: str | None = None):
 
 #: A legal sentence and a structural line for each part, the same in both dialects.
 LEGAL_SQL = "select p_partkey, concat('Section ', p_size, ' of the ', p_brand, ' Act. AIR ', 1950 + p_size, ' SC ', p_partkey, '. See Article ', p_size % 7 + 1, case when p_partkey % 5 = 0 then ' which was overruled later' when p_partkey % 7 = 0 then ' and shall not apply here' else '' end) as txt from part"
-LINE_SQL = """select p_partkey, case p_partkey % 12 when 0 then 'CHAPTER II Of ' || p_type when 1 then 'Section ' || p_size || ' ' || p_name when 2 then p_size || '. ' || p_name
+LINE_SQL = """select p_partkey, case p_partkey % 14 when 0 then 'CHAPTER II Of ' || p_type when 1 then 'Section ' || p_size || ' ' || p_name when 2 then p_size || '. ' || p_name
  when 3 then '(' || p_size || ') ' || p_name when 4 then '(a) ' || p_name when 5 then '(ii) ' || p_name when 6 then 'Explanation: ' || p_name when 7 then 'PART ' || (p_size % 9 + 1)
- when 8 then 'SCHEDULE' when 9 then '(c) ' || p_name when 10 then 'Proviso ' || p_name else p_name end as line from part"""
+ when 8 then 'SCHEDULE' when 9 then '(c) ' || p_name when 10 then 'Proviso ' || p_name when 11 then 'APPENDIX B' when 12 then 'Section ' || p_size || '-A ' || p_name else p_name end as line from part"""
 
 
 def legal(spark: SparkSession, sf: str) -> DataFrame:
@@ -40,11 +40,11 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     forms = [
         F.concat(F.lit("CHAPTER II Of "), "p_type"), F.concat(F.lit("Section "), size, F.lit(" "), name), F.concat(size, F.lit(". "), name), F.concat(F.lit("("), size, F.lit(") "), name),
         F.concat(F.lit("(a) "), name), F.concat(F.lit("(ii) "), name), F.concat(F.lit("Explanation: "), name), F.concat(F.lit("PART "), F.expr("p_size % 9 + 1")), F.lit("SCHEDULE"),
-        F.concat(F.lit("(c) "), name), F.concat(F.lit("Proviso "), name),
+        F.concat(F.lit("(c) "), name), F.concat(F.lit("Proviso "), name), F.lit("APPENDIX B"), F.concat(F.lit("Section "), size, F.lit("-A "), name),
     ]
     line = name
     for i, form in enumerate(forms):
-        line = F.when(F.expr(f"p_partkey % 12 = {i}"), form).otherwise(line)
+        line = F.when(F.expr(f"p_partkey % 14 = {i}"), form).otherwise(line)
     return t.select("p_partkey", line.alias("line"))
 
 
@@ -69,18 +69,19 @@ TREE_SQL = f"""with o as ({OUTLINE_SQL}), p as (select o.*, coalesce((select max
 
 #: region - nation - customer as PART_OF edges, orders citing each other through their clerks' keys.
 EDGES_SQL = """select 'n' || n_nationkey as src, 'r' || n_regionkey as dst, 'PART_OF' as rel_type from nation union all select 'c' || c_custkey, 'n' || c_nationkey, 'PART_OF' from customer
- union all select 's' || s_suppkey, 'n' || s_nationkey, 'PART_OF' from supplier union all select 's' || s_suppkey, 's' || (s_suppkey * 7 % 40 + 1), 'CITES' from supplier where s_suppkey <= 40
- union all select 'c' || c_custkey, 's' || (c_custkey % 40 + 1), 'REFERENCES' from customer where c_custkey % 3 = 0"""
+ union all select 's' || s_suppkey, 'n' || s_nationkey, 'PART_OF' from supplier union all select 's' || s_suppkey, 's' || (s_suppkey * 7 % (select count(*) from supplier) + 1), 'CITES' from supplier
+ union all select 'c' || c_custkey, 's' || (c_custkey % (select count(*) from supplier) + 1), 'REFERENCES' from customer"""
 NODES_SQL = "select 'r' || r_regionkey as node_id, 'Region' as label from region union all select 'n' || n_nationkey, 'Nation' from nation union all select 'c' || c_custkey, 'Customer' from customer union all select 's' || s_suppkey, 'Supplier' from supplier"
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     n, c, s = (table(spark, sf, t) for t in ("nation", "customer", "supplier"))
+    many = F.broadcast(s.agg(F.count("*").alias("n_suppliers")))  # one row
     link = lambda df, a, x, b, y, rel: df.select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"), F.lit(rel).alias("rel_type"))
     out = link(n, "n", F.col("n_nationkey"), "r", F.col("n_regionkey"), "PART_OF")
     for more in (
         link(c, "c", F.col("c_custkey"), "n", F.col("c_nationkey"), "PART_OF"), link(s, "s", F.col("s_suppkey"), "n", F.col("s_nationkey"), "PART_OF"),
-        link(s.where("s_suppkey <= 40"), "s", F.col("s_suppkey"), "s", F.expr("s_suppkey * 7 % 40 + 1"), "CITES"), link(c.where("c_custkey % 3 = 0"), "c", F.col("c_custkey"), "s", F.expr("c_custkey % 40 + 1"), "REFERENCES"),
+        link(s.join(many), "s", F.col("s_suppkey"), "s", F.expr("s_suppkey * 7 % n_suppliers + 1"), "CITES"), link(c.join(many), "c", F.col("c_custkey"), "s", F.expr("c_custkey % n_suppliers + 1"), "REFERENCES"),
     ):
         out = out.unionByName(more)
     return out

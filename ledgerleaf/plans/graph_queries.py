@@ -61,11 +61,12 @@ def citation_chain_bfs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"with recursive e as ({EDGES_SQL}), s as (select src, dst from e where src like 's%' and dst like 's%' union select dst, src from e where src like 's%' and dst like 's%'), w(start, node, hops) as (select 's1', 's1', 0 union select w.start, s.dst, hops + 1 from w join s on s.src = w.node where hops < 6) select start, node, min(hops) as hops from w group by all"
+    f"with recursive e as ({EDGES_SQL}), s as (select src, dst from e where src like 's%' and dst like 's%' union select dst, src from e where src like 's%' and dst like 's%'), w(start, node, hops) as (select distinct src, src, 0 from s union select w.start, s.dst, hops + 1 from w join s on s.src = w.node where hops < 6) select start, node, min(hops) as hops from w group by all"
 )
 def shortest_path_hops(spark: SparkSession, sf: str) -> DataFrame:
     e = edges(spark, sf).where("src like 's%' and dst like 's%'")
-    return graph.reached(e, e.select(F.lit("s1").alias("start")).limit(1), 6, directed=False)
+    starts = e.select(F.explode(F.array("src", "dst")).alias("start")).distinct()
+    return graph.reached(e, starts, 6, directed=False)
 
 
 _NAMES = "select 'p' || p_partkey as node_id, case when p_partkey % 2 = 0 then '  ' || upper(p_name) else p_name end as name from part"

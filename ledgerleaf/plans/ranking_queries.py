@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
 from ledgerleaf.operators import graph, ranking
+from ledgerleaf.plans.text_queries import _TOKENS
 from ledgerleaf.plans.base import EDGES_SQL, LEGAL_SQL, NODES_SQL, edges, legal, nodes, query
 from ledgerleaf.session import table
 
@@ -135,12 +136,20 @@ def text_score_topk(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.top_k(s, 5).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"select item_id, round(case when len(k) = 0 then 0 else len(list_intersect(k, {_TOK.format('t')})) / len(k) end, 6) as overlap from (select item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x not in ({', '.join(repr(w) for w in T.STOPWORDS)}))) as k, (select text from documents where doc_id = 0) as t from benchmark where not regexp_matches(text, '[^\\x00-\\x7F]'))")
+_OVERLAP = f"""with k as (select item_id, list_distinct(list_filter({_TOKENS}, lambda t: t not in ({', '.join(repr(w) for w in T.STOPWORDS)}))) as k from benchmark),
+ d as (select doc_id, unnest(list_distinct({_TOKENS})) as t from documents), m as (select item_id, doc_id, round(count(*) / any_value(n), 6) as overlap from (select item_id, len(k) as n, unnest(k) as t from k) join d using (t) group by 1, 2),
+ b as (select item_id, count(*) as n_docs, max(overlap) as best from m group by 1) select k.item_id, coalesce(n_docs, 0) as n_docs, coalesce(best, 0.0) as best, (select min(doc_id) from m where m.item_id = k.item_id and m.overlap = b.best) as best_doc from k left join b using (item_id)"""
+
+
+@query(_OVERLAP)
 def keyword_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("doc_id = 0").select(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("tk"))
-    k = T.keywords(F.col("text"))
-    rows = table(spark, sf, "benchmark").where(r"not text rlike '[^\\x00-\\x7F]'").select("item_id", k.alias("k")).join(F.broadcast(d))
-    return rows.select("item_id", F.round(F.when(F.size("k") == 0, 0.0).otherwise(F.size(F.array_intersect("k", "tk")) / F.size("k")), 6).alias("overlap"))
+    """For each item: documents that share a keyword, the largest share of its keywords in one, and the first such document."""
+    items = table(spark, sf, "benchmark").select("item_id", T.keywords(F.col("text")).alias("k"))
+    words = items.select("item_id", F.size("k").alias("n"), F.explode("k").alias("t"))
+    held = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(T.tokenize(F.col("text")))).alias("t"))
+    pairs = held.join(words, "t").groupBy("item_id", "doc_id").agg(F.round(F.count("*") / F.first("n"), 6).alias("overlap"))
+    best = pairs.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max(F.struct("overlap", (-F.col("doc_id")).alias("d"))).alias("x"))
+    return items.join(best, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("x.overlap", F.lit(0.0)).alias("best"), (-F.col("x.d")).alias("best_doc"))
 
 
 @query(f"select p_partkey, case when contains(lower(txt), 'section ' || (p_partkey % 50)) or cast(p_partkey % 30 as varchar) = cast(p_partkey % 9 as varchar) then 1.0 else 0.0 end as score from ({LEGAL_SQL})")
@@ -166,7 +175,7 @@ def graph_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     up = e.where("rel_type = 'PART_OF'")
     seeds = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.expr("n_nationkey % 3").cast("int").alias("query_id"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
     closure = up.select(F.expr("src as node"), F.expr("dst as ancestor"), F.lit(1).alias("distance"))
-    strength = graph.propagate(seeds, closure.join(seeds.select("query_id").distinct(), F.lit(True)), "query_id")
+    strength = graph.propagate(seeds, closure, "query_id")
     deg = graph.both_ways(e).groupBy("node").agg(F.count("*").alias("d"))
     rows = strength.join(deg, "node").withColumn("top", F.max("d").over(Window.partitionBy("query_id")))
     w = ranking.SIGNALS
@@ -174,19 +183,9 @@ def graph_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.top_k(rows.select("query_id", F.col("node").alias("node_id"), score.alias("score")), 10).select("query_id", "node_id", F.round("score", 6).alias("score"), "rank")
 
 
-_BG = "case when length(t) < 2 then [] else list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) end"
-_SHORT = "select doc_id, n_chars // 200 as band, {} as g from (select doc_id, n_chars, regexp_replace(lower(trim(text)), '\\s+', ' ', 'g') as t from documents where n_chars < 600)".format(_BG)
-
-
-@query(f"with s as ({_SHORT}) select a.doc_id as a, b.doc_id as b, round(2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)), 6) as similarity from s a join s b on a.band = b.band and a.doc_id < b.doc_id where len(a.g) + len(b.g) > 0 and 2.0 * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) >= 0.95")
-def dice_near_dups(spark: SparkSession, sf: str) -> DataFrame:
-    short = table(spark, sf, "documents").where("n_chars < 600")
-    return ranking.dice_pairs(short, "doc_id", F.expr("n_chars div 200")).select("a", "b", F.round("similarity", 6).alias("similarity"))
-
-
 @query()
-def dice_near_dups_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Near duplicates among all documents, of any length and across the bands of dice_near_dups."""
+def dice_near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    """Near duplicates among all documents, of any length."""
     return ranking.dice_pairs(table(spark, sf, "documents"), "doc_id", F.lit(0)).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 

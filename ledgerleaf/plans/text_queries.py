@@ -12,7 +12,7 @@ from ledgerleaf.session import table
 from ledgerleaf.sources import files
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-_TOKENS = "case when regexp_matches(text, '[^\\x00-\\x7F]') then list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda t: regexp_replace(t, '^[\\s.,;:!?()\\[\\]{}\"''।॥]+|[\\s.,;:!?()\\[\\]{}\"''।॥]+$', '', 'g')), lambda t: t <> '') else regexp_extract_all(lower(text), '[a-z0-9]+') end"
+_TOKENS = "case when regexp_matches(text, '[^\\x00-\\x7F]') then list_filter(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda t: trim(t, ' .,;:!?()[]{}<>\"''‘’“”–—-')), lambda t: t <> '') else regexp_extract_all(lower(text), '[a-z0-9]+') end"
 _NOISE = " or ".join(f"regexp_matches(trim(x), '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in T.NOISE)
 
 
@@ -88,7 +88,7 @@ def _markers_sql(raw: str, markers) -> str:
 
 
 _QUESTIONS_SQL = "select p_partkey, case p_partkey % 9 when 0 then 'define ' || p_name when 1 then 'what is the punishment for ' || p_type when 2 then 'compare ' || p_name when 3 then 'Section ' || p_size || ' of the act' when 4 then 'how do I file a complaint' when 5 then 'supreme court on ' || p_name when 6 then 'fundamental rights and ' || p_type when 7 then 'he was forced to sign under pressure' else p_name end as q from part"
-_INTENT_SQL = "case when regexp_matches(q, '(?i)\\b(section|rule|article|order)s?\\s+(\\d+[a-z]*)') then 'section_lookup' " + " ".join(f"when {_markers_sql('lower(q)', ms)} then '{n}'" for n, ms in T.INTENTS) + " else 'explanation' end"
+_INTENT_SQL = "case when regexp_matches(q, '(?i)(sections?|sec\\.?|s\\.|rules?|articles?)\\s+\\d') then 'section_lookup' " + " ".join(f"when {_markers_sql('lower(q)', ms)} then '{n}'" for n, ms in T.INTENTS) + " else 'explanation' end"
 _BUDGET_SQL = "case when i in ('definition', 'section_lookup', 'explanation') then 4 when i in ('punishment', 'procedural', 'comparison', 'constitutional') then 7 else 12 end"
 
 
@@ -149,16 +149,26 @@ def line_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.line_blocks(table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"), F.max("line_no").cast("long").alias("last_line"))
 
 
-_KIND_SQL = "case " + " ".join(f"when regexp_matches(line, '{p}') then {{'k': '{k}', 'l': {lv}, 'n': " + (f"trim(regexp_extract(line, '{p}', {n}))" if n else "line") + "}" for k, lv, p, n, _ in hierarchy.LINES) + " end"
+#: The classes that the forms of ``lines`` have by definition, one for each remainder.
+_CLASSES = [
+    ("chapter", 4, "'Of ' || p_type"), ("section", 5, "cast(p_size as varchar)"), ("section", 5, "cast(p_size as varchar)"), ("sub_section", 6, "cast(p_size as varchar)"), ("clause", 7, "'a'"), ("sub_clause", 8, "'ii'"),
+    ("explanation", 9, "p_name"), ("part", 3, "line"), ("schedule", 1, "line"), ("sub_clause", 8, "'c'"), ("proviso", 9, "p_name"), ("appendix", 1, "line"), ("section", 5, "p_size || '-A'"),
+]
+_FORMS_SQL = f"select p_partkey, line, p_size, p_name, p_type from part join ({LINE_SQL}) using (p_partkey)"
+_KIND_SQL = "p_partkey % 14 < 13"
 
 
-@query(f"select p_partkey, x.k as node_type, coalesce(x.l, 0) as level, case when x.n = '' then line else x.n end as numbering from (select p_partkey, line, {_KIND_SQL} as x from ({LINE_SQL}))")
+def _class_sql(i: int) -> str:
+    return "case p_partkey % 14 " + " ".join(f"when {k} then {repr(c[i]) if i == 0 else c[i]}" for k, c in enumerate(_CLASSES)) + " end"
+
+
+@query(f"select p_partkey, {_class_sql(0)} as node_type, coalesce({_class_sql(1)}, 0) as level, {_class_sql(2)} as numbering from ({_FORMS_SQL})")
 def line_classify(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("p_partkey", hierarchy.classify(F.col("line")).alias("x")).select("p_partkey", "x.node_type", F.coalesce("x.level", F.lit(0)).alias("level"), "x.numbering")
 
 
 @query(
-    f"""with l as (select p_partkey % 50 as doc_id, p_partkey as line_no, line, {_KIND_SQL} is not null as s from ({LINE_SQL})),
+    f"""with l as (select p_partkey % 50 as doc_id, p_partkey as line_no, line, {_KIND_SQL} as s from ({LINE_SQL})),
  g as (select *, sum(case when s then 1 else 0 end) over (partition by doc_id order by line_no) as seq from l)
  select doc_id, cast(seq as int) as seq, coalesce(string_agg(line, chr(10) order by line_no) filter (not s), '') as text from g where seq > 0 group by doc_id, seq"""
 )
@@ -207,10 +217,10 @@ def evidence_propagation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"select p_partkey, 'section' as citation_type, regexp_extract(txt, '(?i)Section\\s+(\\d+[A-Za-z]*)', 1) as ref_number from ({LEGAL_SQL}) union all select p_partkey, 'article', regexp_extract(txt, 'Article\\s+(\\d+)', 1) from ({LEGAL_SQL}) union all select p_partkey, 'case', regexp_extract(txt, 'AIR\\s+(\\d+)', 1) from ({LEGAL_SQL})"
+    f"select p_partkey, 'section' as citation_type, cast(p_size as varchar) as ref_number, 'the ' || split_part(p_brand, '#', 1) as act_name, '' as court, '' as year, 0 as \"start\" from part union all select p_partkey, 'article', cast(p_size % 7 + 1 as varchar), '', '', '', instr(txt, 'Article') - 1 from part join ({LEGAL_SQL}) using (p_partkey) union all select p_partkey, 'case', '', '', 'SC', cast(1950 + p_size as varchar), instr(txt, 'AIR') - 1 from part join ({LEGAL_SQL}) using (p_partkey)"
 )
 def citation_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.citations(legal(spark, sf), "p_partkey", "txt").select("p_partkey", "citation_type", "ref_number")
+    return graph.citations(legal(spark, sf), "p_partkey", "txt").select("p_partkey", "citation_type", "ref_number", "act_name", "court", "year", F.col("start").cast("long").alias("start"))
 
 
 @query(

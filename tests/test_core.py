@@ -21,6 +21,7 @@ def one(spark, column, **cols):
     [
         ("Sec. 13 provides that", "section", 5, "13"), ("14. This section applies to", "section", 5, "14"), ("Section 14A of the Act", "section", 5, "14A"), ("(1) Where any person", "sub_section", 6, "1"),
         ("(a) the person concerned", "clause", 7, "a"), ("(i) where the contract", "sub_clause", 8, "i"), ("(c) third", "sub_clause", 8, "c"), ("CHAPTER II Of Contracts", "chapter", 4, "Of Contracts"),
+        ("APPENDIX B", "appendix", 1, "APPENDIX B"), ("Section 12-A applies", "section", 5, "12-A"), ("CHAPTER IIII", "chapter", 4, "I"),
     ],
 )
 def test_line_classes(spark, line, kind, level, number):
@@ -122,9 +123,10 @@ def test_hash_embedding(spark):
 def test_text_functions(spark):
     assert one(spark, T.clean_noise_lines(F.col("t")), t="Page 1 of 5\nkeep\n\n- 3 -\nDownloaded from here") == "keep\n"
     assert one(spark, T.tokenize(F.col("t")), t="Sec. 12A, of") == ["sec", "12a", "of"]
-    assert one(spark, T.tokenize(F.col("t")), t="act — (Sec.)") == ["act", "—", "sec"]
+    assert one(spark, T.tokenize(F.col("t")), t="act — (Sec.) “धारा” <x>") == ["act", "sec", "धारा", "x"]
     assert one(spark, T.intent(F.col("t")), t="he defines fines") == "explanation"
-    assert one(spark, T.intent(F.col("t")), t="what is section 5") == "section_lookup"
+    for t in ("what is section 5", "Sec. 12 says", "Order VII Rule 11"):
+        assert one(spark, T.intent(F.col("t")), t=t) == "section_lookup"
     assert one(spark, T.section_keys(F.col("t")), t='124. "Contract" 294A and 1872') == ["124", "294a"]
     assert one(spark, T.section_matches(F.lit("10"), F.array(F.lit("10(a)")))) and not one(spark, T.section_matches(F.lit("10"), F.array(F.lit("101"))))
     assert one(spark, T.dice(T.bigrams(F.lit("abcd")), T.bigrams(F.lit("abcd")))) == 1.0
@@ -145,10 +147,10 @@ def test_dedupe_keeps_the_best(spark):
 
 def _brute_dice(texts):
     def grams(t):
-        t = " ".join(t.lower().split())
-        return {t[i : i + 2] for i in range(len(t) - 1)}
+        t = " ".join((t or "").split())
+        return {t[i : i + 2] for i in range(len(t) - 1)} if len(t) > 1 else {"short " + t}
 
-    g = {i: grams(t) for i, t in texts if t is not None}
+    g = {i: grams(t) for i, t in texts}
     score = {(a, b): 2.0 * len(g[a] & g[b]) / ((len(g[a]) + len(g[b])) or 1) for a in g for b in g if a < b}
     return {k: round(v, 6) for k, v in score.items() if v >= 0.95}
 
@@ -166,7 +168,7 @@ def test_near_dups_of_any_length_and_across_bands(spark, tmp_path):
     texts += [edge, edge + "zz", "", "a", None, "aa", "aaa"]
     rows = [(i, t, len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r.a, r.b): r.similarity for r in registry.QUERIES["dice_near_dups_all"](spark, str(tmp_path)).collect()}
+    got = {(r.a, r.b): r.similarity for r in registry.QUERIES["dice_near_dups"](spark, str(tmp_path)).collect()}
     want = _brute_dice([r[:2] for r in rows])
     assert got == want and (120, 121) in got and any(min(rows[a][2], rows[b][2]) >= 600 for a, b in got)
 
@@ -194,3 +196,19 @@ def test_files(spark, tmp_path):
         z.writestr("word/document.xml", f'<w:document xmlns:w="{ns}"><w:body><w:p><w:r><w:t>One</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>Two</w:t></w:r></w:p></w:body></w:document>')
     got = {r.path[-5:].lstrip("/"): [p.text for p in r.pages] for r in files.load_any(files.raw_files(spark, str(tmp_path))).collect()}
     assert got["a.txt"] == ["héllo"] and got["b.txt"] == [] and got[".docx"] == ["One\nTwo"]
+
+
+def test_citations_whole(spark):
+    text = "See Section 45-A of the Contract Act, 1872. Order VII Rule 11 and AIR 1965 SC 123; (2001) 2 SCC 45."
+    rows = graph.citations(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").orderBy("position").collect()
+    assert [(r.citation_type, r.ref_number, r.act_name, r.court, r.year) for r in rows] == [
+        ("section", "45-A", "the Contract Act, 1872", "", ""), ("rule", "11", "", "", ""), ("order", "Order VII Rule 11", "", "", ""), ("case", "", "", "SC", "1965"), ("case", "", "", "SCC", "2001"),
+    ]
+    assert all(text[r.start : r.end] == r.raw_text for r in rows)
+    nodes, edges = graph.courts(graph.citations(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t"), "id")
+    assert {r.node_id for r in nodes.collect()} == {"court_sc", "court_scc"} and edges.count() == 2
+
+
+def test_parsed_query(spark):
+    x = one(spark, T.parsed_query(F.col("t")), t="what does Section 12 of the Act say")
+    assert x["section_refs"] == ["section 12"] and x["section_numbers"] == ["12"] and "say" in x["keywords"] and not x["is_empty"]
