@@ -220,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int
     whatever their names, do not matter.
     """
     spark = docs.sparkSession
-    C.small_batches(spark, 500)
+    C.small_batches(spark, 2000)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"))
     rows, _ = C.written(slim.mapInArrow(_encode(tokenizer, end_id, sequence), ENCODED), "encoded", "lz4")
     # The histogram has at most SEQUENCE rows whatever the corpus, and so has the plan a bounded number of ranges.
