@@ -1,23 +1,71 @@
-"""Connected components of an edge table, in Spark, by alternating large-star and small-star steps."""
+"""Connected components of an edge table, in Spark: forests of each task's edges, then large-star and small-star steps."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import dropped, written
+from ledgerleaf.llm.common import dropped, shipped, written
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: So many edges, two numbers each, one task joins by itself; beyond, steps over all tasks go on until nothing changes.
+ONE_TASK = 200_000
+
+
+def forest():
+    """Union-find whose roots are the smallest members: (find, join, all nodes' links upwards)."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    def join(x: int, y: int) -> None:
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+
+    return find, join, root
+
+
+def _stars(batches):
+    """A run's edges as stars about the smallest node; a run has at most ONE_TASK edges."""
+
+    def stars(find, root):
+        nodes = list(root)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["u", "v"])
+
+    find, join, root = forest()
+    seen = 0
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            join(u, v)
+            seen += 1
+            if seen == ONE_TASK:
+                yield stars(find, root)
+                (find, join, root), seen = forest(), 0
+    yield stars(find, root)
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every node that has an edge (a, b); the component is the smallest node reachable.
 
     Edges may repeat, run either way and join a node to itself. No edges: no rows. Each step aggregates a
     minimum per node before it shuffles, so a node with very many edges costs one row per map task and the
-    star it forms has one edge per member; the steps end when the edge set no longer changes.
+    star it forms has one edge per member; the steps end when the edge set no longer changes. Up to ``one_task`` edges,
+    counted, are joined in one task.
     """
     spark = edges.sparkSession
-    now, path = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    shipped(spark)
+    stars = "u long, v long"
+    pairs = edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v")
+    now, path = written(pairs.mapInArrow(_stars, stars).where("u <> v").distinct(), "edges")
     mark = _mark(now)
+    if mark[0] <= one_task:
+        return _named(written(now.repartition(1).mapInArrow(_stars, stars).where("u <> v"), "edges")[0])
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The minima are written out, so both sides of each join are plain exchanges and Spark may split a hot node's rows.
@@ -36,6 +84,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
+    return _named(now)
+
+
+def _named(now: DataFrame) -> DataFrame:
+    """A star's members and its centre, each with the centre."""
     members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

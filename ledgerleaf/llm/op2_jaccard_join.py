@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import common as C
-from ledgerleaf.llm.components import components
+from ledgerleaf.llm.components import components, forest
 from ledgerleaf.llm.words import LOWER, WORD, mixed, shingles
 
 K2, N2 = 1, 3
@@ -324,7 +324,7 @@ def _meet(percent: int):
         for _, rows in _grouped(batches, 4):
             if (found := _near_masks(rows, percent)) is not None:
                 outs, others, ok = found
-                find, join = _forest()
+                find, join, _ = forest()
                 for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
                     x, y = outs[i][1], others[j][1]
                     if find(x) != find(y):
@@ -336,23 +336,6 @@ def _meet(percent: int):
     return run
 
 
-def _forest():
-    """Union-find: (find, join)."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    def join(x: int, y: int) -> None:
-        x, y = find(x), find(y)
-        root[max(x, y)] = min(x, y)
-
-    return find, join
-
-
 def _join(percent: int):
     """Of blocks: linked pairs that join components, as far as the block can tell."""
 
@@ -362,7 +345,7 @@ def _join(percent: int):
             if (found := _near_masks(rows, percent)) is None:
                 continue
             outs, others, ok = found
-            find, join = _forest()
+            find, join, _ = forest()
             for i, j in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True):
                 x, y = outs[i][2], others[j][2]
                 if find(x) != find(y) and linked(np.frombuffer(outs[i][5], np.uint64), np.frombuffer(others[j][5], np.uint64), percent):

@@ -82,7 +82,8 @@ def test_linked_sets_share_a_signature(percent):
             assert not J.far_apart(J.bitmap(a), J.bitmap(b), len(a), len(b), percent)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 430)] + [(5, 5)]
     root = {}
@@ -96,7 +97,7 @@ def test_components(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
     ends = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in ends}
 
