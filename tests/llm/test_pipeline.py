@@ -1,4 +1,5 @@
 import corpus_pipeline
+from tests.conftest import SF
 from tests.llm.fixtures import SCHEMA, rows
 
 
@@ -21,3 +22,14 @@ def test_stages_keep_columns_and_pack_the_rest(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path))
     order = lambda r: (r[0] is None, r[0] or 0, *r[1:])
     assert sorted(map(tuple, whole.collect()), key=order) == sorted(map(tuple, now.collect()), key=order)
+
+
+def test_stages_on_empty_tables_and_null_texts(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars int, q int, pii_seen string"
+    rows = [(1, None, "en", "web", 0, 1, "a"), (2, "", "en", "web", 0, 2, "b"), (3, "no match here", None, None, 13, 3, None), (3, "no match here", None, None, 13, 3, None)]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        nothing = stage(spark, spark.createDataFrame([], schema), SF)
+        assert nothing.columns == [x.split()[0] for x in schema.split(", ")] and nothing.count() == 0, name
+        if name in ("decontamination", "personal_data"):
+            got = stage(spark, spark.createDataFrame(rows, schema), SF).collect()
+            assert sorted(map(tuple, got), key=str) == sorted(rows, key=str), name
