@@ -28,6 +28,8 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage of an iterative plan: written to the folder that all executors share, and read again."""
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")  # a single machine, as in tests
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
