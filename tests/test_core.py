@@ -212,3 +212,16 @@ def test_citations_whole(spark):
 def test_parsed_query(spark):
     x = one(spark, T.parsed_query(F.col("t")), t="what does Section 12 of the Act say")
     assert x["section_refs"] == ["section 12"] and x["section_numbers"] == ["12"] and "say" in x["keywords"] and not x["is_empty"]
+
+
+def test_text_bearing_ties_and_blanks(spark):
+    from ledgerleaf.operators import evidence
+
+    # 1 is the root of 2, 4 and 6; 3 lies under 2, 5 under 4; 6 has neither text nor children
+    rows = [(1, None, 0.0, 0), (2, "  ", 0.0, 0), (3, "aa", 0.5, 1), (4, "bb", 0.5, 1), (5, "longer", 0.5, 0), (6, "", 0.0, 0)]
+    nodes = spark.createDataFrame([(7, *r) for r in rows], "doc_id int, seq int, text string, text_score double, citation_score int")
+    pairs = [(2, 1, 1), (3, 1, 2), (4, 1, 1), (5, 1, 2), (6, 1, 1), (3, 2, 1), (5, 4, 1)]
+    closure = spark.createDataFrame([(7, *p) for p in pairs], "doc_id int, node int, ancestor int, distance int")
+    got = {r.node: r.evidence for r in evidence.text_bearing(nodes, closure, "doc_id").collect()}
+    assert got == {1: 4, 2: 3, 3: 3, 4: 4, 5: 5, 6: None}
+    assert evidence.text_bearing(nodes.limit(0), closure, "doc_id").count() == 0
