@@ -15,6 +15,7 @@ from ledgerleaf.llm.op7_repeats import op7_repeats
 from ledgerleaf.llm.op8_personal_data import op8_personal_data
 from ledgerleaf.llm.op9_sharding import op9_sharding
 from ledgerleaf.llm.op10_packing import op10_packing
+from ledgerleaf.llm.op11_repair import op11_repair
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +24,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_jaccard_join, op3_license_scan, op4_token_orc, op5_link_graph, op6_decontamination, op7_repeats, op8_personal_data, op9_sharding, op10_packing)
+    for f in (
+        op1_quality, op2_jaccard_join, op3_license_scan, op4_token_orc, op5_link_graph, op6_decontamination, op7_repeats,
+        op8_personal_data, op9_sharding, op10_packing, op11_repair,
+    )
 }
 #: None of the queries has its rows through plain SQL on whole tables: each is tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
