@@ -17,6 +17,7 @@ from ledgerleaf.llm.op9_sharding import op9_sharding
 from ledgerleaf.llm.op10_packing import op10_packing
 from ledgerleaf.llm.op11_repair import op11_repair
 from ledgerleaf.llm.op12_token_counts import op12_token_counts
+from ledgerleaf.llm.op13_whitening import op13_whitening
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_jaccard_join, op3_license_scan, op4_token_orc, op5_link_graph, op6_decontamination, op7_repeats,
-        op8_personal_data, op9_sharding, op10_packing, op11_repair, op12_token_counts,
+        op8_personal_data, op9_sharding, op10_packing, op11_repair, op12_token_counts, op13_whitening,
     )
 }
 #: None of the queries has its rows through plain SQL on whole tables: each is tested against brute force in tests/llm.
