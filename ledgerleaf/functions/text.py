@@ -40,15 +40,42 @@ INTENTS = (
 )
 BUDGETS = {"definition": 4, "section_lookup": 4, "explanation": 4, "punishment": 7, "procedural": 7, "comparison": 7, "constitutional": 7}
 # Surface phrases with the concepts that they stand for, terms and sections by concept.
-_FORCE, _LIE, _OFFER = ("coercion", "free_consent", "voidable_agreement"), ("fraud", "misrepresentation"), ("proposal",)
 PHRASES = {
-    **dict.fromkeys(("forced to sign", "forced to", "threatened", "threatening", "threat", "threats", "duress", "coercion"), _FORCE),
-    **dict.fromkeys(("false statements", "false statement", "lied", "lies", "lying", "deceived", "deceit"), _LIE),
+    "forced to sign": ("coercion", "free_consent", "voidable_agreement"),
+    "forced to": ("coercion", "free_consent", "voidable_agreement"),
+    "threatened": ("coercion", "free_consent", "voidable_agreement"),
+    "threatening": ("coercion", "free_consent", "voidable_agreement"),
+    "threat": ("coercion", "free_consent", "voidable_agreement"),
+    "threats": ("coercion", "free_consent", "voidable_agreement"),
+    "duress": ("coercion", "free_consent", "voidable_agreement"),
+    "coercion": ("coercion", "free_consent", "voidable_agreement"),
+    "false statements": ("fraud", "misrepresentation"),
+    "false statement": ("fraud", "misrepresentation"),
+    "lied": ("fraud", "misrepresentation"),
+    "lies": ("fraud", "misrepresentation"),
+    "lying": ("fraud", "misrepresentation"),
+    "deceived": ("fraud", "misrepresentation"),
+    "deceit": ("fraud", "misrepresentation"),
     "fraud": ("fraud",),
-    **dict.fromkeys(("offered", "offers", "offer", "proposal"), _OFFER),
-    **dict.fromkeys(("without consideration", "no consideration", "consideration"), ("consideration",)),
-    **dict.fromkeys(("unable to understand", "capacity to contract", "sound mind", "unsound mind", "incompetent", "minor"), ("capacity",)),
-    **dict.fromkeys(("position to dominate", "undue influence", "dominant party", "fiduciary", "pressured", "pressure"), ("undue_influence",)),
+    "offered": ("proposal",),
+    "offers": ("proposal",),
+    "offer": ("proposal",),
+    "proposal": ("proposal",),
+    "without consideration": ("consideration",),
+    "no consideration": ("consideration",),
+    "consideration": ("consideration",),
+    "unable to understand": ("capacity",),
+    "capacity to contract": ("capacity",),
+    "sound mind": ("capacity",),
+    "unsound mind": ("capacity",),
+    "incompetent": ("capacity",),
+    "minor": ("capacity",),
+    "position to dominate": ("undue_influence",),
+    "undue influence": ("undue_influence",),
+    "dominant party": ("undue_influence",),
+    "fiduciary": ("undue_influence",),
+    "pressured": ("undue_influence",),
+    "pressure": ("undue_influence",),
 }
 CONCEPTS = {
     "coercion": (("coercion",), (15,)), "free_consent": (("free consent",), (14,)), "voidable_agreement": (("voidable agreement", "voidable"), (19, 2)),

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerleaf.functions.text import normalize_citation
 from ledgerleaf.operators import graph
 
 #: Paths shown for a result, best evidence first.
 PATHS = 6
-#: The characters that a citation's key leaves out.
-NOT_IN_KEY = " ,.;:()[]{}'\"-–—_/\\"
 
 
 def find(nodes: DataFrame, label: str | None = None, **properties) -> DataFrame:
@@ -77,15 +76,11 @@ def with_citations(candidates: DataFrame, edges: DataFrame, query: str, node: st
     return rows.withColumn("citation", F.when(F.col("most") > 0, F.col("citations") / F.col("most")).otherwise(0.0)).drop("citations", "most")
 
 
-def citation_key(text: Column) -> Column:
-    return F.lower(F.translate(text, NOT_IN_KEY, ""))
-
-
 def citation_accuracy(gold: Column, cited: Column, anchors: Column) -> Column:
     """Share of the distinct gold keys that a citation's key, or a node's non-empty one, contains or is contained in. No gold: 0."""
-    keys = F.array_distinct(F.transform(gold, citation_key))
+    keys = F.array_distinct(F.transform(gold, normalize_citation))
     either = lambda a, b: F.contains(a, b) | F.contains(b, a)
-    met = lambda k: F.exists(F.transform(cited, citation_key), lambda c: either(c, k)) | F.exists(F.transform(anchors, citation_key), lambda a: (a != "") & either(a, k))
+    met = lambda k: F.exists(F.transform(cited, normalize_citation), lambda c: either(c, k)) | F.exists(F.transform(anchors, normalize_citation), lambda a: (a != "") & either(a, k))
     return F.when(F.size(keys) == 0, 0.0).otherwise(F.round(F.size(F.filter(keys, met)) / F.size(keys), 4))
 
 

@@ -48,23 +48,26 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("p_partkey", line.alias("line"))
 
 
-#: A tree of levels for each order: lines in a fixed order with levels 1 to 9.
-OUTLINE_SQL = "select l_orderkey as doc_id, cast(row_number() over (partition by l_orderkey order by l_partkey, l_linenumber) as int) as seq, cast(1 + l_partkey % 9 as int) as level, cast(l_suppkey % 4 as varchar) as numbering from lineitem"
+#: A tree of levels for each order: lines in a fixed order with levels 1 to 9. Lines that tie in all of it are alike in what is shown.
+_PLACE = "l_partkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice"
+OUTLINE_SQL = f"""select l_orderkey as doc_id, cast(row_number() over (partition by l_orderkey order by {_PLACE}) as int) as seq,
+ cast(1 + l_partkey % 9 as int) as level, cast(l_suppkey % 4 as varchar) as numbering from lineitem"""
 
 
 def outline(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber")
-    return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).alias("seq"), F.expr("cast(1 + l_partkey % 9 as int)").alias("level"), F.expr("cast(l_suppkey % 4 as string)").alias("numbering")
-    )
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_PLACE.split(", ")))
+    level, numbering = F.expr("cast(1 + l_partkey % 9 as int)"), F.expr("cast(l_suppkey % 4 as string)")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc_id"), seq.alias("seq"), level.alias("level"), numbering.alias("numbering"))
 
 
-#: The oracle's tree, by self-joins instead of windows.
-TREE_SQL = f"""with o as ({OUTLINE_SQL}), p as (select o.*, coalesce((select max(b.seq) from o b where b.doc_id = o.doc_id and b.seq < o.seq and b.level < o.level), 0) as parent,
- coalesce((select min(b.seq) from o b where b.doc_id = o.doc_id and b.seq > o.seq and b.level <= o.level), (select max(b.seq) + 1 from o b where b.doc_id = o.doc_id)) as after from o),
- d as (select p.*, 1 + (select count(*) from p b where b.doc_id = p.doc_id and b.seq < p.seq and b.after > p.seq) as depth from p),
+#: The oracle's tree, by joins within a document instead of windows.
+TREE_SQL = f"""with o as materialized ({OUTLINE_SQL}),
+ p as materialized (select o.doc_id, o.seq, o.level, o.numbering, coalesce(max(b.seq) filter (b.seq < o.seq and b.level < o.level), 0) as parent,
+ coalesce(min(b.seq) filter (b.seq > o.seq and b.level <= o.level), max(b.seq) + 1) as after from o join o b on b.doc_id = o.doc_id group by all),
+ d as materialized (select p.doc_id, p.seq, p.level, p.numbering, p.parent, p.after, 1 + count(*) filter (b.seq < p.seq and b.after > p.seq) as depth
+ from p join p b on b.doc_id = p.doc_id group by all),
  tree as (select *, 2 * seq - depth + 1 as "left", 2 * seq - depth + 1 + 2 * (after - seq - 1) + 1 as "right" from d)"""
 
 #: region - nation - customer as PART_OF edges, orders citing each other through their clerks' keys.
