@@ -16,8 +16,6 @@ from ledgerleaf.functions import text as T
 from ledgerleaf.operators import evidence, explain, graph, ranking
 from ledgerleaf.session import settled
 
-#: Rounds of parents before a cycle is supposed.
-DEEPEST = 64
 TEXT_THRESHOLD = 0.25
 SNIPPET = 240
 SAME_TEXT = 0.95
@@ -50,13 +48,17 @@ def lineage(nodes: DataFrame) -> DataFrame:
     up = settled(up.join(nodes.select(F.col("node_id").alias("ancestor")), "ancestor", "left_semi"), "parents")
     above = up.select(F.col("node_id").alias("ancestor"), F.col("ancestor").alias("next"))
     front = out = up.select("node_id", "ancestor", F.lit(1).alias("distance"))
-    for distance in range(2, DEEPEST + 1):
+    distance = 1
+    while True:
+        state = front.agg(F.count("*").alias("n"), F.max((F.col("node_id") == F.col("ancestor")).cast("int")).alias("own")).first()
+        if state.own:
+            raise ValueError("a node is its own ancestor: parents form a cycle")
+        if not state.n:
+            return settled(out, "lineages")
+        distance += 1
         front = front.join(above, "ancestor").select("node_id", F.col("next").alias("ancestor"), F.lit(distance).alias("distance"))
         front = settled(front, "lineage")
-        if front.isEmpty():
-            return settled(out, "lineages")
         out = out.unionByName(front)
-    raise ValueError(f"a node has more than {DEEPEST} ancestors: its parents form a cycle")
 
 
 def spread(seeds: DataFrame, closure: DataFrame) -> DataFrame:
@@ -123,11 +125,11 @@ def matches(asked: DataFrame, nodes: DataFrame) -> DataFrame:
     numbered = asked.select("query_id", F.explode("numbers").alias("n")).select("query_id", bare(F.col("n")).alias("n"))
     by_number = nodes.select("node_id", bare(F.trim(F.coalesce("numbering", F.lit("")))).alias("n")).where("n <> ''").join(numbered, "n")
     cited = cited.unionByName(by_number.select("query_id", "node_id")).distinct().withColumn("citation_score", F.lit(1.0))
-    share = F.col("hits") / F.col("n")
+    share = F.coalesce(F.col("hits") / F.col("n"), F.lit(0.0))  # a pair that only a reference joins shares no word
     out = lexical.join(cited, ["query_id", "node_id"], "full")
     return out.select(
-        "query_id", "node_id", F.coalesce(F.least(F.lit(1.0), share + F.least(F.lit(0.2), 0.1 * F.col("titled"))), F.lit(0.0)).alias("text_score"),
-        F.coalesce(share, F.lit(0.0)).alias("keyword"), F.coalesce("citation_score", F.lit(0.0)).alias("citation_score"),
+        "query_id", "node_id", F.least(F.lit(1.0), share + F.least(F.lit(0.2), 0.1 * F.coalesce("titled", F.lit(0)))).alias("text_score"),
+        share.alias("keyword"), F.coalesce("citation_score", F.lit(0.0)).alias("citation_score"),
         F.coalesce("matched", F.array().cast("array<string>")).alias("matched"),
     )
 

@@ -110,6 +110,71 @@ def reached(edges: DataFrame, starts: DataFrame, depth: int, directed: bool = Tr
     return seen
 
 
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 6) -> DataFrame:
+    """(source, target, hops, path) of the pairs that are joined within ``depth`` edges, in either direction of an edge.
+
+    Frontiers grow from both ends in turn, each row with its predecessor, until a pair's frontiers have met; a pair leaves as
+    soon as it has, so neither side goes deeper than half the way. Of equally short paths the one whose nodes come
+    first, from the source on, is taken. A pair of one node is a path of it alone; pairs that are not joined have no row.
+    ``pairs``: source, target; repeated pairs count once.
+    """
+    steps = both_ways(edges).select("node", "other").where("node <> other").distinct()
+    keys = ["source", "target"]
+    todo = settled(pairs.select(*keys).distinct(), "pairs")
+    # All nodes within reach of an end, with the hops to it; several predecessors lead to one node, the walk chooses.
+    seen = {end: todo.select(*keys, F.col(end).alias("node"), F.lit(0).alias("hops")) for end in keys}
+    front = dict(seen)
+    met = todo.where("source = target").select(*keys, F.lit(0).alias("length"))
+    todo = todo.where("source <> target")
+    sides = dict.fromkeys(keys, 0)
+    for total in range(1, depth + 1):
+        end = keys[(total - 1) % 2]
+        sides[end] += 1
+        grown = front[end].join(todo, keys, "left_semi").join(steps, "node").select(*keys, F.col("other").alias("node")).distinct()
+        grown = grown.join(seen[end].select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("hops", F.lit(sides[end]))
+        front[end] = settled(grown, "front")
+        seen[end] = seen[end].unionByName(front[end])
+        # Frontiers that meet for the first time do so at the newest rows of both sides.
+        other = keys[total % 2]
+        now = front[end].select(*keys, "node").join(front[other].select(*keys, "node"), [*keys, "node"], "left_semi")
+        now = settled(now.select(*keys).distinct().withColumn("length", F.lit(total)), "met")
+        met = met.unionByName(now)
+        todo = settled(todo.join(now, keys, "left_anti"), "pairs")
+        if todo.isEmpty() or front[end].isEmpty():
+            break
+    # Back along both sides: a node at h hops from the source and length - h from the target lies on a shortest path.
+    near = seen["source"].select(*keys, "node", F.col("hops").alias("at"))
+    far = seen["target"].select(*keys, "node", F.col("hops").alias("left"))
+    lengths = settled(met, "lengths")
+    known = near.join(lengths, keys).select(*keys, "node", "at", (F.col("length") - F.col("at")).alias("left"), "length")
+    behind = far.join(lengths, keys).select(*keys, "node", (F.col("length") - F.col("left")).alias("at"), "left", "length")
+    on_way = settled(known.unionByName(behind).groupBy(*keys, "node", "at").agg(F.max("length").alias("length")), "on-way")
+    # Nodes that one side alone has reached lie on a way only if the next node does; the walk starts where both are known.
+    last = lengths.select(*keys, "length", F.col("target").alias("node")).withColumn("at", F.col("length"))
+    alive = last
+    layer = last
+    for _ in range(depth):
+        layer = layer.join(steps.withColumnRenamed("node", "n2"), layer["node"] == F.col("n2")).select(*keys, "length", F.col("other").alias("node"), (F.col("at") - 1).alias("at"))
+        layer = settled(layer.distinct().join(on_way.select(*keys, "node", "at"), [*keys, "node", "at"], "left_semi"), "layer")
+        if layer.isEmpty():
+            break
+        alive = alive.unionByName(layer)
+    alive = settled(alive, "alive")
+    path = lengths.select(*keys, "length", F.col("source").alias("node"), F.array("source").alias("path"))
+    out = path.where("length = 0")
+    path = path.where("length > 0")
+    for at in range(1, depth + 1):
+        after = path.join(steps, "node").select(*keys, "length", "path", F.col("other").alias("node"))
+        after = after.join(alive.where(F.col("at") == at).select(*keys, "node"), [*keys, "node"], "left_semi")
+        path = after.groupBy(*keys, "length").agg(F.min("node").alias("node"), F.first("path").alias("path"))
+        path = settled(path.withColumn("path", F.concat("path", F.array("node"))), "paths")
+        if path.isEmpty():
+            break
+        out = out.unionByName(path.where(F.col("length") == at).select(*out.columns))
+        path = path.where(F.col("length") > at)
+    return out.select(*keys, F.col("length").alias("hops"), "path")
+
+
 def ancestors(nested: DataFrame, doc: str) -> DataFrame:
     """(doc, node, ancestor, distance) of nested sets, by one window.
 

@@ -69,6 +69,28 @@ def shortest_path_hops(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reached(e, starts, 6, directed=False)
 
 
+_STREETS_SQL = """select 's' || s_suppkey as src, 's' || (s_suppkey * 7 % (select count(*) from supplier) + 1) as dst from supplier
+ union select 's' || s_suppkey, 's' || (s_suppkey * 3 % (select count(*) from supplier) + 1) from supplier"""
+
+
+@query(
+    f"""with recursive e as materialized (select distinct src, dst from ({_STREETS_SQL}) where src <> dst union select dst, src from ({_STREETS_SQL}) where src <> dst),
+ p as (select 's' || s_suppkey as source, 's' || ((s_suppkey * 13 + 7) % (select count(*) from supplier) + 1) as target from supplier),
+ w(source, target, node, path) as (select source, target, source, [source] from p union all
+ select source, target, dst, list_append(path, dst) from w join e on e.src = w.node where node <> target and len(path) <= 6 and not list_contains(path, dst))
+ select source, target, len(path) - 1 as hops, array_to_string(path, '>') as path from w where node = target qualify row_number() over (partition by source, target order by len(path), path) = 1"""
+)
+def shortest_path_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """A shortest path of each pair, with its nodes."""
+    s = table(spark, sf, "supplier")
+    n = F.broadcast(s.agg(F.count("*").alias("n")))  # one row
+    to = lambda x: F.concat(F.lit("s"), F.expr(x))
+    rows = s.join(n).select(to("s_suppkey").alias("src"), to("s_suppkey * 7 % n + 1").alias("a"), to("s_suppkey * 3 % n + 1").alias("b"), to("(s_suppkey * 13 + 7) % n + 1").alias("target"))
+    e = rows.select("src", F.explode(F.array("a", "b")).alias("dst"), F.lit("CITES").alias("rel_type"))
+    found = graph.shortest_paths(e, rows.select(F.col("src").alias("source"), "target"))
+    return found.select("source", "target", "hops", F.array_join("path", ">").alias("path"))
+
+
 _NAMES = "select 'p' || p_partkey as node_id, case when p_partkey % 2 = 0 then '  ' || upper(p_name) else p_name end as name from part"
 
 
