@@ -2,12 +2,13 @@
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; looser patterns find candidates
 for more. Four labelers vote for, against or not at all on each: the strict patterns with their checks, the
-candidate's shape, gazetteers (top-level domains, calling codes, issuer prefixes) and cue words before it.
-Votes are counted by pattern, a table of at most KINDS x 81 rows whatever the corpus; on it
-expectation-maximisation estimates how reliable each labeler is and how likely each pattern is private, and
-a logistic classifier is trained on these soft labels, one weight for each kind and vote. It scores every
-candidate as a column expression. Base spans stay; a candidate is added when its score reaches THRESHOLD, a
-cue or a gazetteer speaks for it, no strict check has refused it and it overlaps no base span.
+candidate's shape, gazetteers (top-level domains, calling codes and trunk prefixes, address blocks, issuer
+prefixes) and cue words before it. Votes are counted by pattern, a table of at most KINDS x 81 x 9 rows whatever
+the corpus; on it expectation-maximisation estimates how reliable each labeler is and how likely each pattern is
+private, and a logistic classifier is trained on these soft labels, one weight for each kind, vote and feature that
+no labeler sees: what stands beside the span and how it is grouped. It scores every candidate as a column expression.
+Base spans stay; a candidate is added when its score reaches THRESHOLD, a cue or a gazetteer speaks for it, no strict
+check has refused all of it and it overlaps no base span. A refused fragment refuses nothing longer than itself.
 """
 
 from __future__ import annotations
@@ -40,14 +41,18 @@ LOOSE_HINT = {"email": r"(?i)[\[({]at[\])}]|[\[({ ]dot[\])} ]", "ip": r"[0-9A-Fa
 DOMAINS = "com|org|net|edu|gov|info|io|de|fr|es|uk|it|nl|eu|us|ca|ch|at|be|jp|in"
 CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65|62"
+TRUNK = r"\(?0[1-9][0-9]{1,3}\)?[ ./-]"
+BLOCKS = "fe80|f[cd][0-9a-f]{2}|2[0-9a-f]{3}|64:ff9b|::"
 CUES = {
     "email": r"(?i)(e-?mail|mail|contact|write|reach|courriel|correo|kontakt)",
     "ip": r"(?i)(\bip\b|ipv6|address|host|server|login|adresse|direcci)",
     "card": r"(?i)(card|visa|master|amex|credit|debit|karte|carte|tarjeta|pan\b)",
-    "phone": r"(?i)(phone|tel\b|tel[.:]|telef|t[ée]l[ée]phone|call|mobile|cell|fax|whatsapp|anruf|llam)",
+    "phone": r"(?i)(phone|tel\b|tel[.:]|telef|t[ée]l[ée]phone|call|mobile|cell|fax|whatsapp|anruf|llam|\bring\b|\bdial|number is|rufnummer)",
 }
 AGAINST = r"(?i)(version|isbn|issn|doi|page|section|fig|order|invoice|serial|price|\bid\b|\bno\b|\bnr\b|[$€£#])\W{0,3}$"
 LABELERS = ("strict", "shape", "gazetteer", "context")
+#: What the classifier sees and no labeler does: the characters beside the span, and its grouping.
+FEATURES = ("beside", "grouped")
 THRESHOLD, BEFORE = 0.8, 24
 PRIOR_VOTES = 20.0
 #: Matches of a text that are placed before their spans are put to the others.
@@ -108,11 +113,17 @@ def _candidate(text: Column, kind: str, x: Column, strict: Column) -> Column:
         "card": _vote(n.between(13, 19) & luhn(digits), ~n.between(13, 19) | ~luhn(digits)), "phone": _vote(n.between(9, 13) & v.rlike("[ ().-]"), ~n.between(8, 15)),
     }[kind]
     gaz = {
-        "email": _vote(v.rlike(rf"(?i)(?:\.|dot[\])}}]? ?)(?:{DOMAINS})$"), F.lit(False)), "ip": _vote(F.lit(False), v.rlike(r"^(?:0|127|255)\.")),
-        "card": _vote(digits.rlike(f"^(?:{ISSUERS})"), ~digits.rlike("^[2-6]")), "phone": _vote(v.rlike(rf"^\+(?:{CODES})"), v.rlike(r"^\+0")),
+        "email": _vote(v.rlike(rf"(?i)(?:\.|dot[\])}}]? ?)(?:{DOMAINS})$"), F.lit(False)), "ip": _vote(v.rlike(f"(?i)^(?:{BLOCKS})"), v.rlike(r"^(?:0|127|255)\.")),
+        "card": _vote(digits.rlike(f"^(?:{ISSUERS})"), ~digits.rlike("^[2-6]")), "phone": _vote(v.rlike(rf"^(?:\+(?:{CODES})|{TRUNK})"), v.rlike(r"^\+0")),
     }[kind]
     context = _vote(before.rlike(CUES[kind]), before.rlike(AGAINST))
-    return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), strict.alias("strict"), shape.alias("shape"), gaz.alias("gazetteer"), context.alias("context"))
+    after = F.substring(text, x["end"] + 1, 1)
+    open_, shut = r"[\s(\[{<\"':;,=]$", r"^[\s)\]}>\"':;,.!?]"
+    left, right = (before == "") | before.rlike(open_), (after == "") | after.rlike(shut)
+    groups = F.size(F.split(v, r"[ ./()_:@-]+"))
+    features = (_vote(left & right, ~left & ~right).alias("beside"), _vote(groups.between(2, 5), groups > 8).alias("grouped"))
+    votes = (strict.alias("strict"), shape.alias("shape"), gaz.alias("gazetteer"), context.alias("context"))
+    return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), *votes, *features)
 
 
 def _judged(text: Column, kind: str, strict: bool):
@@ -141,9 +152,10 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.select(*keep, F.concat(*base).alias("pii_seen"), F.concat(*more).alias("pii_loose"))
     seen = F.col("pii_seen")
     base = F.filter(seen, lambda x: x["strict"] == 1)
-    # A candidate lies apart from every base span, and from what the strict check of its own kind has refused.
-    weighs = lambda b, x: (b["strict"] == 1) | (b["strict"] == -1) & (b["kind"] == x["kind"])
-    apart = lambda x: ~F.exists(seen, lambda b: weighs(b, x) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    # A candidate lies apart from every base span, and not within what the strict check of its own kind has refused.
+    meets = lambda b, x: (b["strict"] == 1) & (b["start"] < x["end"]) & (x["start"] < b["end"])
+    within = lambda b, x: (b["strict"] == -1) & (b["kind"] == x["kind"]) & (b["start"] <= x["start"]) & (x["end"] <= b["end"])
+    apart = lambda x: ~F.exists(seen, lambda b: meets(b, x) | within(b, x))
     return out.select(*keep, base.alias("pii_base"), F.filter(F.col("pii_loose"), apart).alias("pii_more"), F.filter(seen, lambda x: x["strict"] == -1).alias("pii_refused"))
 
 
@@ -161,7 +173,7 @@ def estimate(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 100)
     for _ in range(rounds):
         for kind, votes, _n in counts:
             odds = math.log(prior[kind] / (1 - prior[kind]))
-            for t, v in zip(table, votes, strict=True):
+            for t, v in zip(table, votes[: len(LABELERS)], strict=True):
                 if v:
                     odds += math.log(t[1] / t[0]) if v > 0 else math.log((1 - t[1]) / (1 - t[0]))
             posterior[kind, votes] = 1.0 if votes[0] > 0 else 0.0 if votes[0] < 0 else 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
@@ -181,7 +193,7 @@ def train(counts: list[tuple[str, tuple[int, ...], int]], posterior: dict[tuple,
     """Logistic regression on the soft labels; keys are kinds and (labeler, vote). Gradient steps over the counted patterns."""
     weight: dict = {}
     total = sum(c for _, _, c in counts) or 1
-    rows = [((k, *((name, v) for name, v in zip(LABELERS, vs, strict=True) if v)), c / total, posterior[k, vs]) for k, vs, c in counts]
+    rows = [((k, *((name, v) for name, v in zip(LABELERS + FEATURES, vs, strict=True) if v)), c / total, posterior[k, vs]) for k, vs, c in counts]
     for _ in range(rounds):
         slope: dict = {}
         for keys, share, y in rows:
@@ -197,7 +209,7 @@ def score(x: Column, weight: dict) -> Column:
     total = F.lit(0.0)
     for kind in KINDS:
         total = total + F.when(x["kind"] == kind, F.lit(float(weight.get(kind, 0.0)))).otherwise(0.0)
-    for name in LABELERS:
+    for name in LABELERS + FEATURES:
         for v in (-1, 1):
             total = total + F.when(x[name] == v, F.lit(float(weight.get((name, v), 0.0)))).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
@@ -208,13 +220,14 @@ def personal_data(docs: DataFrame, text: str = "text", threshold: float = THRESH
 
     Where ``docs`` has columns of these names, in any case, the new ones have a line after theirs.
 
-    Offsets count code points, the end is exclusive. Null and empty texts have no spans. Each row is judged by
-    itself, so repeated rows get the same spans. A table without candidates, or without rows, adds none.
+    Offsets count code points, the end is exclusive. Null and empty texts have no spans; very long ones are read whole. Each
+    row is judged by itself, so repeated rows get the same spans. A table without candidates, or without rows, adds none.
     """
     seen = candidates(docs, text)
     every = seen.select(F.explode(F.concat("pii_base", "pii_refused", "pii_more")).alias("x"))
-    counts = every.groupBy("x.kind", *(f"x.{n}" for n in LABELERS)).agg(F.count("*").alias("n")).collect()  # at most 4 x 81 rows
-    rows = sorted((r["kind"], tuple(r[n] for n in LABELERS), r["n"]) for r in counts)
+    names = LABELERS + FEATURES
+    counts = every.groupBy("x.kind", *(f"x.{n}" for n in names)).agg(F.count("*").alias("n")).collect()  # at most 4 x 81 x 9 rows
+    rows = sorted((r["kind"], tuple(r[n] for n in names), r["n"]) for r in counts)
     weight = train(rows, estimate(rows)) if rows else {}
     wanted = F.filter(F.col("pii_more"), lambda x: ((x["context"] == 1) | (x["gazetteer"] == 1)) & (score(x, weight) >= threshold))
     bare = lambda a: F.transform(a, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))

@@ -238,6 +238,29 @@ def test_personal_data_widely_written(spark):
     assert not got[5].pii_added and not got[6].pii_added
 
 
+#: Planted forms by kind that no base pattern finds.
+PLANTED = {
+    "card": ["card: 4111/1111/1111/1111", "visa 4111.1111.1111.1111", "visa 4111_1111_1111_1111", "amex 3782 822463 10005", "pay by 5500/0000/0000/0004 now"],
+    "phone": ["(0171) 123-4567", "my number is 0171 123 4567", "Ring me on 030-1234567", "tel. 089 123 45678", "fax (040) 555-1234"],
+    "ip": ["host fe80::1 up", "fe80::1", "2001:db8::8a2e:370:7334", "server fd12:3456:789a::1", "see 2a00:1450:4001:82b::200e there"],
+    "email": ["jane [at] example.org", "joe (at) mail (dot) com", "write to max at firma [dot] de", "contact: a.b{at}site.fr", "ann [at] host [dot] net"],
+}
+CLEAN = ["version 1.2.3 of 100-200-3000 units", "at 12:30:45 std::vector :: x", "nothing 1234567890123", "order 4111 of 1111 pages", "ratio 1/2/3/4/5/6/7/8/9/1/2/3/4", "meet at noon. dot the i", "0.171 123 of 4567"]
+
+
+def test_personal_data_recall_by_kind(spark):
+    common = [f"mail joe{i}@mail.com from server 10.1.2.{i} card 4111 1111 1111 1111 or call +49 171 555{i:03d}" for i in range(40)]
+    texts = [x for xs in PLANTED.values() for x in xs] + CLEAN + common
+    got = {r.doc_id: r for r in op8_personal_data.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    at = 0
+    for kind, xs in PLANTED.items():
+        found = sum(any(s.kind == kind for s in got[at + i].pii_added) for i in range(len(xs)))
+        assert found >= 0.9 * len(xs), [xs[i] for i in range(len(xs)) if not got[at + i].pii_added]
+        at += len(xs)
+    for i in range(at, at + len(CLEAN)):
+        assert not got[i].pii_added, texts[i]
+
+
 def test_sharding(spark):
     _, records = op9_sharding.external_shuffle(frame(spark), bucket_bytes=2000)
     got = records.collect()
