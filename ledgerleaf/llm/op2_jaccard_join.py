@@ -358,19 +358,20 @@ def _join(percent: int):
 
 
 class _Work:
-    """The tables of one join; ``drop`` deletes what nothing refers to any more."""
+    """The tables of one join; ``drop`` deletes those of the given tags, or all, when nothing refers to them any more."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.paths = spark, []
 
     def keep(self, df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
         out, path = C.written(df, tag, codec)
-        self.paths.append(path)
+        self.paths.append((tag, path))
         return out
 
-    def drop(self, *which: int) -> None:
-        C.dropped(self.spark, *self.paths)
-        self.paths = []
+    def drop(self, *tags: str) -> None:
+        gone = [(tag, path) for tag, path in self.paths if not tags or tag in tags]
+        C.dropped(self.spark, *(path for _, path in gone))
+        self.paths = [x for x in self.paths if x not in gone]
 
 
 def _bounded(small: DataFrame, rows: int | None = None) -> DataFrame:
@@ -415,6 +416,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     member = held.join(leaders, "grp").where("node <> lead.node").groupBy("node", "lead").agg(F.sum("sigs").alias("sigs"))
     member = member.groupBy("node").agg(F.max(F.struct("sigs", "lead")).alias("x"))
     member = work.keep(member.select("node", F.col("x.lead.node").alias("leader")), "members")
+    work.drop("degrees")
     info = sets.select("node", "n_shingles", "bits")
     near = work.keep(_check_led(member, info, "bits", percent, parts, exact=False), "near")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -423,8 +425,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     comp = work.keep(components(first), "components")
     n_named = comp.count()
     left = work.keep(_open(held, leaders, comp, n_named), "open")
+    work.drop("held", "leaders", "members", "near")
     met = work.keep(_blocks(left, info, [], parts).mapInArrow(_meet(percent), "a long, b long").distinct(), "met")
-    C.release(spark)
+    work.drop("open")
     if not met.isEmpty():
         # What may be near, over any number of steps, is compared together, so that each set's features travel once for each block.
         family = work.keep(components(met), "families")
