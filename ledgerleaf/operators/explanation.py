@@ -72,10 +72,11 @@ def spread(seeds: DataFrame, closure: DataFrame) -> DataFrame:
     return parts.groupBy("query_id", "node_id").agg(F.least(F.lit(1.0), F.sum("s")).alias("strength"))
 
 
-def parsed(questions: DataFrame, nodes: DataFrame, expansion: bool = True) -> DataFrame:
+def parsed(questions: DataFrame, nodes: DataFrame, expansion: bool = True, top_k: int | None = None) -> DataFrame:
     """Questions with intent and budget of the text as asked, and keywords, refs and numbers of the expanded search text.
 
-    A concept's sections are named only where the corpus has them, in a numbering or title.
+    A concept's sections are named only where the corpus has them, in a numbering or title. ``top_k`` is every question's
+    budget where it is given; else the intent decides.
     """
     known = {str(n) for _, ns in T.CONCEPTS.values() for n in ns}  # so the row below has some ten entries at most
     keys = F.array_union(T.section_keys(F.coalesce("numbering", F.lit(""))), T.section_keys(F.coalesce("title", F.lit(""))))
@@ -89,7 +90,7 @@ def parsed(questions: DataFrame, nodes: DataFrame, expansion: bool = True) -> Da
     none = F.array().cast("array<string>")
     shown = {"phrases": "phrases", "concepts": "concepts", "terms": "terms", "sections": "available", "omitted": "omitted"}
     return rows.select(
-        "query_id", "text", *(["q"] if "q" in questions.columns else []), intent.alias("intent"), T.budget(intent).alias("budget"), "search",
+        "query_id", "text", *(["q"] if "q" in questions.columns else []), intent.alias("intent"), (T.budget(intent) if top_k is None else F.lit(top_k)).alias("budget"), "search",
         p["keywords"].alias("keywords"), p["section_refs"].alias("refs"), p["section_numbers"].alias("numbers"),
         *(F.when(active, F.col(f"x.{c}")).otherwise(none).alias(name) for name, c in shown.items()),
     )
@@ -172,21 +173,22 @@ def hierarchy_hits(dense: DataFrame, nodes: DataFrame, closure: DataFrame) -> Da
     return spread(dense.join(nodes.select("node_id"), "node_id", "left_semi"), closure)
 
 
-def fused(asked: DataFrame, dense: DataFrame, graphs: DataFrame, hierarchy: DataFrame) -> DataFrame:
+def fused(asked: DataFrame, dense: DataFrame, graphs: DataFrame, hierarchy: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """(query_id, node_id, dense, graph, hierarchy, score, rank): the weighted sum to six decimals, within the budget."""
     long = dense.select("query_id", "node_id", F.lit("dense").alias("signal"), "score")
     long = long.unionByName(graphs.select("query_id", "node_id", F.lit("graph").alias("signal"), "score"))
     long = long.unionByName(hierarchy.select("query_id", "node_id", F.lit("hierarchy").alias("signal"), F.col("strength").alias("score")))
     of = lambda s: F.coalesce(F.max(F.when(F.col("signal") == s, F.col("score"))), F.lit(0.0)).alias(s)
     wide = long.groupBy("query_id", "node_id").agg(*(of(s) for s in ranking.FUSION))
-    score = F.round(sum((F.col(s) * w for s, w in ranking.FUSION.items()), F.lit(0.0)), 6)
+    shares = ranking.normalized_weights(weights, ranking.FUSION)
+    score = F.round(sum((F.col(s) * w for s, w in shares.items()), F.lit(0.0)), 6)
     rows = wide.withColumn("score", score).join(asked.select("query_id", "budget"), "query_id")
     return best(rows, F.col("score"), F.col("budget")).drop("budget")
 
 
-def ranked(candidates: DataFrame, found: DataFrame, cites: DataFrame, nodes: DataFrame) -> DataFrame:
+def ranked(candidates: DataFrame, found: DataFrame, cites: DataFrame, nodes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Candidates by five signals: the scaled three, keyword overlap and citation frequency."""
-    rows = evidence.scaled(candidates.drop("score", "rank"), ranking.FUSION)
+    rows = evidence.scaled(candidates.drop("score", "rank"), weights or ranking.FUSION)
     rows = rows.join(found.select("query_id", "node_id", "keyword"), ["query_id", "node_id"], "left").fillna(0.0, ["keyword"])
     rows = evidence.with_citations(rows, cites, "query_id", "node_id")
     rows = rows.join(nodes.select("node_id", "label"), "node_id")
@@ -326,10 +328,10 @@ def judged(asked: DataFrame, rows: DataFrame, threshold: float = explain.MEDIUM)
 class Explained:
     """The stages of one batch, each table written once and shared by those after it."""
 
-    def __init__(self, nodes: DataFrame, cites: DataFrame, vectors: DataFrame | None, questions: DataFrame, expansion: bool = True, closure: DataFrame | None = None) -> None:
+    def __init__(self, nodes: DataFrame, cites: DataFrame, vectors: DataFrame | None, questions: DataFrame, expansion: bool = True, top_k: int | None = None) -> None:
         self.nodes, self.cites = nodes, cites
-        self.asked = settled(parsed(questions, nodes, expansion), "asked")
-        self.closure = lineage(nodes) if closure is None else closure
+        self.asked = settled(parsed(questions, nodes, expansion, top_k), "asked")
+        self.closure = lineage(nodes)
         self.found = settled(matches(self.asked, nodes), "matches")
         self.graph = settled(graph_hits(self.asked, self.found, importance(nodes, cites, self.closure), self.closure), "graph-hits")
         none = self.graph.where("false")
@@ -341,6 +343,12 @@ class Explained:
         rows, self.removed = evidence_build(self.ranked, self.found, nodes, self.closure)
         self.evidence = settled(rows, "evidence")
 
+    def variant(self, weights: dict[str, float]) -> DataFrame:
+        """The evidence under other weights of the three signals; all that was retrieved is used again."""
+        rows = settled(fused(self.asked, self.dense, self.graph, self.hierarchy, weights), "fused")
+        rows = settled(ranked(rows, self.found, self.cites, self.nodes, ranking.normalized_weights(weights, ranking.FUSION)), "ranked")
+        return evidence_build(rows, self.found, self.nodes, self.closure)[0]
+
     def batch(self, threshold: float = explain.MEDIUM, paths: int = evidence.PATHS) -> DataFrame:
         """A row a question with its retrieval summary, evidence, paths, citations, counter-authorities, confidence and validity.
 

@@ -141,3 +141,41 @@ def ingest(raw: DataFrame) -> DataFrame:
     clean = T.clean_text(F.col("text"))
     stem = F.initcap(F.regexp_replace(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1), "[_-]+", " "))
     return raw.select(T.document_id(F.col("path"), F.col("text")).alias("document_id"), clean.alias("text"), "path").withColumns({"title": T.title_of(F.col("text"), stem), "language": T.detect_language(F.col("text"))})
+
+
+class IndexLog:
+    """An index as a log of batches, for streams: ``batch=<id>`` has what changed in that micro-batch.
+
+    A batch is compared with the batches before it alone and replaces its own folder, so replaying it writes the same
+    rows; nothing else is ever rewritten. Reading takes each key's newest row and leaves out deleted ones. ``key`` and
+    ``digest`` name columns; a row whose ``deleted`` is true removes its key.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, digest: str) -> None:
+        self.spark, self.path, self.key, self.digest = spark, path.rstrip("/"), key, digest
+        self.schema = f"{schema}, deleted boolean"
+
+    def log(self, before: int | None = None) -> DataFrame:
+        """All rows of the batches (before the given one), with their ``batch``."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], f"{self.schema}, batch long")
+        rows = self.spark.read.schema(f"{self.schema}, batch long").parquet(self.path)
+        return rows if before is None else rows.where(F.col("batch") < before)
+
+    def current(self, before: int | None = None) -> DataFrame:
+        rows = self.log(before)
+        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), "batch").alias("x"))
+        return newest.select("x.*").where("not coalesce(deleted, false)").drop("deleted")
+
+    def sync(self, rows: DataFrame, batch: int) -> None:
+        """Store what a micro-batch changes: new keys, other digests, and deletions of keys that are there."""
+        if "deleted" not in rows.columns:
+            rows = rows.withColumn("deleted", F.lit(False))
+        names = [c.split()[0] for c in self.schema.split(", ")]
+        one = rows.dropDuplicates([self.key]).select(*names)
+        had = self.current(batch).select(F.col(self.key), F.col(self.digest).alias("had"))
+        fresh = one.join(had, self.key, "left")
+        gone = F.coalesce("deleted", F.lit(False))
+        keep = fresh.where(F.when(gone, F.col("had").isNotNull()).otherwise(F.col("had").isNull() | (F.col("had") != F.col(self.digest))))
+        keep.select(*names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as T
-from ledgerleaf.operators import explain, explanation, ranking
+from ledgerleaf.operators import explain, explanation, ranking, systems
 from ledgerleaf.plans.base import LEGAL_SQL, legal, query
 from ledgerleaf.plans.text_queries import _BUDGET_SQL, _INTENT_SQL, _PHRASE_ROWS, _QUESTIONS_SQL, _SECTION_ROWS, _questions
 from ledgerleaf.session import settled, table
@@ -190,3 +190,57 @@ def explain_batch(spark: SparkSession, sf: str) -> DataFrame:
         "query_id", "intent", "budget", "dense_hits", "graph_hits", "hierarchy_propagated", "candidates", "returned", "duplicates_removed", F.coalesce(shown, F.lit("")).alias("evidence"),
         counter.alias("counter"), "confidence", "label", "supported", "has_conflicts", "cites_counter_authority", "is_valid", F.size("reasons").alias("n_reasons"),
     )
+
+
+#: Five results a question for all systems.
+_FIVE_SQL = _EVIDENCE_SQL.replace(f"{_BUDGET_SQL} as budget", "5 as budget")
+_BM_STOP = ", ".join(f"'{w}'" for w in ranking.BM25_STOP)
+_BM25_CTE = f"""bt as materialized (select node_id, list_filter(regexp_extract_all(lower(title || ' ' || text), '[a-z0-9]+'), lambda t: t not in ({_BM_STOP})) as tk from n),
+ btf as (select node_id, token, any_value(dl) as dl, count(*) as tf from (select node_id, unnest(tk) as token, len(tk) as dl from bt) group by 1, 2),
+ bdf as (select token, count(*) as df from btf group by 1), bg as (select count(*) as nn, avg(len(tk)) as avgdl from bt),
+ bq as (select distinct query_id, unnest(list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda t: t not in ({_BM_STOP}))) as token from asked),
+ bm as (select query_id, node_id, sum(greatest(0, (nn - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) as score from bq join btf using (token) join bdf using (token), bg group by 1, 2),
+ sh as materialized (select 'hhgr' as system, query_id, ev as node_id, index as rank from ev where index <= 5 union all select 'dense', query_id, node_id, rank from dn union all select 'naive_rag', query_id, node_id, rank from dn
+ union all select 'graph', query_id, node_id, rank from g union all select 'bm25', query_id, node_id, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, node_id) as rank from bm) where rank <= 5)"""
+
+
+def _five(spark: SparkSession, sf: str) -> explanation.Explained:
+    return explanation.Explained(*corpus(spark, sf), top_k=5)
+
+
+@query(f"{_FIVE_SQL}, {_BM25_CTE} select system, query_id, node_id, rank from sh")
+def system_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits of the five compared systems."""
+    return systems.system_hits(_five(spark, sf)).select("system", "query_id", "node_id", "rank")
+
+
+@query(
+    f"""{_FIVE_SQL}, {_BM25_CTE}, rel as (select a.p_partkey as query_id, 'p' || b.p_partkey as node_id from part a join part b using (p_name, p_type) where a.p_partkey % 100 = 0),
+ total as (select query_id, count(*) as n_rel from rel group by 1),
+ j as (select sh.*, case when rel.node_id is null then 0 else 1 end as rel from sh left join rel using (query_id, node_id)),
+ c as (select *, sum(rel) over (partition by system, query_id order by rank) as cum from j),
+ m as (select system, query_id, sum(rel) as hits, min(case when rel = 1 then rank end) as first, sum(case when rel = 1 then cum / rank else 0 end) as precisions, sum(rel / log2(rank + 1)) as dcg from c group by 1, 2),
+ p as (select s.system, a.query_id, a.intent, coalesce(hits / n_rel, 0) as recall, coalesce(hits, 0) / 5 as precision, coalesce(1 / first, 0) as mrr, coalesce(precisions / n_rel, 0) as ap,
+ case when coalesce(hits, 0) = 0 then 0 else dcg / list_sum(list_transform(generate_series(1, cast(hits as bigint)), lambda i: 1 / log2(i + 1))) end as ndcg
+ from asked a cross join (select distinct system from sh) s left join m on m.system = s.system and m.query_id = a.query_id left join total on total.query_id = a.query_id)
+ select system, intent, count(*) as queries, round(avg(recall), 6) as recall, round(avg(precision), 6) as precision, round(avg(mrr), 6) as mrr, round(avg(ap), 6) as map, round(avg(ndcg), 6) as ndcg
+ from p group by grouping sets ((system), (system, intent))"""
+)
+def system_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranking metrics of the five systems, over all questions and by intent, in one aggregation."""
+    return harness(spark, sf, arms=False).drop("suite")
+
+
+def harness(spark: SparkSession, sf: str, arms: bool = True) -> DataFrame:
+    e = _five(spark, sf)
+    part = table(spark, sf, "part")
+    other = part.select("p_name", "p_type", F.concat(F.lit("p"), "p_partkey").alias("node_id"))
+    relevant = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), "p_name", "p_type").join(other, ["p_name", "p_type"])
+    suites = {"systems": systems.system_hits(e)} | ({"ablation": systems.arm_hits(e)} if arms else {})
+    return systems.report(suites, e.asked, relevant.select("query_id", "node_id"))
+
+
+@query()
+def harness_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Systems and ablation arms together."""
+    return harness(spark, sf)

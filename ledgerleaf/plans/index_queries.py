@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.operators import index
 from ledgerleaf.plans.base import LINE_SQL, lines, query
 from ledgerleaf.operators import hierarchy
-from ledgerleaf.session import table
+from ledgerleaf.session import fresh_folder, table
 from ledgerleaf.streaming import streams
 
 _NEW = "select doc_id, case when doc_id % 7 = 0 then text || ' edited' else text end as text from documents where doc_id % 11 <> 0"
@@ -88,12 +87,23 @@ def metrics_exposition(spark: SparkSession, sf: str) -> DataFrame:
 def event_windows_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The same counts as a batch query, but through a stream that stops when it has read what there is."""
     spark.sql("DROP VIEW IF EXISTS event_windows")
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-    out = streams.run_once(streams.windowed_counts(streams.event_stream(spark, sf, "events.parquet")), "event_windows", f"{where}/stream-{spark.sparkContext.startTime}-{abs(hash(sf)) % 10**6}-{id(streams)}-{len(spark.streams.active)}-{next(_runs)}")
+    counts = streams.windowed_counts(streams.event_stream(spark, sf, "events.parquet"))
+    out = streams.run_once(counts, "event_windows", fresh_folder(spark, "event-windows"))
     return out.select(F.to_timestamp_ntz(F.col("start").cast("string")).alias("start"), "event_type", "n")
 
 
-_runs = iter(range(1_000_000))
+@query("select doc_id, md5(text) as text_hash from documents where doc_id is not null and doc_id % 7 <> 3")
+def incremental_index(spark: SparkSession, sf: str) -> DataFrame:
+    """An index kept by streams: all documents, then a second stream that deletes some; what is left, by key."""
+    path = fresh_folder(spark, "index-log")
+    kept = index.IndexLog(spark, f"{path}/log", "doc_id long, text_hash string", "doc_id", "text_hash")
+    hashed = F.md5(F.col("text").cast("binary")).alias("text_hash")
+    docs = streams.table_stream(spark, f"{sf}/documents.parquet").where("doc_id is not null").select("doc_id", hashed)
+    streams.index_stream(docs, kept.sync, f"{path}/first").awaitTermination()
+    last = kept.log().agg(F.max("batch")).first()[0] or 0
+    gone = docs.where("doc_id % 7 = 3").withColumn("deleted", F.lit(True))
+    streams.index_stream(gone, lambda df, n: kept.sync(df, last + 1 + n), f"{path}/second").awaitTermination()
+    return kept.current().select("doc_id", "text_hash")
 
 
 @query("select doc_id, b as bucket, cast(sum(s) as bigint) as weight from (select doc_id, cast('0x' || left(md5(t), 8) as bigint) % 64 as b, case when (cast('0x' || left(md5(t), 8) as bigint) // 64) % 2 = 0 then 1 else -1 end as s from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as t from documents)) group by 1, 2")

@@ -24,17 +24,21 @@ def local_session(app: str = "ledgerleaf", cpus: int | None = None, memory: str
     )
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage of an iterative plan: written to the folder that all executors share, and read again."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only on a local master that names none."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")  # a single machine, as in tests
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """Cut the lineage of an iterative plan: written to the folder that all executors share, and read again."""
+    path = fresh_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,9 +57,48 @@ def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complet
     return stream.sparkSession.table(name)
 
 
-def index_stream(stream: DataFrame, key: str, sync: Callable[[DataFrame, int], None], checkpoint: str):
-    """Each micro-batch, without repeats of a key, goes through ``sync``; a batch that is replayed gives the same index."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: sync(df.dropDuplicates([key]), n)).trigger(availableNow=True).start()
+def index_stream(stream: DataFrame, sync: Callable[[DataFrame, int], None], checkpoint: str):
+    """Each micro-batch goes through ``sync`` with its id; with an ``IndexLog`` a replayed batch gives the same index."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(sync).trigger(availableNow=True).start()
+
+
+def table_stream(spark: SparkSession, path: str, files: int = 4) -> DataFrame:
+    """The Parquet files at a path, a file or a folder, as a stream of micro-batches of some files."""
+    schema = spark.read.parquet(path).schema
+    # As a pattern, since a stream takes a plain path for a folder.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+#: Kinds of files that can be uploaded, and why others are refused.
+UPLOADS = ("txt", "docx", "pdf")
+UNSUPPORTED, TOO_LARGE = "unsupported_type", "too_large"
+
+
+def refusal(cap: int) -> Column:
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    return F.when(~ext.isin(*UPLOADS), UNSUPPORTED).when(F.col("length") > cap, TOO_LARGE)
+
+
+def upload_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, cap: int = 20 << 20):
+    """Files that arrive in a folder: ``out/accepted`` gets path, ext, length, modificationTime and content, ``out/refused`` a reason.
+
+    A refused file's bytes are not read: the reason is a matter of its name and length. Each micro-batch writes its own two
+    folders anew, so a batch that is replayed after a failure leaves one row for each file. Spark's file readers pass over
+    files without bytes: these give no row.
+    """
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    stream = raw.option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "64").load(folder)
+
+    def both(files: DataFrame, batch: int) -> None:
+        reason = refusal(cap)
+        ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext")
+        refused = files.select("path", "length", "modificationTime", ext, reason.alias("reason")).where("reason is not null")
+        refused.write.mode("overwrite").parquet(f"{out}/refused/batch={batch}")
+        # Length is a filter of its own, so that the reader skips the bytes of files beyond the cap.
+        small = files.where(F.col("length") <= cap).where(reason.isNull())
+        small.select("path", ext, "length", "modificationTime", "content").write.mode("overwrite").parquet(f"{out}/accepted/batch={batch}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(both).trigger(availableNow=True).start()
 
 
 def request_metrics(events: DataFrame) -> DataFrame:
