@@ -41,11 +41,12 @@ def citations(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def courts(cites: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Court nodes (node_id, label, title) and the DECIDED_BY edges of cases to them."""
+    """Court nodes (node_id, label, title) and the PART_OF edges of cases to them."""
     case = F.concat(F.lit("case_"), F.substring(F.regexp_replace(F.lower("raw_text"), r"[^a-z0-9]+", "_"), 1, 50))
     court = F.concat(F.lit("court_"), F.lower("court"))
     rows = cites.where("court <> ''").select(case.alias("src"), court.alias("dst"), "court")
-    return rows.select(F.col("dst").alias("node_id"), F.lit("Court").alias("label"), F.col("court").alias("title")).distinct(), rows.select("src", "dst", F.lit("DECIDED_BY").alias("rel_type")).distinct()
+    nodes = rows.select(F.col("dst").alias("node_id"), F.lit("Court").alias("label"), F.col("court").alias("title")).distinct()
+    return nodes, rows.select("src", "dst", F.lit("PART_OF").alias("rel_type")).distinct()
 
 
 def label_of(node_type: Column) -> Column:

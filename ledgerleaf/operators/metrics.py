@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ledgerleaf.session import settled
+
 
 def judged(hits: DataFrame, relevant: DataFrame, by=("system",)) -> DataFrame:
     """Hits (…, query_id, node_id, rank) with rel 0/1; ``relevant`` has distinct (query_id, node_id)."""
@@ -77,3 +79,40 @@ def failures(rows: DataFrame) -> DataFrame:
     }
     wide = rows.agg(*(F.count(F.when(c, 1)).alias(n) for n, c in cats.items()))
     return wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("category"), F.col(n).alias("n")) for n in cats))).alias("x")).select("x.*")
+
+
+def contained(needles: DataFrame, texts: DataFrame, needle: str, key: str) -> DataFrame:
+    """(needle, key) where a text contains a needle's text as a substring; both have their ``text``.
+
+    The words of a needle other than its first and last stand whole in any text that contains it. So a needle meets only
+    texts that have its rarest run of three of them (of all of them, if they are fewer), and is looked for there. A needle
+    of one or two words has no such run and is looked for in every text. Null texts contain and are contained in nothing.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), 0)
+    runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    inner = needles.where("text is not null").select(needle, "text", words(F.col("text")).alias("w"))
+    inner = inner.select(needle, "text", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))).alias("w")).withColumn("n", F.least(F.lit(3), F.size("w")))
+    short = inner.where("n = 0").select(needle, F.col("text").alias("needle_text"))
+    keyed = inner.where("n > 0").select(needle, "n", F.explode(F.array_distinct(runs(F.col("w"), F.col("n")))).alias("run"))
+    keyed = settled(keyed, "needle-runs")
+    sizes = [r.n for r in keyed.select("n").distinct().collect()]  # 1, 2 and 3 at most
+    held = None
+    for n in sorted(sizes):
+        w = texts.where("text is not null").select(key, words(F.col("text")).alias("w")).where(F.size("w") >= n)
+        one = w.select(key, F.lit(n).alias("n"), F.explode(F.array_distinct(runs(F.col("w"), F.lit(n)))).alias("run"))
+        held = one if held is None else held.unionByName(one)
+    out = texts.join(F.broadcast(short) if short.count() <= SHORT else short, F.contains("text", "needle_text")).select(needle, key)
+    if held is None:
+        return out
+    held = settled(held.join(keyed.select("n", "run").distinct(), ["n", "run"], "left_semi"), "text-runs")
+    often = held.groupBy("n", "run").agg(F.count("*").alias("often"))
+    # A needle with a run that no text has is in none.
+    rare = keyed.join(often, ["n", "run"], "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "n", "run")).alias("x"))
+    rare = rare.where("x.often > 0").select(needle, "x.n", "x.run")
+    near = held.join(rare, ["n", "run"]).select(needle, key)
+    near = near.join(needles.select(needle, F.col("text").alias("needle_text")), needle).join(texts.select(key, "text"), key)
+    return out.unionByName(near.where(F.contains("text", "needle_text")).select(needle, key))
+
+
+#: Needles of one or two words that are broadcast at most.
+SHORT = 10_000

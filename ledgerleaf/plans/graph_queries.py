@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerleaf.operators import graph, index
-from ledgerleaf.plans.base import EDGES_SQL, NODES_SQL, edges, nodes, query
+from ledgerleaf.plans.base import EDGES_SQL, LEGAL_SQL, NODES_SQL, edges, legal, nodes, query
 from ledgerleaf.session import table
 
 _E = f"with e as ({EDGES_SQL}), nd as ({NODES_SQL}), u as (select src as node, dst as other, rel_type from e union all select dst, src, rel_type from e)"
@@ -69,6 +69,15 @@ def shortest_path_hops(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reached(e, starts, 6, directed=False)
 
 
+@query(
+    f"""with c as (select distinct lower(regexp_extract(txt, 'AIR\\s+\\d{{4}}\\s+[A-Z]{{2,10}}\\s+\\d+')) as raw, regexp_extract(txt, 'AIR\\s+\\d{{4}}\\s+([A-Z]{{2,10}})', 1) as court from ({LEGAL_SQL}))
+ select 'case_' || left(regexp_replace(raw, '[^a-z0-9]+', '_', 'g'), 50) as src, 'court_' || lower(court) as dst, 'PART_OF' as rel_type from c where court <> ''"""
+)
+def case_courts(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases as parts of the courts that decided them."""
+    return graph.courts(graph.citations(legal(spark, sf), "p_partkey", "txt"), "p_partkey")[1]
+
+
 _STREETS_SQL = """select 's' || s_suppkey as src, 's' || (s_suppkey * 7 % (select count(*) from supplier) + 1) as dst from supplier
  union select 's' || s_suppkey, 's' || (s_suppkey * 3 % (select count(*) from supplier) + 1) from supplier"""
 

@@ -194,9 +194,27 @@ def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
 def containment_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that contain a benchmark passage word for word; the passages are a stated query set."""
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return table(spark, sf, "documents").join(F.broadcast(b), F.contains("text", "passage")).select("item_id", "doc_id")
+    """Documents that contain a benchmark passage word for word."""
+    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    return metrics.contained(items.select("item_id", "text"), docs.select("doc_id", "text"), "item_id", "doc_id")
+
+
+@query(
+    """with i as (select item_id, lower(text) as t from benchmark union all select 'short:' || item_id, lower(left(text, 40)) from benchmark),
+ d as (select doc_id, lower(text) as t from documents union all select -1 - doc_id, lower(substr(text, 1, 60)) from documents where doc_id % 3 = 0)
+ select i.item_id, doc_id, contains(d.t, i.t) as in_document from i join d on contains(d.t, i.t) or contains(i.t, d.t)"""
+)
+def relevance_both_ways(spark: SparkSession, sf: str) -> DataFrame:
+    """Relevant (item, document) pairs: either text, in lower case, contains the other. Openings of both stand beside the whole ones."""
+    items, docs = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    low = lambda c: F.lower(c).alias("text")
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), low("text")).unionByName(
+        items.select(F.concat(F.lit("short:"), "item_id").alias("item_id"), low(F.substring("text", 1, 40)))
+    )
+    docs = docs.select("doc_id", low("text")).unionByName(docs.where("doc_id % 3 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), low(F.substring("text", 1, 60))))
+    within = metrics.contained(items, docs, "item_id", "doc_id").withColumn("in_document", F.lit(True))
+    around = metrics.contained(docs, items, "doc_id", "item_id").withColumn("in_document", F.lit(False))
+    return within.unionByName(around.join(within.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti"))
 
 
 @query("select p_partkey, cast(case when p_size > 5 then 1 else 0 end + case when p_brand is not null then 1 else 0 end + case when p_type <> '' then 1 else 0 end as double) / 3 as completeness from part")
