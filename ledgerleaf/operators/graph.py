@@ -180,15 +180,15 @@ def ancestors(nested: DataFrame, doc: str) -> DataFrame:
     """(doc, node, ancestor, distance) of nested sets, by one window.
 
     In reading order a node's ancestor at a depth is the last node before it of that depth, so each node meets its own
-    ancestors only, not its document's other nodes. The depth of the deepest node, one number, bounds the columns.
+    ancestors only, not its document's other nodes. The least and greatest depth, two numbers, bound the columns.
     """
-    deepest = nested.agg(F.max("depth")).first()[0] or 0
+    top, deepest = nested.agg(F.min("depth"), F.max("depth")).first()
     before = Window.partitionBy(doc).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    above = [F.struct(F.lit(d).alias("d"), F.last(F.when(F.col("depth") == d, F.col("seq")), True).over(before).alias("ancestor")) for d in range(1, deepest)]
+    above = [F.struct(F.lit(d).alias("d"), F.last(F.when(F.col("depth") == d, F.col("seq")), True).over(before).alias("ancestor")) for d in range(top or 0, deepest or 0)]
     if not above:
         return nested.select(doc, F.col("seq").alias("node"), F.col("seq").alias("ancestor"), F.col("depth").alias("distance")).where("false")
     rows = nested.select(doc, F.col("seq").alias("node"), "depth", F.array(*above).alias("above"))
-    found = rows.select(doc, "node", "depth", F.explode(F.filter("above", lambda x: x["d"] < F.col("depth"))).alias("x"))
+    found = rows.select(doc, "node", "depth", F.explode(F.filter("above", lambda x: (x["d"] < F.col("depth")) & x["ancestor"].isNotNull())).alias("x"))
     return found.select(doc, "node", F.col("x.ancestor").alias("ancestor"), (F.col("depth") - F.col("x.d")).alias("distance"))
 
 

@@ -93,3 +93,47 @@ def warnings(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def node_id(seq: Column) -> Column:
     return F.format_string("n_%04d", seq)
+
+
+HIERARCHY = (
+    "document_id string, root_id string, title string, "
+    "nodes array<struct<node_id: string, parent_id: string, level: int, numbering: string, children: array<string>, left: long, right: long, depth: int>>"
+)
+
+
+def nested_documents(nodes: DataFrame, titles: DataFrame | None = None, doc: str = "doc_id") -> DataFrame:
+    """One nested record a document (``HIERARCHY``): its root, then its nodes in reading order, each with its children and interval.
+
+    ``nodes`` has doc, seq, level and numbering; ``titles`` (doc, title) name the roots, else they are called Document. A
+    document is one value, so it is as large as a row may be; all before that, children included, works node by node.
+    """
+    tree = nested_set(nodes, doc)
+    name = lambda c: F.when(c == ROOT, "root").otherwise(node_id(c))
+    below = tree.groupBy(doc, F.col("parent").alias("seq")).agg(F.transform(F.array_sort(F.collect_list("seq")), lambda x: node_id(x)).alias("children"))
+    none = F.array().cast("array<string>")
+
+    def record(seq: Column, parent: Column, *cols: Column) -> Column:
+        names = ("level", "numbering", "children", "left", "right", "depth")
+        kinds = ("int", "string", "array<string>", "long", "long", "int")
+        rest = (c.cast(k).alias(n) for c, n, k in zip(cols, names, kinds, strict=True))
+        return F.struct(seq.alias("seq"), F.struct(name(seq).alias("node_id"), parent.alias("parent_id"), *rest).alias("node"))
+
+    own = tree.join(below, [doc, "seq"], "left")
+    cols = [F.col(c) for c in ("level", "numbering")], [F.col(c) for c in ("left", "right", "depth")]
+    rows = own.select(doc, record(F.col("seq"), name(F.col("parent")), *cols[0], F.coalesce("children", none), *cols[1]).alias("r"))
+    roots = tree.groupBy(doc).agg(F.count("*").alias("n")).join(below.where(F.col("seq") == ROOT), doc, "left")
+    zero = F.lit(ROOT)
+    root = record(zero, F.lit(None).cast("string"), F.lit(0), F.lit(""), F.coalesce("children", none), F.lit(1), 2 * F.col("n") + 2, F.lit(0))
+    lists = rows.unionByName(roots.select(doc, root.alias("r"))).groupBy(doc).agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["node"]).alias("nodes"))
+    title = F.lit("Document")
+    if titles is not None:
+        lists = lists.join(titles.select(doc, F.col("title").alias("own_title")), doc, "left")
+        title = F.coalesce(F.nullif("own_title", F.lit("")), title)
+    return lists.select(F.col(doc).cast("string").alias("document_id"), F.lit("root").alias("root_id"), title.alias("title"), "nodes")
+
+
+def flat_documents(documents: DataFrame) -> DataFrame:
+    """Back from nested records: document_id, seq, level, numbering and parent (seq, ROOT at the top) of all nodes but roots."""
+    rows = documents.select("document_id", F.posexplode("nodes").alias("seq", "n")).where("seq > 0")
+    number = lambda c: F.when(c == "root", ROOT).otherwise(F.regexp_extract(c, r"([0-9]+)$", 1).cast("int"))
+    return rows.select("document_id", "seq", "n.level", "n.numbering", number(F.col("n.parent_id")).alias("parent"))

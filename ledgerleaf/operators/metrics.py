@@ -81,6 +81,26 @@ def failures(rows: DataFrame) -> DataFrame:
     return wide.select(F.explode(F.array(*(F.struct(F.lit(n).alias("category"), F.col(n).alias("n")) for n in cats))).alias("x")).select("x.*")
 
 
+def semantic_similarity(pairs: DataFrame, key: str, a: str, b: str, embed) -> DataFrame:
+    """(key, cosine, relevance): of the embeddings of two texts; relevance is never below 0, and a text without tokens has none.
+
+    Texts count by the digest of their trimmed lower-case form, and each distinct one is embedded once. ``embed`` turns
+    (digest, text) into a sparse table (digest, bucket, weight), which is written and serves both sides.
+    """
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    digest = lambda c: F.md5(plain(F.col(c)).cast("binary"))
+    rows = pairs.select(key, digest(a).alias("da"), digest(b).alias("db"))
+    texts = pairs.select(F.explode(F.array(plain(F.col(a)), plain(F.col(b)))).alias("text")).distinct()
+    vectors = settled(embed(texts.select(F.md5(F.col("text").cast("binary")).alias("digest"), "text"), "digest", "text").where("weight <> 0"), "embedded")
+    norms = vectors.groupBy("digest").agg(F.sum(F.col("weight") * F.col("weight")).cast("double").alias("n"))
+    want = rows.select("da", "db").distinct()
+    side = lambda d, w: vectors.select(F.col("digest").alias(d), "bucket", F.col("weight").alias(w))
+    dots = want.join(side("da", "wa"), "da").join(side("db", "wb"), ["db", "bucket"]).groupBy("da", "db").agg(F.sum(F.col("wa") * F.col("wb")).cast("double").alias("dot"))
+    dots = dots.join(norms.select(F.col("digest").alias("da"), F.col("n").alias("na")), "da").join(norms.select(F.col("digest").alias("db"), F.col("n").alias("nb")), "db")
+    cosine = F.coalesce(F.col("dot") / F.sqrt(F.col("na") * F.col("nb")), F.lit(0.0))
+    return rows.join(dots, ["da", "db"], "left").select(key, cosine.alias("cosine"), F.greatest(F.lit(0.0), cosine).alias("relevance"))
+
+
 def contained(needles: DataFrame, texts: DataFrame, needle: str, key: str) -> DataFrame:
     """(needle, key) where a text contains a needle's text as a substring; both have their ``text``.
 

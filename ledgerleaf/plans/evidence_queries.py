@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.operators import evidence, graph, hierarchy
 from ledgerleaf.plans.base import EDGES_SQL, NODES_SQL, TREE_SQL, edges, nodes, outline, query
-from ledgerleaf.session import table
+from ledgerleaf.session import fresh_folder, table
+from ledgerleaf.sources import files
 
 #: A third of an order's lines carry text; scores tie often.
 _TEXTS = "case when (doc_id + seq) % 3 = 0 then repeat('x', seq % 3 + 1) else ' ' end as text, (doc_id * seq) % 2 / 2.0 as text_score, seq % 2 as citation_score"
@@ -102,6 +103,20 @@ def fused_signals(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "node", F.round("dense", 6).alias("dense"), F.round("graph", 6).alias("graph"), F.round("citation", 6).alias("citation"))
 
 
+@query(
+    f"""{TREE_SQL}, k as (select doc_id, parent, string_agg('n_' || lpad(cast(seq as varchar), 4, '0'), ' ' order by seq) as kids from tree group by 1, 2)
+ select cast(t.doc_id as varchar) as document_id, 'n_' || lpad(cast(t.seq as varchar), 4, '0') as node_id, case when t.parent = 0 then 'root' else 'n_' || lpad(cast(t.parent as varchar), 4, '0') end as parent_id,
+ coalesce(kids, '') as children, t."left", t."right" from tree t left join k on k.doc_id = t.doc_id and k.parent = t.seq union all
+ select cast(doc_id as varchar), 'root', null, kids, 1, 2 * (select count(*) from tree t where t.doc_id = k.doc_id) + 2 from k where parent = 0"""
+)
+def nested_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested hierarchy records, written as JSON, read again and shown node by node."""
+    path = fresh_folder(spark, "hierarchies")
+    files.write_hierarchies(hierarchy.nested_documents(outline(spark, sf)), path)
+    nodes = files.read_hierarchies(spark, path).select("document_id", F.explode("nodes").alias("n"))
+    return nodes.select("document_id", "n.node_id", "n.parent_id", F.array_join("n.children", " ").alias("children"), "n.left", "n.right")
+
+
 @query("select 'query_type' as kind, o_orderstatus as name, count(*) as n from orders group by all union all select 'difficulty', o_orderpriority, count(*) from orders group by all")
 def benchmark_counts(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda kind, c: table(spark, sf, "orders").groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count("*").alias("n"))

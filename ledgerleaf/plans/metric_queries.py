@@ -192,6 +192,28 @@ def manifest_counts(spark: SparkSession, sf: str) -> DataFrame:
     return j.groupBy("lang", "source").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
 
 
+_MD5 = "cast('0x' || left(md5(t), 8) as bigint)"
+
+
+@query(
+    f"""with p as (select p_partkey, lower(trim(p_name || ' ' || p_type)) as a, lower(trim(p_type || ' ' || p_brand || case when p_size % 3 = 0 then ' ' || p_name else '' end)) as b from part),
+ x as (select a as s from p union select b from p), t as (select s, unnest(regexp_extract_all(s, '[a-z0-9]+')) as t from x),
+ v as materialized (select s, {_MD5} % 64 as k, sum(case when ({_MD5} // 64) % 2 = 0 then 1 else -1 end) as w from t group by 1, 2), n as materialized (select s, sum(w * w) as n from v group by 1),
+ d as (select a, b, sum(va.w * vb.w) as dot from (select distinct a, b from p) q join v va on va.s = a join v vb on vb.s = b and vb.k = va.k group by 1, 2),
+ c as (select p_partkey, case when na.n > 0 and nb.n > 0 then coalesce(dot, 0) / sqrt(cast(na.n as double) * nb.n) else 0 end as cosine from p left join d using (a, b) left join n na on na.s = a left join n nb on nb.s = b)
+ select p_partkey, round(cosine, 6) as cosine, round(greatest(0, cosine), 6) as relevance from c"""
+)
+def semantic_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine of two descriptions of each part, each distinct text embedded once."""
+    from ledgerleaf.operators.index import md5_buckets
+
+    part = table(spark, sf, "part")
+    more = F.when(F.expr("p_size % 3 = 0"), F.concat(F.lit(" "), "p_name")).otherwise("")
+    pairs = part.select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("a"), F.concat("p_type", F.lit(" "), "p_brand", more).alias("b"))
+    out = metrics.semantic_similarity(pairs, "p_partkey", "a", "b", md5_buckets)
+    return out.select("p_partkey", F.round("cosine", 6).alias("cosine"), F.round("relevance", 6).alias("relevance"))
+
+
 @query("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
 def containment_relevance(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that contain a benchmark passage word for word."""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.operators.hierarchy import HIERARCHY
+
 UPLOAD_CAP = 20 << 20
 PAGES = "array<struct<page_number: int, text: string, is_scanned: boolean>>"
 PROCESSED = f"document_id string, title string, language string, pages {PAGES}, metadata struct<file_name: string, file_path: string, file_size_bytes: bigint, file_type: string, num_pages: int, language: string, creation_date: string, pdf_properties: map<string, string>, is_scanned: boolean, ocr_applied: boolean>"
@@ -101,6 +103,15 @@ def read_processed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{PROCESSED}, _corrupt_record string").option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
 
 
+def write_hierarchies(documents: DataFrame, path: str) -> None:
+    documents.write.mode("overwrite").json(path)
+
+
+def read_hierarchies(spark: SparkSession, path: str) -> DataFrame:
+    """Nested hierarchy records, one a line or one a file. Broken ones give a row with only _corrupt_record."""
+    return spark.read.schema(f"{HIERARCHY}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
     item = "struct<id: string, domain: string, query: string, reference_answer: string, citations: array<struct<citation_text: string, node_id: string, label: string, numbering: string, title: string>>, language: string, grounded: boolean, difficulty: string, expected_counter_authority_markers: array<string>, notes: string>"
     return spark.read.schema(f"name string, items array<{item}>").option("multiLine", "true").json(path).select("name", F.explode("items").alias("item")).select("name", "item.*")

@@ -225,3 +225,35 @@ def test_text_bearing_ties_and_blanks(spark):
     got = {r.node: r.evidence for r in evidence.text_bearing(nodes, closure, "doc_id").collect()}
     assert got == {1: 4, 2: 3, 3: 3, 4: 4, 5: 5, 6: None}
     assert evidence.text_bearing(nodes.limit(0), closure, "doc_id").count() == 0
+
+
+def test_nested_documents_round_trip(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"d{d}", i, rng.randint(1, 6), rng.choice(["1", "", "a"])) for d in range(12) for i in range(1, rng.randint(2, 15))]
+    lines = spark.createDataFrame(rows, "doc_id string, seq int, level int, numbering string")
+    titles = spark.createDataFrame([("d0", "An Act"), ("d1", "")], "doc_id string, title string")
+    files.write_hierarchies(hierarchy.nested_documents(lines, titles), str(tmp_path / "h"))
+    docs = files.read_hierarchies(spark, str(tmp_path / "h"))
+    got = {(r.document_id, r.seq, r.level, r.numbering, r.parent) for r in hierarchy.flat_documents(docs).collect()}
+    assert got == {(r.doc_id, r.seq, r.level, r.numbering, r.parent) for r in hierarchy.parents(lines).collect()}
+    for r in docs.collect():
+        root, by = r.nodes[0], {n.node_id: n for n in r.nodes}
+        assert (root.node_id, root.parent_id, root.left, root.right) == ("root", None, 1, 2 * len(r.nodes))
+        assert r.title == {"d0": "An Act"}.get(r.document_id, "Document")
+        assert all(by[c].parent_id == n.node_id for n in r.nodes for c in n.children)
+        assert sum(len(n.children) for n in r.nodes) == len(r.nodes) - 1
+    assert hierarchy.nested_documents(lines.where("false")).collect() == []
+
+
+def test_containment_without_runs(spark):
+    needles = spark.createDataFrame([(1, "one"), (2, "two words"), (3, "a b c"), (4, None), (5, "x p q r s y"), (6, "p q r s t")], "i int, text string")
+    texts = spark.createDataFrame([(1, "someone said two wordsmith"), (2, "aa b cc"), (3, None), (4, "ex p q r s yes"), (5, "p  q r s t")], "k int, text string")
+    got = {tuple(r) for r in metrics.contained(needles, texts, "i", "k").collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (5, 4)}
+
+
+def test_similarity_of_equal_blank_and_repeated_texts(spark):
+    rows = [(1, "a b", " A b "), (2, "a", None), (3, "", ""), (4, "a b", "a b")]
+    pairs = spark.createDataFrame(rows, "k int, a string, b string")
+    got = {r.k: (round(r.cosine, 6), round(r.relevance, 6)) for r in metrics.semantic_similarity(pairs, "k", "a", "b", index.md5_buckets).collect()}
+    assert got == {1: (1.0, 1.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (1.0, 1.0)}
