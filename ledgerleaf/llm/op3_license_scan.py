@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
 A block is a paragraph, cut at empty lines, or a part of it where it is long, with overlap. The blocks of paragraphs
-that hold a cue word are candidates. The stretch of it that is best aligned with a template is compressed alone and
-with the template as a zstandard raw dictionary: what is saved does not depend on the text around it. Templates that
-save enough are confirmed by exact differences in wording: the words that the stretch adds and misses.
+that hold a cue word are candidates. A candidate is compressed alone and with each template as a zstandard raw dictionary,
+and templates are ranked by what they save; those that save nothing are out. The ranked ones are confirmed by exact
+differences in wording: the stretch that fits best, the words that it adds and misses, and what it saves by itself.
+A difference in a word that decides (a version, a clause, a negation) refuses the template, whatever else agrees.
 """
 
 from __future__ import annotations
@@ -32,9 +33,31 @@ TEMPLATES = {
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "GPL-3.0-notice": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-notice": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC-BY-3.0": "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "SPDX-MIT": "SPDX-License-Identifier: MIT",
+    "SPDX-Apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "SPDX-GPL-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "SPDX-GPL-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
+    "SPDX-BSD-3-Clause": "SPDX-License-Identifier: BSD-3-Clause",
 }
+#: Words that tell licenses apart, besides numbers; and what turns a notice into its opposite.
+DECIDING = frozenset(
+    "lesser library affero noncommercial nc noderivatives noderivs nd sharealike sa only mit apache bsd isc mozilla gnu creative commons "
+    "attribution unported unencumbered gpl lgpl agpl mpl cc".split()
+)
+NEGATIONS = frozenset("not never no without isn aren".split())
+_NUMBER = re.compile(r"v?[0-9]+(?:\.[0-9]+)*$")
+#: Words before a stretch that may turn it around.
+BEFORE = 3
 #: Between words of a cue there may be a line's end and a comment's marks.
-CUE = r"(?i)licen[sc]e|all[\W_]+rights[\W_]+reserved|permission[\W_]+is[\W_]+hereby|redistribution[\W_]+and[\W_]+use|creative[\W_]+commons|public[\W_]+domain|cc[\W_]+by|copyright|spdx"
+CUE = r"(?i)licen[sc]e|all[\W_]+rights[\W_]+reserved|permission[\W_]+(?:is[\W_]+hereby|to[\W_]+use)|redistribution[\W_]+and[\W_]+use|creative[\W_]+commons|public[\W_]+domain|cc[\W_]+by|copyright|spdx"
 BLOCK_CHARS, OVERLAP, LEAST_SAVING, LEAST_WORDS = 2000, 400, 0.25, 0.8
 _WORD = re.compile(r"(?ai)[a-z0-9]+(?:\.[a-z0-9]+)*")  # hyphens part words, as lines may end after one
 _CUE = re.compile(CUE)
@@ -80,6 +103,14 @@ def aligned(have: list[str], want: list[str], price: float, miss: float) -> list
     return out[::-1]
 
 
+def decided(added: list[str], missing: list[str], before: list[str]) -> bool:
+    """Whether the wording differs where it decides: another number or license word, or a negation."""
+    words = [*added, *missing]
+    if any(w in DECIDING or _NUMBER.match(w) for w in words):
+        return True
+    return bool(NEGATIONS.intersection(words)) or bool(NEGATIONS.intersection(before))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], level: int = 3) -> None:
         import zstandard as z
@@ -108,16 +139,25 @@ class Scanner:
                 first, end = match[0][0], match[-1][0] + 1
                 inside, found = {i for i, _ in match}, {j for _, j in match}
                 added = [have[i] for i in range(first, end) if i not in inside]
-                if len(added) <= len(want):
-                    return first, end, added, [w for j, w in enumerate(want) if j not in found]
+                missing = [w for j, w in enumerate(want) if j not in found]
+                if len(added) <= len(want) and not decided(added, missing, have[max(0, first - BEFORE) : first]):
+                    return first, end, added, missing
         return None
 
+    def ranked(self, block: str) -> list[str]:
+        """The templates that save bytes of the whole block, the most first."""
+        raw = " ".join(block.lower().split()).encode()
+        alone = len(self.plain.compress(raw))
+        saved = {n: alone - len(self.primed[n].compress(raw)) for n in self.words}
+        return sorted((n for n in saved if saved[n] > 0), key=lambda n: (-saved[n], n))
+
     def best(self, block: str) -> tuple | None:
         """(start, end, license, saving, added, missing) of the template that fits the block best; ties by saving, then name."""
         at = [m.span() for m in _WORD.finditer(block)]
         have = [block[i:j].lower() for i, j in at]
         found = []
-        for name, want in self.words.items():
+        for name in self.ranked(block):
+            want = self.words[name]
             if fit := self.differences(have, name):
                 start, end, added, missing = at[fit[0]][0], at[fit[1] - 1][1], *fit[2:]
                 if (saving := self.saving(block[start:end], name)) >= LEAST_SAVING:
@@ -164,8 +204,9 @@ def _scan(templates: dict[str, str]):
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id and found, the confirmed licenses with place, saving and wording differences.
 
-    Null and empty texts and texts without cue words have an empty array. Repeated rows each give their row; an
-    empty table gives none; other columns do not matter. Ties in savings go to the smaller name.
+    Null and empty texts and texts without cue words have an empty array. Very long texts are read whole, block by block.
+    Repeated rows each give their row; an empty table gives none; other columns do not matter. Ties in savings go to the
+    smaller name.
     """
     C.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(dict(templates or TEMPLATES)), f"doc_id long, found {FOUND}")

@@ -238,6 +238,27 @@ def test_personal_data_widely_written(spark):
     assert not got[5].pii_added and not got[6].pii_added
 
 
+NOTICES = {
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": {"GPL-3.0-notice"},
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": {"LGPL-2.1-notice"},
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": {"CC-BY-NC-SA-4.0"},
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": {"CC-BY-3.0"},
+    "This tool is not released under the MIT License.": set(),
+    "SPDX-License-Identifier: MIT": {"SPDX-MIT"},
+    "SPDX-License-Identifier: Zlib": set(),
+    "This work is licensed under a Creative Commons Attribution 2.5 License.": set(),
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": {"ISC"},
+    "This work is licensed under the GNU General Public License, version 2.": set(),
+}
+
+
+def test_licenses_are_told_apart_by_deciding_words(spark):
+    texts = [f"{'filler words here ' * 40}\n\n{n}\n\nand more text" for n in NOTICES] + list(NOTICES)
+    got = {r.doc_id: {x.license for x in r.found} for r in op3_license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = [*NOTICES.values()] * 2
+    assert {i: got[i] for i in got} == dict(enumerate(want))
+
+
 #: Planted forms by kind that no base pattern finds.
 PLANTED = {
     "card": ["card: 4111/1111/1111/1111", "visa 4111.1111.1111.1111", "visa 4111_1111_1111_1111", "amex 3782 822463 10005", "pay by 5500/0000/0000/0004 now"],
