@@ -1,10 +1,9 @@
 """Two-pass external shuffle, in DataFrame operations only.
 
-Pass one scatters whole records into buckets by seeded hashes; there are so many buckets that each fits in
-memory. Pass two gathers each bucket, puts it in the order of one seeded draw for each record and writes it.
-(The built-in ``shuffle``, a Fisher-Yates, takes its draws from a generator that runs on from bucket to bucket of
-a task, so a repeated task would write another order. Sorting by draws gives each order of the records the same
-chance, as Fisher-Yates does, and depends on the seed and the records alone.) Shards are sets of buckets, so a
+Pass one scatters whole records into buckets by seeded hashes; each shard has so many buckets that each fits in
+memory. Pass two gathers each bucket, puts it in a fixed order, shuffles it by Fisher-Yates in its first form (draw one
+of those that are left, strike it out) with draws hashed from seed, shard, bucket and step, and writes it to its
+shard's folder. A repeated task draws the same numbers, so it writes the same order. Shards are sets of buckets, so a
 shard's slots follow from the buckets' counts.
 
 The law is ``key``: rendezvous hashing of doc_id over the shards. Whatever other rows there are, a document
@@ -20,8 +19,10 @@ from pyspark.sql.window import Window
 from ledgerleaf.llm import common as C
 
 SHARDS, SEED = 8, 20240601
-#: UTF-8 bytes of text that a bucket holds on average.
-BUCKET_BYTES = 4 << 20
+#: UTF-8 bytes of text, and records, that a bucket holds on average (whichever makes more buckets).
+BUCKET_BYTES, BUCKET_ROWS = 4 << 20, 512
+#: Copies of a repeated record that one row stands for before they are spread over tasks.
+COPIES = 4096
 #: Buckets up to which their counts, one row of three numbers each, are broadcast; beyond, Spark shuffles both sides.
 BROADCAST_BUCKETS = 500_000
 
@@ -32,34 +33,61 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(scores)["shard"]
 
 
-def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[str, DataFrame]:
-    """Write ``docs`` as shuffled records under shard=/bucket= folders; return their path and the read-back records.
+def fisher_yates(n: Column, *draw_from: Column) -> Column:
+    """A permutation of 0 to n - 1: for each step, one of the numbers left is drawn by a hash of ``draw_from`` and the step."""
+    start = F.struct(F.sequence(F.lit(0), n - 1).alias("left"), F.array().cast("array<int>").alias("out"))
+
+    def strike(state: Column, step: Column) -> Column:
+        left = state["left"]
+        at = F.pmod(F.xxhash64(*draw_from, step), F.size(left)).cast("int")
+        rest = F.concat(F.slice(left, F.lit(1), at), F.slice(left, at + 2, F.size(left)))
+        return F.struct(rest.alias("left"), F.concat(state["out"], F.array(F.get(left, at))).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(1), n), start, strike, lambda state: state["out"])
+
+
+def _numbered(slim: DataFrame) -> DataFrame:
+    """Records with ``copy``, which numbers those that are equal as a whole; a record with very many copies is spread over tasks."""
+    counted = slim.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    few = counted.where(F.col("n") <= COPIES).select("doc_id", "text", F.explode(F.expr("sequence(0L, n - 1)")).alias("copy"))
+    runs = counted.where(F.col("n") > COPIES).select("doc_id", "text", "n", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")).alias("low"))
+    runs = runs.repartition("doc_id", "low")
+    many = runs.select("doc_id", "text", F.explode(F.expr(f"sequence(low, least(low + {COPIES}L, n) - 1)")).alias("copy"))
+    return few.unionByName(many)
+
+
+def external_shuffle(
+    docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS
+) -> tuple[str, DataFrame]:
+    """Write ``docs`` as shuffled records under shard= folders; return their path and the read-back records.
 
     The records are doc_id, text, size (UTF-8 bytes of the text, null: none, plus 1), shard, bucket, place (in
-    the bucket) and slot (in the shard, gapless from 0). Null doc_ids share one shard. Rows that repeat doc_id
-    share its shard; equal texts under several doc_ids are spread like any others. Rows that repeat as a whole lie
-    in one bucket, in any order among themselves. A very long text is a record as any other. An empty table gives no
-    records. Other columns, whatever their names, are not carried.
+    the bucket) and slot (in the shard, gapless from 0). Null doc_ids share one shard, which then has more buckets, not
+    larger ones. Rows that repeat doc_id share its shard; equal texts under several doc_ids are spread like any others,
+    and so are rows that repeat as a whole, each by its number among them. A very long text is a record as any other.
+    An empty table gives no records. Other columns, whatever their names, are not carried.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    slim = slim.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"))
-    total = slim.agg(F.sum("size")).first()[0] or 0
-    # Buckets of all shards together are at least as many as tasks; a bucket's bytes do not grow with the corpus.
-    buckets = max(1, -(-total // (bucket_bytes * shards)), -(-C.partitions(spark) // shards))
-    # Rows of one doc_id are scattered by their text as well: a doc_id that repeats does not fill one bucket.
-    bucket = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(buckets)).cast("int")
-    draw = F.xxhash64(F.lit(seed + 1), "doc_id", "text")
-    scattered = slim.select(shard_of(F.col("doc_id"), shards, seed).alias("shard"), bucket.alias("bucket"), draw.alias("draw"), "doc_id", "size", "text")
-    gathered = scattered.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(F.struct("draw", "doc_id", "size", "text"))).alias("records"))
-    shuffled = gathered.select("shard", "bucket", F.posexplode("records").alias("place", "r"))
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    shard = shard_of(F.col("doc_id"), shards, seed)
+    # One row for each shard: its buckets hold so many bytes and rows on average, however large the corpus or the shard.
+    totals = {r["shard"]: r for r in slim.groupBy(shard.alias("shard")).agg(F.sum(size).alias("bytes"), F.count("*").alias("n")).collect()}
+    least = -(-C.partitions(spark) // shards)
+    buckets = [max(least, -(-totals[s]["bytes"] // bucket_bytes), -(-totals[s]["n"] // bucket_rows)) if s in totals else 1 for s in range(shards)]
+    rows = _numbered(slim).withColumn("shard", shard)
+    within = F.get(F.array(*map(F.lit, buckets)), F.col("shard"))
+    bucket = F.pmod(F.xxhash64("doc_id", "text", "copy", F.lit(seed)), within).cast("int")
+    gathered = rows.groupBy("shard", bucket.alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("doc_id", size.alias("size"), "text", "copy"))).alias("records"))
+    order = fisher_yates(F.size("records"), F.lit(seed + 1), F.col("shard"), F.col("bucket"))
+    shuffled = gathered.withColumn("order", order).select("shard", "bucket", F.posexplode(F.transform("order", lambda i: F.get("records", i))).alias("place", "r"))
     path = C.fresh_path(spark, "shards")
-    shuffled.select("shard", "bucket", "place", "r.doc_id", "r.text", "r.size").write.option("compression", "zstd").parquet(path)
-    schema = "shard int, bucket int, place int, doc_id long, text string, size long"
-    records = spark.read.schema(schema).parquet(path)
+    records = shuffled.select("bucket", "place", "r.doc_id", "r.text", "r.size", "shard").sortWithinPartitions("shard", "bucket", "place")
+    records.write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    records = spark.read.schema("bucket int, place int, doc_id long, text string, size long, shard int").parquet(path)
     counts = records.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("before"))
-    small = F.broadcast(before) if shards * buckets <= BROADCAST_BUCKETS else before
+    small = F.broadcast(before) if sum(buckets) <= BROADCAST_BUCKETS else before
     return path, records.join(small, ["shard", "bucket"]).withColumn("slot", F.col("before") + F.col("place")).drop("before")
 
 

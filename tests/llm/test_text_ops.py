@@ -296,6 +296,33 @@ def test_sharding(spark):
     assert op9_sharding.external_shuffle(empty(spark))[1].collect() == []
 
 
+def test_sharding_spreads_repeats_and_writes_by_shard(spark, monkeypatch):
+    monkeypatch.setattr(op9_sharding, "COPIES", 64)
+    same = spark.range(3000).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"))
+    docs = same.unionByName(spark.range(500).select("id", F.concat(F.lit("t"), "id")).toDF("doc_id", "text"))
+    path, records = op9_sharding.external_shuffle(docs, shards=3, bucket_rows=100)
+    got = records.collect()
+    assert len(got) == 3500 and sum((r.doc_id, r.text) == (7, "same") for r in got) == 3000
+    buckets = {}
+    for r in got:
+        buckets.setdefault((r.shard, r.bucket), []).append(r)
+    assert max(map(len, buckets.values())) < 200  # the repeated row fills no bucket of its own
+    assert all(sorted(r.place for r in b) == list(range(len(b))) for b in buckets.values())
+    # each shard has a folder, and no row of another lies in it
+    for s in range(3):
+        assert spark.read.parquet(f"{path}/shard={s}").count() == sum(r.shard == s for r in got)
+
+
+def test_fisher_yates_gives_each_order_alike(spark):
+    orders = spark.range(24000).select(op9_sharding.fisher_yates(F.lit(4), F.col("id")).alias("o")).groupBy("o").count().collect()
+    assert len(orders) == 24 and all(sorted(r.o) == [0, 1, 2, 3] and 800 < r["count"] < 1200 for r in orders)
+    # struck out by hand, with the same draws
+    draws = [r[0] for r in spark.range(1, 51).select(F.xxhash64(F.lit(3), F.col("id").cast("int"))).collect()]
+    left = list(range(50))
+    want = [left.pop(d % len(left)) for d in draws]
+    assert spark.range(1).select(op9_sharding.fisher_yates(F.lit(50), F.lit(3))).first()[0] == want
+
+
 def test_packing(spark):
     got = op10_packing.pack(frame(spark), public_tokenizers.path("byte_bpe_50k.json")).collect()
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
