@@ -47,13 +47,19 @@ def fisher_yates(n: Column, *draw_from: Column) -> Column:
 
 
 def _numbered(slim: DataFrame) -> DataFrame:
-    """Records with ``copy``, which numbers those that are equal as a whole; a record with very many copies is spread over tasks."""
-    counted = slim.groupBy("doc_id", "text").agg(F.count("*").alias("n"))
-    few = counted.where(F.col("n") <= COPIES).select("doc_id", "text", F.explode(F.expr("sequence(0L, n - 1)")).alias("copy"))
-    runs = counted.where(F.col("n") > COPIES).select("doc_id", "text", "n", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")).alias("low"))
-    runs = runs.repartition("doc_id", "low")
-    many = runs.select("doc_id", "text", F.explode(F.expr(f"sequence(low, least(low + {COPIES}L, n) - 1)")).alias("copy"))
-    return few.unionByName(many)
+    """Records with ``copy``, which numbers those that are equal as a whole.
+
+    Only records whose hash repeats are grouped, each counted within its tasks before it is shuffled; one with very many
+    copies is spread over tasks. Others are numbered 0 where they are. (Hashes that meet by chance change no number.)
+    """
+    keyed = slim.withColumn("key", F.xxhash64("doc_id", "text"))
+    # A written table: Spark knows its size, broadcasts it below its own threshold and shuffles both sides beyond.
+    keys, _ = C.written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    once = keyed.join(keys, "key", "left_anti").select("doc_id", "text", F.lit(0).cast("long").alias("copy"))
+    counted = keyed.join(keys, "key", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    runs = counted.select("doc_id", "text", "n", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")).alias("low")).repartition("doc_id", "low")
+    copies = runs.select("doc_id", "text", F.explode(F.expr(f"sequence(low, least(low + {COPIES}L, n) - 1)")).alias("copy"))
+    return once.unionByName(copies)
 
 
 def external_shuffle(
