@@ -8,8 +8,6 @@ distrust exceeds THRESHOLD times its trust plus a floor.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,8 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 DAMPING, STEPS, THRESHOLD, FLOOR = 0.85, 20, 2.0, 1e-9
 #: Verdicts compare distrust with THRESHOLD times trust plus FLOOR: together the errors of both stay a hundredth of FLOOR.
 TOLERANCE = FLOOR / 100 / (1 + THRESHOLD)
-SMALL = 100_000
+#: Rounds between two written tables of a rank that goes on to its limit.
+ROUNDS = 8
 _LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?(?:https?:)?//([^\"'\s>/?#]+)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -51,7 +50,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def _limit(edges: list[tuple[str, str, float]], seeds: dict[str, float], damping: float, tolerance: float) -> list[tuple[str, float]]:
-    """The same rounds on the driver; edges are (src, dst, share)."""
+    """The limit on the driver; edges are (src, dst, share)."""
     import numpy as np
 
     names = sorted({x for s, d, _ in edges for x in (s, d)} | set(seeds))
@@ -67,10 +66,36 @@ def _limit(edges: list[tuple[str, str, float]], seeds: dict[str, float], damping
     return [(x, v) for x, v in zip(names, now.tolist(), strict=True) if v]
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = STEPS, tolerance: float = TOLERANCE, small: int = SMALL) -> DataFrame:
+def _series(share: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
+    """(host, score): the limit, as the sum of what the seeds send along 0, 1, 2 ... edges, divided by its total.
+
+    (Mass that returns to the seeds only scales that sum.) The hosts' sums are written every ROUNDS rounds; what they have
+    grown by bounds what is still to come, since each further edge passes on ``damping`` of the mass at most.
+    """
+    start = seeds.select("host", F.col("mass").alias("score"))
+    now, at = C.written(start, "rank")
+    total, later = now.agg(F.sum("score")).first()[0] or 0.0, damping**ROUNDS
+    while total:
+        new = now
+        for _ in range(ROUNDS):
+            sent = new.join(share, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+            new = sent.unionByName(start).groupBy("host").agg(F.sum("score").alias("score"))
+        new, new_at = C.written(new, "rank")
+        before, total = total, new.agg(F.sum("score")).first()[0]
+        C.dropped(share.sparkSession, at)
+        now, at = new, new_at
+        # Scores and their total each miss this much at most.
+        if 2 * (total - before) * later / (1 - later) <= tolerance * total:
+            break
+    return now.select("host", (F.col("score") / F.lit(total or 1.0)).alias("score"))
+
+
+def personalised_rank(
+    edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int | None = STEPS, tolerance: float = TOLERANCE, small: int = 0
+) -> DataFrame:
     """(host, score) from ``seeds`` (host, mass) after ``steps`` rounds; None goes on until all scores together are
-    within ``tolerance`` of their limit, on the driver where neither edges nor seeds are more than ``small``. Edges are
-    (src, dst, weight).
+    within ``tolerance`` of their limit. Edges are (src, dst, weight). ``small``: with None and neither more edges nor more
+    seeds than that, the limit is found on the driver; at 0, which ``judge_urls`` uses, always by Spark.
 
     A host's score goes out along its edges by weight. Hosts that nothing reaches have no row; mass at a host
     without edges returns to the seeds. The sum of scores stays 1. Lineage is cut by a written table.
@@ -81,11 +106,15 @@ def personalised_rank(edges: DataFrame, seeds: DataFrame, damping: float = DAMPI
     now, at = C.written(seeds.select("host", F.col("mass").alias("score")), "rank")
     if share.isEmpty():
         return now
-    if steps is None and seeds.count() <= small and share.count() <= small:
-        limit = _limit(sorted(map(tuple, share.collect())), {r.host: r.mass for r in seeds.collect()}, damping, tolerance)
+    if steps is None:
+        if small and seeds.count() <= small and share.count() <= small:
+            limit = _limit(sorted(map(tuple, share.collect())), {r.host: r.mass for r in seeds.collect()}, damping, tolerance)
+            now = spark.createDataFrame(limit, "host string, score double")
+        else:
+            now = _series(share, seeds, damping, tolerance)
         C.dropped(spark, totals_at, share_at, at)
-        return spark.createDataFrame(limit, "host string, score double")
-    for _ in itertools.count() if steps is None else range(steps):
+        return now
+    for _ in range(steps):
         moved = now.join(share, F.col("host") == F.col("src")).groupBy("dst").agg((damping * F.sum(F.col("score") * F.col("share"))).alias("score"))
         moved, moved_at = C.written(moved, "moved")
         arrived = moved.agg(F.sum("score")).first()[0] or 0.0

@@ -169,3 +169,19 @@ def test_rounds_go_on_to_the_limit(spark, small):
     frames = spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 1.0)], "host string, mass double")
     got = {r.host: r.score for r in L.personalised_rank(*frames, steps=None, tolerance=1e-2, small=small).collect()}
     assert sum(abs(got[n] - v) for n, v in _solved(edges, {"a"}).items()) <= 1e-2
+
+
+def test_hot_hosts_and_odd_pages_by_spark_rounds(spark):
+    """One host with a third of all links; null html, clashing columns, a very long url; every rank is Spark's."""
+    rng = random.Random(5)
+    pairs = [("hub.com", f"h{rng.randrange(40)}.com") for _ in range(60)] + [(f"h{rng.randrange(40)}.com", rng.choice(["hub.com", "spam.net", f"h{rng.randrange(40)}.com"])) for _ in range(120)]
+    pairs = [(s, d) for s, d in pairs if s != d]
+    rows_ = [(*page(i, f"http://{s}/x", f"http://{d}/"), "c", 1.0) for i, (s, d) in enumerate(pairs)]
+    rows_ += [(1000, "http://h1.com/" + "a" * 200_000, None, "c", 1.0), (1001, "http://alone.com/", "<p>", None, None)]
+    got = {r.page_id: r for r in L.judge_urls(spark.createDataFrame(rows_, "page_id long, url string, html string, host string, trust double")).collect()}
+    weights = {}
+    for s, d in pairs:
+        weights[d, s] = weights.get((d, s), 0.0) + 1
+    want = _solved([(s, d, w) for (s, d), w in weights.items()], {"spam.net"})
+    assert len(got) == len(rows_) and all(abs(r.distrust - want.get(r.host, 0.0)) < 1e-10 for r in got.values())
+    assert len(got[1000].path) == 200_001 and got[1001].verdict == "allow"
