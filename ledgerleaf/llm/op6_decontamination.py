@@ -2,7 +2,8 @@
 
 The automaton is built once on the driver from the normalised items and broadcast. One has at most
 MAX_ITEM_WORDS words: a benchmark of more gives several automata, each built, broadcast and streamed in turn
-and then forgotten, so that neither driver nor executors ever hold two. Training tokens stream past it; the longest match that ends at each
+and then forgotten, so that neither driver nor executors ever hold two. A longer item is cut into pieces that
+overlap by one word less than a window, so that each of its windows lies in a piece. Training tokens stream past it; the longest match that ends at each
 token is tracked, and where it reaches a window's length the words under the window are hit.
 """
 
@@ -136,20 +137,30 @@ class Index:
                     found |= items
 
 
+def _pieces(text: bytes, window: int, limit: int) -> Iterator[list[bytes]]:
+    """An item's words, at most ``limit`` at a time (or two windows, if that is more); a piece after the first has a window at least."""
+    size, piece = max(limit, 2 * window), []
+    for found in TOKEN.finditer(text):
+        if len(piece) == size:
+            yield piece
+            piece = piece[size - window + 1 :]
+        piece.append(found.group())
+    if piece:
+        yield piece
+
+
 def indexes(benchmark: DataFrame, window: int = WINDOW, limit: int = MAX_ITEM_WORDS) -> Iterator[Index]:
     """Automata over all items, as many as their words need, one at a time."""
     part, words = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t")).distinct().orderBy("i", "t").toLocalIterator():
         if row.t is None or row.i is None:
             continue
-        found = TOKEN.findall(row.t.encode().translate(LOWER))
-        if not found:
-            continue
-        if part and words + len(found) > limit:
-            yield Index(part, window)
-            part, words = [], 0
-        part.append((row.i, found))
-        words += len(found)
+        for found in _pieces(row.t.encode().translate(LOWER), window, limit):
+            if part and words + len(found) > limit:
+                yield Index(part, window)
+                part, words = [], 0
+            part.append((row.i, found))
+            words += len(found)
     yield Index(part, window)
 
 
@@ -164,7 +175,7 @@ def _find(shared):
                 hit, found = shared.value.hits(TOKEN.findall(text.as_py().translate(LOWER)) if text.is_valid else [])
                 if hit.any():
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                    rows.append((h1, h2, edge.tolist(), sorted(shared.value.names[k] for k in found)))
+                    rows.append((h1, h2, edge.tolist(), sorted({shared.value.names[k] for k in found})))
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["h1", "h2", "words", "items"])
 

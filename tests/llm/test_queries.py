@@ -94,6 +94,19 @@ def test_op6_automata_in_turn(spark, sf):
     assert several.columns == docs.columns and sorted(map(key, several.collect())) == sorted(map(key, one.collect()))
 
 
+def test_op6_long_items_are_cut_without_loss(spark):
+    words = [f"w{i % 37}x{i // 5}" for i in range(120)]
+    bench = spark.createDataFrame([("long", " ".join(words)), ("short", "a b c"), ("other", " ".join(words[40:75]))], "item_id string, text string")
+    texts = [" ".join(["q", *words[i : i + 10], "q"]) for i in range(111)] + [" ".join(words[i : i + 9]) for i in range(0, 110, 7)] + ["z a b c z", " ".join(words), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = [{r.doc_id: (r.n_hit, tuple(r["items"]), tuple(map(tuple, r.spans))) for r in op6_decontamination.decontaminate(docs, bench, limit=n).collect()} for n in (1 << 20, 25)]
+    assert seen[0] == seen[1]
+    assert all(seen[1][i][0] == 10 and "long" in seen[1][i][1] for i in range(111))
+    assert all(seen[1][i][0] == 0 for i in range(111, 127))
+    for index in op6_decontamination.indexes(bench, limit=25):
+        assert len(index.automaton.next) <= 2 * 25 + 1
+
+
 def test_op7_columns(spark, sf):
     first = {}
     last = max(r[0] for r in rows() if r[0] is not None) + 1
