@@ -11,14 +11,16 @@ from ledgerleaf.session import settled
 
 def judged(hits: DataFrame, relevant: DataFrame, by=("system",)) -> DataFrame:
     """Hits (…, query_id, node_id, rank) with rel 0/1; ``relevant`` has distinct (query_id, node_id)."""
-    return hits.join(relevant.withColumn("rel", F.lit(1)), ["query_id", "node_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    # Relevant pairs grow with the square of the tables, hits do not: only those that were hit are joined.
+    met = relevant.join(hits.select("query_id", "node_id").distinct(), ["query_id", "node_id"], "left_semi").withColumn("rel", F.lit(1))
+    return hits.join(met, ["query_id", "node_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
 def per_query(hits: DataFrame, relevant: DataFrame, k: int, by=("system",)) -> DataFrame:
     """recall, precision, hit, mrr, ap and ndcg of each query at k. Precision divides by k, AP by all relevant; the ideal gain is of the retrieved items."""
     w = Window.partitionBy(*by, "query_id").orderBy("rank")
     best = Window.partitionBy(*by, "query_id").orderBy(F.desc("rel"), "rank")
-    rows = judged(hits, relevant, by).withColumns({"cum": F.sum("rel").over(w), "ideal": F.row_number().over(best)})
+    rows = judged(settled(hits, "hits"), relevant, by).withColumns({"cum": F.sum("rel").over(w), "ideal": F.row_number().over(best)})
     gain = lambda at: (F.pow(F.lit(2.0), F.col("rel")) - 1) / F.log2(F.col(at) + 1.0)
     inside = F.col("rank") <= k
     agg = rows.groupBy(*by, "query_id").agg(

@@ -68,7 +68,7 @@ def report(suites: dict[str, DataFrame], asked: DataFrame, relevant: DataFrame,
     for suite, rows in suites.items():
         one = rows.select(F.lit(suite).alias("suite"), "system", "query_id", "node_id", "rank")
         hits = one if hits is None else hits.unionByName(one)
-    hits = settled(hits, "hits")
+    hits = settled(hits, "all-hits")
     scored = metrics.per_query(hits, relevant, k, by=("suite", "system"))
     every = hits.select("suite", "system").distinct()  # some ten rows
     grid = asked.select("query_id", "intent").join(F.broadcast(every))
