@@ -93,3 +93,11 @@ def test_text_topk_of_copies_against_all_pairs(spark):
     want = ranking.top_k(pairs.where("score >= 0.25"), 5)
     key = lambda df: sorted((r.query_id, r["rank"], r.node_id, r.score) for r in df.collect())
     assert key(ranking.text_topk(q, d, 5)) == key(want)
+
+
+def test_bm25_reads_texts_once_and_counts_within_them(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "The red ring, the RED rod"), (2, None), (3, "blue ring of 7"), (4, "")], "doc_id long, text string")
+    rows = {r.node_id: (r.dl, dict(zip(r.tokens, r.tfs, strict=True))) for r in ranking.postings(docs, "doc_id", "text").collect()}
+    assert rows == {1: (4, {"red": 2, "ring": 1, "rod": 1}), 2: (None, {}), 3: (3, {"blue": 1, "ring": 1, "7": 1}), 4: (0, {})}
+    found = ranking.bm25(docs, spark.createDataFrame([(9, "red ring"), (8, None)], "item_id long, text string"))
+    assert [(r.query_id, r.node_id, r["rank"]) for r in found.orderBy("rank").collect()] == [(9, 1, 1), (9, 3, 2)]
