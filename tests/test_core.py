@@ -173,6 +173,24 @@ def test_near_dups_of_any_length_and_across_bands(spark, tmp_path):
     assert got == want and (120, 121) in got and any(min(rows[a][2], rows[b][2]) >= 600 for a, b in got)
 
 
+def test_near_dups_meet_in_blocks(spark, monkeypatch):
+    """Several blocks, tiles and alphabets, copies and classes of one set: as brute force, and no row for each bigram."""
+    monkeypatch.setattr(ranking, "BLOCK_LEAST", 16)
+    monkeypatch.setattr(ranking, "BLOCKS", 9)
+    rng = random.Random(5)
+    texts = []
+    for letters in ("abcdefghij", "абвгдежз", "aé漢字かな𝒳y", "ab"):
+        for size in (3, 40, 200, 900):
+            t = "".join(rng.choice(letters + " ") for _ in range(size)).strip()
+            texts += [t, t, t + " " + t, t[:-1] + "Q", t + "!?"]
+    texts += ["", None, " ", "x", "x ", "\t漢"]
+    rows = list(enumerate(texts))
+    df = ranking.dice_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id")
+    got = [(r.a, r.b, round(r.similarity, 6)) for r in df.collect()]
+    assert len(got) == len(set(got)) and {(a, b): s for a, b, s in got} == _brute_dice(rows)
+    assert "explode(grams" not in df._jdf.queryExecution().toString()
+
+
 def test_top_k_prunes_per_task(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("node_id"), F.rand(1).alias("score"))
     assert "WindowGroupLimit" in ranking.top_k(df, 5)._jdf.queryExecution().executedPlan().toString()
