@@ -72,11 +72,11 @@ def nested_set(nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Adds depth, left and right. The root has depth 0 and left 1; with position i and s nodes below, left = 2i - depth + 1 and right = left + 2s + 1."""
     tree = parents(nodes, doc)
     # A node's depth is the number of nodes whose interval is open at it: opened before, less those closed by then.
-    w = Window.partitionBy(doc).orderBy("seq")
-    closed = tree.groupBy(doc, F.col("after").alias("seq")).agg(F.count("*").alias("closes"))
-    joined = tree.join(closed, [doc, "seq"], "left")
-    depth = F.row_number().over(w) - F.sum(F.coalesce("closes", F.lit(0))).over(w)
-    out = joined.withColumn("depth", depth).drop("closes")
+    # Openings and closings are counted in one order, where closings come first; rows stay where their document's windows have them.
+    event = F.array(*(F.struct(F.col(at).cast("long").alias("at"), F.lit(step).alias("step")) for at, step in (("after", -1), ("seq", 1))))
+    w = Window.partitionBy(doc).orderBy("event.at", "event.step").rowsBetween(Window.unboundedPreceding, 0)
+    events = tree.withColumn("event", F.explode(event)).withColumn("depth", F.sum("event.step").over(w))
+    out = events.where("event.step = 1").drop("event")
     left = 2 * F.col("seq") - F.col("depth") + 1
     return out.withColumns({"left": left, "right": left + 2 * (F.col("after") - F.col("seq") - 1) + 1})
 
@@ -109,22 +109,28 @@ def nested_documents(nodes: DataFrame, titles: DataFrame | None = None, doc: str
     """
     tree = nested_set(nodes, doc)
     name = lambda c: F.when(c == ROOT, "root").otherwise(node_id(c))
-    below = tree.groupBy(doc, F.col("parent").alias("seq")).agg(F.transform(F.array_sort(F.collect_list("seq")), lambda x: node_id(x)).alias("children"))
-    none = F.array().cast("array<string>")
-
-    def record(seq: Column, parent: Column, *cols: Column) -> Column:
-        names = ("level", "numbering", "children", "left", "right", "depth")
-        kinds = ("int", "string", "array<string>", "long", "long", "int")
-        rest = (c.cast(k).alias(n) for c, n, k in zip(cols, names, kinds, strict=True))
-        return F.struct(seq.alias("seq"), F.struct(name(seq).alias("node_id"), parent.alias("parent_id"), *rest).alias("node"))
-
-    own = tree.join(below, [doc, "seq"], "left")
-    cols = [F.col(c) for c in ("level", "numbering")], [F.col(c) for c in ("left", "right", "depth")]
-    rows = own.select(doc, record(F.col("seq"), name(F.col("parent")), *cols[0], F.coalesce("children", none), *cols[1]).alias("r"))
-    roots = tree.groupBy(doc).agg(F.count("*").alias("n")).join(below.where(F.col("seq") == ROOT), doc, "left")
-    zero = F.lit(ROOT)
-    root = record(zero, F.lit(None).cast("string"), F.lit(0), F.lit(""), F.coalesce("children", none), F.lit(1), 2 * F.col("n") + 2, F.lit(0))
-    lists = rows.unionByName(roots.select(doc, root.alias("r"))).groupBy(doc).agg(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["node"]).alias("nodes"))
+    # A node's own row and those of its children meet under its number. The rows of a document already lie together: nothing is shuffled again.
+    own = F.struct("parent", "level", "numbering", "left", "right", "depth")
+    nothing = F.lit(None).cast(tree.select(own.alias("x")).schema["x"].dataType)
+    seq = F.col("seq").cast("int")
+    both = F.array(
+        F.struct(seq.alias("at"), own.alias("own"), F.lit(None).cast("int").alias("child")),
+        F.struct(F.col("parent").cast("int").alias("at"), nothing.alias("own"), seq.alias("child")),
+    )
+    met = tree.select(doc, F.explode(both).alias("e")).select(doc, "e.*")
+    met = met.groupBy(doc, "at").agg(F.first("own", ignorenulls=True).alias("own"), F.array_sort(F.collect_list("child")).alias("children"))
+    lists = met.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("at", "own", "children"))).alias("r"))
+
+    def record(r: Column) -> Column:
+        x, root = r["own"], r["at"] == ROOT
+        cols = {
+            "node_id": (name(r["at"]), "string"), "parent_id": (F.when(~root, name(x["parent"])), "string"), "level": (F.when(root, 0).otherwise(x["level"]), "int"),
+            "numbering": (F.when(root, "").otherwise(x["numbering"]), "string"), "children": (F.transform(r["children"], node_id), "array<string>"), "left": (F.when(root, 1).otherwise(x["left"]), "long"),
+            "right": (F.when(root, 2 * F.size("r")).otherwise(x["right"]), "long"), "depth": (F.when(root, 0).otherwise(x["depth"]), "int"),
+        }
+        return F.struct(*(c.cast(kind).alias(n) for n, (c, kind) in cols.items()))
+
+    lists = lists.select(doc, F.transform("r", record).alias("nodes"))
     title = F.lit("Document")
     if titles is not None:
         lists = lists.join(titles.select(doc, F.col("title").alias("own_title")), doc, "left")

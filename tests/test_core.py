@@ -275,3 +275,19 @@ def test_similarity_of_equal_blank_and_repeated_texts(spark):
     pairs = spark.createDataFrame(rows, "k int, a string, b string")
     got = {r.k: (round(r.cosine, 6), round(r.relevance, 6)) for r in metrics.semantic_similarity(pairs, "k", "a", "b", index.md5_buckets).collect()}
     assert got == {1: (1.0, 1.0), 2: (0.0, 0.0), 3: (0.0, 0.0), 4: (1.0, 1.0)}
+
+
+def test_nested_documents_shuffle_once(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(d, i, rng.randint(1, 9), "x") for d in range(40) for i in range(1, rng.randint(2, 12))]
+    spark.createDataFrame(rows, "doc_id int, seq int, level int, numbering string").write.parquet(f"{tmp_path}/lines")
+    df = hierarchy.nested_documents(spark.read.parquet(f"{tmp_path}/lines"))
+    with_conf = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_conf)
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    files.write_hierarchies(df, f"{tmp_path}/h")
+    assert not list((tmp_path / "h").glob("*.json")) and files.read_hierarchies(spark, f"{tmp_path}/h").count() == 40
