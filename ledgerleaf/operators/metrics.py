@@ -112,7 +112,10 @@ def contained(needles: DataFrame, texts: DataFrame, needle: str, key: str) -> Da
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), 0)
     runs = lambda w, n: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    inner = needles.where("text is not null").select(needle, "text", words(F.col("text")).alias("w"))
+    # What is longer than the longest text is in none: one number.
+    longest = texts.agg(F.coalesce(F.max(F.length("text")), F.lit(-1))).first()[0]
+    needles = needles.where(F.length("text") <= longest)
+    inner = needles.select(needle, "text", words(F.col("text")).alias("w"))
     inner = inner.select(needle, "text", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))).alias("w")).withColumn("n", F.least(F.lit(3), F.size("w")))
     short = inner.where("n = 0").select(needle, F.col("text").alias("needle_text"))
     keyed = inner.where("n > 0").select(needle, "n", F.explode(F.array_distinct(runs(F.col("w"), F.col("n")))).alias("run"))

@@ -291,3 +291,17 @@ def test_nested_documents_shuffle_once(spark, tmp_path):
     assert plan.count("Exchange ") == 1 and "Join" not in plan
     files.write_hierarchies(df, f"{tmp_path}/h")
     assert not list((tmp_path / "h").glob("*.json")) and files.read_hierarchies(spark, f"{tmp_path}/h").count() == 40
+
+
+def test_needles_longer_than_all_texts_are_not_cut(spark, monkeypatch):
+    from ledgerleaf.operators import metrics
+
+    seen, keep = {}, metrics.settled
+    monkeypatch.setattr(metrics, "settled", lambda df, tag: seen.setdefault(tag, keep(df, tag)))
+    texts = spark.createDataFrame([(1, "one two three four five six"), (2, None)], "id int, text string")
+    rows = [("in", "e two three four f"), ("whole", "one two three four five six"), ("long", "one two three four five six seven"), ("no", None)]
+    needles = spark.createDataFrame(rows, "item string, text string")
+    assert sorted(tuple(r) for r in metrics.contained(needles, texts, "item", "id").collect()) == [("in", 1), ("whole", 1)]
+    assert {r["item"] for r in seen["needle-runs"].collect()} == {"in", "whole"}
+    monkeypatch.undo()
+    assert metrics.contained(needles, texts.limit(0), "item", "id").collect() == []
