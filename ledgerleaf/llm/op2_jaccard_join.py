@@ -6,9 +6,13 @@ of a linked pair is known, the feature domain is cut into enough first-level par
 hold at most K2 differences, each of those into N2 parts, and every subset of N2 - K2 parts gives a
 signature. Linked sets of a band so share a signature; shared signatures are checked exactly.
 
-Signatures of an empty subset say nothing. SPARE further partitions per set pay for leaving them out: of
-``n1`` partitions at least ``n1 - k // (K2 + 1)`` agree, and a set with that many partitions that have an
-empty subset keeps them all, so no link is lost.
+Signatures of an empty subset say nothing, and would bring together sets that have nothing in common, so there are
+none. Of ``n1`` partitions at least ``n1 - k // (K2 + 1)``, the spare ones, differ by at most one feature. If such a
+partition's agreeing subset is empty, all that both sets have in it lies in the part left out, and one set has at most
+one feature more: a set gives the part's content, and its content without each single feature. Only where one has
+nothing in the partition, and the other at most one feature, do they still miss each other. A pair that misses in all
+spare partitions has them among its bare ones, so a set with so many gives the first of them, all but the spare ones
+less one, and no link is lost.
 
 One document of each distinct text takes part. Signatures travel once, packed by buckets, and only those with
 several holders become rows. Then:
@@ -61,7 +65,7 @@ def distance(percent: int, high: int) -> int:
 
 
 def signatures(features: np.ndarray, percent: int, band_list: list[tuple[int, int]]) -> np.ndarray:
-    """The PartEnum signatures of one ascending set, for its own band and for the next if a linked set can lie there.
+    """The PartEnum signatures of one ascending set, for its own band and for those above in which a linked set can lie.
 
     Features are uniform hashes, so the parts are equal ranges of their domain: each is a run of the set.
     """
@@ -69,10 +73,10 @@ def signatures(features: np.ndarray, percent: int, band_list: list[tuple[int, in
     if not size:
         return np.empty(0, np.uint64)
     i = int(np.searchsorted([b[0] for b in band_list], size, side="right")) - 1
-    for band in (i, i + 1):
+    for band in range(i, len(band_list)):
         low, high = band_list[band]
         if size * 100 < percent * low:
-            continue
+            break
         k = distance(percent, high)
         tag = np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         if k == 0:
@@ -85,17 +89,24 @@ def signatures(features: np.ndarray, percent: int, band_list: list[tuple[int, in
         slot = ((features >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         count = np.bincount(slot, minlength=parts)
         edge = np.concatenate([[0], np.cumsum(count)])
-        run = np.concatenate([[np.uint64(0)], np.cumsum(mixed(features ^ tag), dtype=np.uint64)])
+        value = mixed(features ^ tag)
+        run = np.concatenate([[np.uint64(0)], np.cumsum(value, dtype=np.uint64)])
         total = (run[edge[1:]] - run[edge[:-1]]).reshape(n1, N2)
         count = count.reshape(n1, N2)
-        kept_value = total.sum(1, dtype=np.uint64)[:, None] - total  # each subset leaves one part out
-        kept_count = count.sum(1)[:, None] - count
-        place = np.arange(parts, dtype=np.uint64).reshape(n1, N2)
-        sig = mixed(kept_value ^ mixed(place + tag))
-        empty = kept_count == 0
-        if empty.any(1).sum() < spare:
-            sig = sig[~empty]
-        out.append(sig.ravel())
+        whole, held = total.sum(1, dtype=np.uint64), count.sum(1)
+        place = np.arange(parts, dtype=np.uint64)
+        some = held[:, None] > count  # each subset leaves one part out
+        out.append(mixed((whole[:, None] - total)[some] ^ mixed(place.reshape(n1, N2)[some] + tag)))
+        alone = (~some & (count > 0)).ravel()
+        if alone.any():
+            at = np.flatnonzero(alone)
+            out.append(mixed(whole[at // N2] ^ mixed(place[at] + ~tag)))
+            each = alone[slot] & (held[slot // N2] > 1)
+            at = slot[each]
+            out.append(mixed((whole[at // N2] - value[each]) ^ mixed(place[at] + ~tag)))
+        bare = np.flatnonzero(held < 2)
+        if len(bare) >= spare:
+            out.append(mixed(place[bare[: len(bare) - spare + 1]] + (tag ^ np.uint64(0x5555555555555555))))
     return np.concatenate(out)
 
 
@@ -421,7 +432,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     near = work.keep(_check_led(member, info, "bits", percent, parts, exact=False), "near")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     feats = work.keep(_features_of(reps, sets, ends, width), "features", "lz4")
-    first = work.keep(_check_led(near.select(F.col("b").alias("node"), F.col("a").alias("leader")), sets.select("node", "n_shingles").join(feats, "node"), "features", percent, parts, exact=True), "links")
+    first = work.keep(_check_led(near.select(F.col("b").alias("node"), F.col("a").alias("leader")), feats.withColumn("n_shingles", F.expr("length(features) div 8")), "features", percent, parts, exact=True), "links")
     comp = work.keep(components(first), "components")
     n_named = comp.count()
     left = work.keep(_open(held, leaders, comp, n_named), "open")
@@ -457,9 +468,11 @@ def _check_led(member: DataFrame, info: DataFrame, load: str, percent: int, part
     """(a, b): leaders and those of their members that pass; a leader with many members serves several tasks."""
     split = member.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
     spread = split.select("leader", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    lead = spread.join(info.withColumnRenamed("node", "leader"), "leader").select("leader", "part", F.lit(0).alias("is_member"), F.col("leader").alias("node"), "n_shingles", load)
-    mine = member.join(split, "leader").join(info, "node").select("leader", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("is_member"), "node", "n_shingles", load)
-    rows = lead.unionByName(mine).repartition(parts, "leader", "part").sortWithinPartitions("leader", "part", "is_member")
+    lead = spread.select("leader", "part", F.lit(0).alias("is_member"), F.col("leader").alias("node"))
+    mine = member.join(split, "leader").select("leader", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(1).alias("is_member"), "node")
+    # What is compared is shuffled once, to its leader.
+    rows = info.join(_bounded(lead.unionByName(mine)), "node").select("leader", "part", "is_member", "node", "n_shingles", load)
+    rows = rows.repartition(parts, "leader", "part").sortWithinPartitions("leader", "part", "is_member")
     return rows.mapInArrow(_led(percent, exact), "a long, b long")
 
 

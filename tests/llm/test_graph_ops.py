@@ -82,6 +82,32 @@ def test_linked_sets_share_a_signature(percent):
             assert not J.far_apart(J.bitmap(a), J.bitmap(b), len(a), len(b), percent)
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_sets_without_common_features_share_hardly_any_signature(width, percent):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, (1 << 64) - 1, int(rng.integers(30, 500)), dtype=np.uint64)) for _ in range(600)]
+    found = [np.unique(J.signatures(x, percent, J.bands(percent))) for x in sets]
+    _, holders = np.unique(np.concatenate(found), return_counts=True)
+    assert (holders * (holders - 1) // 2).sum() < len(sets) // 2
+
+
+def test_sets_with_bare_partitions_share_a_signature():
+    rng = np.random.default_rng(4)
+    seen = 0
+    for percent in (60, 70, 80, 90):  # wide distances: few features for each partition
+        band = J.bands(percent)
+        for _ in range(1500):
+            n = int(rng.integers(1, 60))
+            a = np.unique(rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
+            gone = int(rng.integers(0, n * (100 - percent) // 100 + 1))
+            more = (n - gone) * 100 // percent - n if rng.integers(2) else 0
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, (1 << 64) - 1, max(0, more), dtype=np.uint64)]))
+            if J.linked(a, b, percent):
+                seen += 1
+                assert len(np.intersect1d(J.signatures(a, percent, band), J.signatures(b, percent, band)))
+    assert seen > 3000
+
+
 @pytest.mark.parametrize("one_task", [0, 1000])
 def test_components(spark, one_task):
     rng = random.Random(2)
