@@ -38,6 +38,12 @@ _BYTES = byte_alphabet()
 _STOP = _BYTES[10]
 
 
+class _Places(dict):
+    def __missing__(self, word: str) -> bytearray:
+        self[word] = place = bytearray()
+        return place
+
+
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,7 +70,8 @@ class Encoder:
         out: list[bytes] = []
         for i in range(0, len(tokens), 1000):
             part = tokens[i : i + 1000]
-            lines = f"\n{_STOP}\n".join([x.encode().decode("latin-1").translate(_BYTES) for x in part]) + f"\n{_STOP}"
+            # line ends become stops like other bytes; then each stands on a line of its own
+            lines = "\n".join([*part, ""]).encode().decode("latin-1").translate(_BYTES).replace(_STOP, f"\n{_STOP}\n")
             ids = np.array(self.merges.encode_batch_fast([lines], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(ids == self.stop[0]).tolist()
             if len(stops) != len(part):
@@ -75,10 +82,11 @@ class Encoder:
                 at = z + 1
         return out
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, places: dict[str, bytearray]) -> None:
+        """The ids of pre-tokens that a batch has and the newer cache has not, there and in their places."""
         new, old = self.new, self.old
         ask = []
-        for w in words:
+        for w in places:
             if (ids := old.get(w)) is None:
                 ask.append(w)
             else:
@@ -88,26 +96,24 @@ class Encoder:
         rest = [w for w in ask if w not in new]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             new[w] = np.array(e.ids, "<u4").tobytes()
+        for w, place in places.items():
+            place += new[w]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.new) > LIMIT:
             self.old, self.new = self.new, {}
-        find, get = self.pattern.findall, self.new.get
-        cut: list[list[str] | None] = []
-        missing: set[str] = set()
+        # One look-up for each pre-token: what the cache lacks has a place, which is filled before the ids are joined.
+        find, get, places = self.pattern.findall, self.new.get, _Places()
+        ids: list[list | None] = []
         for t in texts:
             if _OTHER.search(t):
-                cut.append(None)
-                continue
-            words = find(t if self.keeps_space else t.lower())
-            cut.append(words)
-            missing.update(words)
-        new = self.new
-        missing = {w for w in missing if w not in new}
-        if missing:
-            self._learn(missing)
-        return [self.whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
+                ids.append(None)
+            else:
+                ids.append([get(w) or places[w] for w in find(t if self.keeps_space else t.lower())])
+        if places:
+            self._learn(places)
+        return [self.whole(t) if x is None else b"".join(x) for t, x in zip(texts, ids, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
