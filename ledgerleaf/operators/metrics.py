@@ -16,8 +16,11 @@ def judged(hits: DataFrame, relevant: DataFrame, by=("system",)) -> DataFrame:
     return hits.join(met, ["query_id", "node_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
-def per_query(hits: DataFrame, relevant: DataFrame, k: int, by=("system",)) -> DataFrame:
-    """recall, precision, hit, mrr, ap and ndcg of each query at k. Precision divides by k, AP by all relevant; the ideal gain is of the retrieved items."""
+def per_query(hits: DataFrame, relevant: DataFrame, k: int, by=("system",), total: DataFrame | None = None) -> DataFrame:
+    """recall, precision, hit, mrr, ap and ndcg of each query at k. Precision divides by k, AP by all relevant; the ideal gain is of the retrieved items.
+
+    With ``total`` (query_id, n_rel), ``relevant`` need have no more than the pairs that were hit.
+    """
     w = Window.partitionBy(*by, "query_id").orderBy("rank")
     best = Window.partitionBy(*by, "query_id").orderBy(F.desc("rel"), "rank")
     rows = judged(settled(hits, "hits"), relevant, by).withColumns({"cum": F.sum("rel").over(w), "ideal": F.row_number().over(best)})
@@ -28,7 +31,7 @@ def per_query(hits: DataFrame, relevant: DataFrame, k: int, by=("system",)) -> D
         F.sum(F.when(F.col("rel") == 1, F.col("cum") / F.col("rank")).otherwise(0.0)).alias("precisions"),
         F.sum(F.when(inside, gain("rank")).otherwise(0.0)).alias("dcg"), F.sum(F.when(F.col("ideal") <= k, gain("ideal")).otherwise(0.0)).alias("idcg"),
     )
-    total = relevant.groupBy("query_id").agg(F.count("*").alias("n_rel"))
+    total = relevant.groupBy("query_id").agg(F.count("*").alias("n_rel")) if total is None else total
     out = agg.join(total, "query_id", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
     share = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b))
     return out.select(

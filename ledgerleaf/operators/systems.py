@@ -57,11 +57,11 @@ def rag_prompts(e: Explained, k: int = 5) -> DataFrame:
     return explain.prompt_blocks(rows.select("query_id", "rank", "text"))
 
 
-def report(suites: dict[str, DataFrame], asked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
+def report(suites: dict[str, DataFrame], asked: DataFrame, relevant: DataFrame, k: int = 5, total: DataFrame | None = None) -> DataFrame:
     """(suite, system, intent, queries, recall, precision, mrr, map, ndcg): intent is null for all questions together.
 
     A question that a system finds nothing for counts as 0. ``suites`` are tables of hits, ``relevant`` has distinct
-    (query_id, node_id). One pass of grouping sets gives the groups.
+    (query_id, node_id), with ``total`` (query_id, n_rel) at least those that were hit. One pass of grouping sets gives the groups.
     """
     names = {"recall": "recall", "precision": "precision", "mrr": "mrr", "ap": "map", "ndcg": "ndcg"}
     hits = None
@@ -69,7 +69,7 @@ def report(suites: dict[str, DataFrame], asked: DataFrame, relevant: DataFrame,
         one = rows.select(F.lit(suite).alias("suite"), "system", "query_id", "node_id", "rank")
         hits = one if hits is None else hits.unionByName(one)
     hits = settled(hits, "all-hits")
-    scored = metrics.per_query(hits, relevant, k, by=("suite", "system"))
+    scored = metrics.per_query(hits, relevant, k, by=("suite", "system"), total=total)
     every = hits.select("suite", "system").distinct()  # some ten rows
     grid = asked.select("query_id", "intent").join(F.broadcast(every))
     rows = grid.join(scored, ["suite", "system", "query_id"], "left").fillna(0.0, list(names))

@@ -101,3 +101,20 @@ def test_bm25_reads_texts_once_and_counts_within_them(spark, tmp_path, monkeypat
     assert rows == {1: (4, {"red": 2, "ring": 1, "rod": 1}), 2: (None, {}), 3: (3, {"blue": 1, "ring": 1, "7": 1}), 4: (0, {})}
     found = ranking.bm25(docs, spark.createDataFrame([(9, "red ring"), (8, None)], "item_id long, text string"))
     assert [(r.query_id, r.node_id, r["rank"]) for r in found.orderBy("rank").collect()] == [(9, 1, 1), (9, 3, 2)]
+
+
+def test_bm25_questions_of_equal_terms_match_once(spark, monkeypatch):
+    written = {}
+    settled = ranking.settled
+
+    def counted(df, tag):
+        out = settled(df, tag)
+        written[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(ranking, "settled", counted)
+    docs = spark.createDataFrame([(1, "red ring"), (2, "blue ring"), (3, "rod")], "doc_id long, text string")
+    rows = [(i, "the RED ring" if i % 2 else "ring, red") for i in range(5)] + [(7, "rod"), (8, ""), (9, None)]
+    found = ranking.bm25(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()
+    assert written["weights"] == 3
+    assert sorted((r.query_id, r["rank"], r.node_id) for r in found) == [*((i, n, n) for i in range(5) for n in (1, 2)), (7, 1, 3)]
