@@ -191,6 +191,46 @@ def test_near_dups_meet_in_blocks(spark, monkeypatch):
     assert "explode(grams" not in df._jdf.queryExecution().toString()
 
 
+def test_near_dups_bitmaps_are_made_once_for_each_class(spark, monkeypatch):
+    """Sets of every size that bitmaps are folded for, in runs shorter than a block; a class brings its bitmap to all blocks."""
+    written, settled = {}, ranking.settled
+
+    def kept(df, tag):
+        written[tag] = df.columns
+        return settled(df, tag)
+
+    monkeypatch.setattr(ranking, "settled", kept)
+    monkeypatch.setattr(ranking, "RUN", 8)
+    monkeypatch.setattr(ranking, "BLOCK_LEAST", 16)
+    monkeypatch.setattr(ranking, "BLOCKS", 4)
+    rng = random.Random(9)
+    texts = []
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789", "".join(map(chr, range(0x4E00, 0x4E80)))):
+        for size in (100, 165, 170, 330, 660, 900, 1500):
+            t = "".join(rng.choice(letters) for _ in range(size))
+            texts += [t, t[:-2], t[: size * 19 // 20], t[: size // 2] + "#" + t[size // 2 + size // 60 :], t[::-1]]
+    df = ranking.dice_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id")
+    got = {(r.a, r.b): round(r.similarity, 6) for r in df.collect()}
+    assert got == _brute_dice(list(enumerate(texts))) and len(got) >= 40
+    assert "bits" in written["bigram-classes"]
+
+
+def test_shared_bigrams_pair_by_pair_where_there_are_many(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdé漢字") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    batch = pa.record_batch({"id": pa.array(range(40)), "text": pa.array(texts)})
+    codes = next(iter(ranking._bigram_sets()([batch]))).column("codes").to_pylist()
+    i, j = map(np.ravel, np.indices((40, 40)))
+    by_bits, width = ranking._shared_bigrams(codes)
+    monkeypatch.setattr(ranking, "BITS", 0)
+    by_pairs, none = ranking._shared_bigrams(codes)
+    assert width > 0 == none and by_bits(i, j).tolist() == by_pairs(i, j).tolist()
+    assert all(by_bits(i, j)[i == j] == [max(1, len({t[k : k + 2] for k in range(len(t) - 1)})) for t in (" ".join(t.split()) for t in texts)])
+
+
 def test_top_k_prunes_per_task(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("node_id"), F.rand(1).alias("score"))
     assert "WindowGroupLimit" in ranking.top_k(df, 5)._jdf.queryExecution().executedPlan().toString()
