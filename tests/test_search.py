@@ -118,3 +118,30 @@ def test_bm25_questions_of_equal_terms_match_once(spark, monkeypatch):
     found = ranking.bm25(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()
     assert written["weights"] == 3
     assert sorted((r.query_id, r["rank"], r.node_id) for r in found) == [*((i, n, n) for i in range(5) for n in (1, 2)), (7, 1, 3)]
+
+
+def test_chooser_by_runs_of_columns():
+    """The k largest with ties to the first columns, whatever is masked, as a plain sort gives them."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for spread in (3, 50, 10**6):
+        key = rng.integers(0, spread, (7, 500)).astype(float)
+        key[rng.random(key.shape) < 0.5] = -np.inf
+        key[0], key[1, 3:] = -np.inf, -np.inf
+        i, j = ranking.chooser(3)(key)
+        want = {(r, c) for r in range(7) for c in sorted(np.flatnonzero(key[r] > -np.inf), key=lambda c: (-key[r, c], c))[:3]}
+        assert len(i) == len(want) and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def test_dense_in_slices_of_queries(spark, monkeypatch):
+    """Several blocks and slices with copies, zero vectors, nulls and other lengths: as one matrix at a time of each query."""
+    rng = random.Random(6)
+    vectors = [(f"v{i:03}", None if i % 41 == 5 else [0.0, 0.0] if i % 37 == 4 else [1.0] if i % 29 == 3 else [float(rng.randint(-3, 3)), 1.0]) for i in range(150)]
+    queries = [(i, None if i == 7 else [0.0, 0.0] if i == 9 else [1.0, 2.0, 3.0] if i == 11 else [float(rng.randint(-3, 3)), -1.0]) for i in range(20)]
+    v, q = spark.createDataFrame(vectors, "node_id string, embedding array<double>"), spark.createDataFrame(queries, "query_id long, q array<double>")
+    rows = lambda: sorted((r.query_id, r["rank"], r.node_id, r.score) for r in ranking.dense(v, q, 4).collect())
+    whole = rows()
+    for name, size in (("VECTOR_ROWS", 16), ("QUERY_ROWS", 8), ("QUERIES_AT_ONCE", 3)):
+        monkeypatch.setattr(ranking, name, size)
+    assert rows() == whole and len(whole) == 80
